@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
 import zlib
 from collections.abc import Callable, Iterable
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,6 +61,7 @@ def map_texts(df: DataFrame, text: str, make: Callable[[], Callable[[list], list
     to one list of values for each field of ``out``. No shuffle; a batch of rows at a time is in memory.
     """
     small_batches(df.sparkSession)
+    ship(df.sparkSession)
     keep = list(df.columns if keep is None else keep)
     src = df.select(F.col(text).cast("string").alias("t"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
     schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c in keep] + list(out.fields))
@@ -74,6 +77,20 @@ def map_texts(df: DataFrame, text: str, make: Callable[[], Callable[[list], list
     return src.mapInArrow(run, schema)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each Spark context; they need not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_millrace_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    name = Path(tempfile.mkdtemp(prefix="millrace-")) / "millrace_package.zip"
+    with zipfile.ZipFile(name, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    sc.addPyFile(str(name))
+    sc._millrace_shipped = True
+
+
 def scan_parts(df: DataFrame) -> int:
     """Tasks of the scan: the measure of the input from which bucket counts are derived."""
     return max(1, df.rdd.getNumPartitions())

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import map_texts, table
+from .common import map_texts, ship, table
 
 UNIT = 576
 #: Frames of a laced block, and blocks of a cluster.
@@ -234,6 +234,7 @@ def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "med
     """One row for each packet of each file: id_col, track, timestamp_ms, key, start, end. Null media have none; a damaged file fails."""
     from pyspark.sql import functions as F
 
+    ship(media.sparkSession)
     schema = T.StructType([T.StructField("id", media.schema[id_col].dataType), T.StructField("p", PACKETS)])
 
     def run(batches):
