@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op7_bpe
 from .decontamination import OP5_SQL, op5_decontamination
 from .line_dedup import OP1_SQL, op1_line_dedup
+from .lm_scoring import op8_lm_scoring
 from .media import op2_media_columns
 from .quality import op9_quality
 from .token_counts import op10_token_counts
@@ -12,7 +13,7 @@ from .toxicity import op4_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op2_media_columns, op4_toxicity, op5_decontamination, op7_bpe, op9_quality, op10_token_counts)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_media_columns, op4_toxicity, op5_decontamination, op7_bpe, op8_lm_scoring, op9_quality, op10_token_counts)}
 
 
 def oracle_sql() -> dict:
