@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op7_bpe
 from .decontamination import OP5_SQL, op5_decontamination
+from .html_extraction import op6_html_extraction
 from .jaccard_join import op3_jaccard_join
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .lm_scoring import op8_lm_scoring
@@ -14,7 +15,7 @@ from .toxicity import op4_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op2_media_columns, op3_jaccard_join, op4_toxicity, op5_decontamination, op7_bpe, op8_lm_scoring, op9_quality, op10_token_counts)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_media_columns, op3_jaccard_join, op4_toxicity, op5_decontamination, op6_html_extraction, op7_bpe, op8_lm_scoring, op9_quality, op10_token_counts)}
 
 
 def oracle_sql() -> dict:
