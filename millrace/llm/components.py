@@ -1,4 +1,4 @@
-"""Connected components of a distributed edge table, by smallest neighbour labels and pointer jumping."""
+"""Connected components of a distributed edge table, by hooking on the smallest neighbour and contracting edges."""
 
 from __future__ import annotations
 
@@ -11,19 +11,22 @@ from .common import checkpoint
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, label: the smallest node reachable by edges (columns a, b). ``nodes`` has node, or node and an earlier label.
 
-    Each round a label takes the smallest label next to it and then that label's own label, so long chains shrink
-    geometrically. Rounds end when no label changes. Nothing but the count of changes reaches the driver.
+    Each round every root takes its smallest neighbouring root, pointers are followed twice, and the edges are
+    relabelled and thinned, so they shrink geometrically. Rounds end when no edge is left. Nothing but their
+    count reaches the driver.
     """
     labels = nodes if "label" in nodes.columns else nodes.select("node", F.col("node").alias("label"))
-    both = checkpoint(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        # The label's own node learns of a smaller label too, so whole components move at once.
-        step = labels.join(near, "node", "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("to"))
-        heads = step.groupBy(F.col("label").alias("node")).agg(F.min("to").alias("head"))
-        joined = step.join(heads.select(F.col("node").alias("to"), F.col("head").alias("jump")), "to", "left").join(heads.select(F.col("node").alias("label"), F.col("head").alias("own")), "label", "left")
-        new = checkpoint(joined.select("node", F.least("to", F.coalesce("jump", "to"), F.coalesce("own", "to")).alias("label"), (F.least("to", F.coalesce("jump", "to"), F.coalesce("own", "to")) != F.col("label")).alias("moved")))
-        moved = new.filter("moved").count()
-        labels = new.select("node", "label")
-        if not moved:
-            return labels
+    name = labels.select(F.col("node").alias("a"), F.col("label").alias("ra")), labels.select(F.col("node").alias("b"), F.col("label").alias("rb"))
+    left = checkpoint(edges.select("a", "b").join(name[0], "a").join(name[1], "b").filter("ra != rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+    while not left.isEmpty():
+        ends = left.unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hook = ends.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")).select(F.col("a").alias("node"), "to")
+        jump = checkpoint(hook)
+        for _ in range(2):  # every "to" is a node of the table, since edges have both their ends there
+            jump = jump.join(jump.select(F.col("node").alias("to"), F.col("to").alias("next")), "to").select("node", F.col("next").alias("to"))
+        jump = checkpoint(jump)
+        moved = jump.select(F.col("node").alias("label"), "to")
+        labels = checkpoint(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+        at = jump.select(F.col("node").alias("a"), F.col("to").alias("ra")), jump.select(F.col("node").alias("b"), F.col("to").alias("rb"))
+        left = checkpoint(left.join(at[0], "a").join(at[1], "b").filter("ra != rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+    return labels

@@ -8,10 +8,9 @@ picks its own l: it lengthens its prefix as long as that lowers the estimated co
 read plus the candidates to be verified, of which there are at most postings / l. A pair is verified only if it
 shares min(l, l') prefix shingles, and if the places of the shared ones leave room for the overlap it needs.
 
-How frequent a shingle is. One pass over all texts counts the shingles whose hash has an even last bit and keeps
-the logarithms of the counts in a table of ``SLOTS`` bytes, the largest in each slot. The order reads that table, so
-it is the same for all documents, and any such order gives right results; collisions or odd hashes only make a
-shingle look more frequent. A shingle of an empty slot occurs once and links nothing: a document with a whole
+How frequent a shingle is. One pass over all texts counts all shingles and keeps the logarithms of the counts in a
+table of 2 ** ``SLOT_BITS`` bytes, the largest in each slot. The order reads that table, so it is the same for all
+documents, and any such order gives right results; collisions only make a shingle look more frequent. A shingle of an empty slot occurs once and links nothing: a document with a whole
 prefix of such shingles has no partner and sends nothing on. In most texts that is so.
 
 Groups. Equal texts are one node. Near-copy groups aren't expanded into pairs: in rounds, each prefix shingle picks
@@ -31,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,8 +42,8 @@ SHINGLE, PERCENT = 5, 80
 SLOT_BITS = 25
 #: Cost of verifying a candidate, in postings; longest l.
 VERIFY, MOST = 50.0, 6
-#: Open pairs, in postings, below which all are candidates; rounds of pivots at most before that.
-OPEN, ROUNDS = 4.0, 8
+#: Rounds of pivots go on while one links this share of the nodes at least.
+WORTH = 0.03
 MEMO_WORDS = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -116,7 +115,6 @@ def count_table(docs: DataFrame, text_col: str, bits: int = SLOT_BITS) -> np.nda
         for b in batches:
             for t in b.column(0).to_pylist():
                 h = shingles(words_of(t), memo)
-                h = h[(h & np.uint64(1)) == 0]
                 parts.append(h)
                 size += h.size
             if size > 3_000_000:
@@ -152,7 +150,7 @@ def need(n: int) -> int:
 def prefix(h: np.ndarray, levels: np.ndarray, bits: int) -> tuple[int, np.ndarray, int] | None:
     """l, the shingles of the l-prefix that may be shared, and the place of the first of them; None: no partner."""
     n = h.size
-    level = np.where((h & np.uint64(1)) == 0, levels[(h >> np.uint64(64 - bits)).astype(np.int64)], 1)
+    level = levels[(h >> np.uint64(64 - bits)).astype(np.int64)]
     base, alone = n - need(n) + 1, int((level == 0).sum())
     if not n or alone >= base:
         return None
@@ -229,33 +227,36 @@ def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return full.mapInArrow(run, "a long, b long")
 
 
+def room_of(a: str, b: str) -> Column:
+    """Shingles that two sets may share: all but those that occur once."""
+    return F.least(F.col(f"n{a}") - F.col(f"first{a}"), F.col(f"n{b}") - F.col(f"first{b}"))
+
+
 def pivots(postings: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """One pair (a, b) at most for each node b: its token's pivots a of other components, the one with most shared tokens."""
+    """One pair (a, b) at most for each node b: its token's pivots a of other components, the one with most shared tokens.
+
+    A document with few shingles of its own is a token's pivot: what is near to others in a group is nearer to it.
+    """
     p = postings.join(labels, "node")
-    key = F.struct(F.xxhash64(F.lit(turn), "node").alias("k") if turn else F.struct("n", "node").alias("k"), "node", "n", "pos", "label")
-    pivot = checkpoint(p.groupBy("token").agg(F.min(key).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("token", F.col("p.node").alias("a"), F.col("p.n").alias("na"), F.col("p.pos").alias("pa"), F.col("p.label").alias("la")))
-    met = p.join(pivot, "token").filter((F.col("label") != F.col("la")) & alike(F.col("n"), F.col("na")))
-    near = met.filter(enough(F.col("n"), F.col("na"), F.least(F.col("n") - F.col("pos"), F.col("na") - F.col("pa")) + (MOST - 1)))
-    shared = near.groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("c"))
+    own = F.col("first") * 256 / F.col("n")
+    key = F.struct((own if turn == 0 else F.floor(own / 8)).alias("k"), F.xxhash64(F.lit(turn), "node").alias("h"), "node", "n", "first", "label")
+    pivot = checkpoint(p.groupBy("token").agg(F.min(key).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("token", F.col("p.node").alias("a"), F.col("p.n").alias("n_a"), F.col("p.first").alias("first_a"), F.col("p.label").alias("label_a")))
+    met = p.withColumnsRenamed({"n": "n_b", "first": "first_b"}).join(pivot, "token").filter((F.col("label") != F.col("label_a")) & alike(F.col("n_b"), F.col("n_a")) & enough(F.col("n_b"), F.col("n_a"), room_of("_a", "_b")))
+    shared = met.groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("c"))
     return shared.groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
 
 
-def open_pairs(postings: DataFrame, labels: DataFrame) -> float:
-    per = postings.join(labels, "node").groupBy("token", "label").agg(F.count("*").cast("double").alias("c")).groupBy("token").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-    return float(per.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0.0)
-
-
 def rest_pairs(postings: DataFrame, labels: DataFrame) -> DataFrame:
     """All pairs of different components that share min(l, l') prefix shingles and have room for the overlap."""
     p = postings.join(labels, "node")
     per = p.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("k")).filter("k > 1").select("token", F.col("m.label").alias("main"))
     live = checkpoint(p.join(per, "token"))
     # Every open pair has an end outside the token's largest component.
-    a = live.filter(F.col("label") != F.col("main")).select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "l", "pos", "label")])
-    b = live.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "l", "pos", "label")], (F.col("label") != F.col("main")).alias("out"))
+    a = live.filter(F.col("label") != F.col("main")).select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "l", "first", "pos", "label")])
+    b = live.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "l", "first", "pos", "label")], (F.col("label") != F.col("main")).alias("out"))
     least = F.least("l_a", "l_b")
     room = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) + least - 1
-    met = a.join(b, "token").filter((F.col("label_a") != F.col("label_b")) & (~F.col("out") | (F.col("node_a") < F.col("node_b"))) & alike(F.col("n_a"), F.col("n_b")) & enough(F.col("n_a"), F.col("n_b"), room))
+    met = a.join(b, "token").filter((F.col("label_a") != F.col("label_b")) & (~F.col("out") | (F.col("node_a") < F.col("node_b"))) & alike(F.col("n_a"), F.col("n_b")) & enough(F.col("n_a"), F.col("n_b"), room_of("_a", "_b")) & enough(F.col("n_a"), F.col("n_b"), room))
     pair = met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), least.alias("l"))
     return pair.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("l").alias("l")).filter("c >= l").select("a", "b")
 
@@ -269,16 +270,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     some = rows.filter(F.col("tokens").isNotNull())
     classes = checkpoint(some.groupBy("c1", "c2").agg(F.min("row").alias("node"), F.min("id").alias("least")))
     nodes = checkpoint(some.drop("id", "c1", "c2").join(classes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node"))
-    postings = nodes.select("node", "n", "l", "first", F.posexplode("tokens").alias("i", "token")).select("token", "node", "n", "l", (F.col("first") + F.col("i")).alias("pos"))
+    postings = nodes.select("node", "n", "l", "first", F.posexplode("tokens").alias("i", "token")).select("token", "node", "n", "l", "first", (F.col("first") + F.col("i")).alias("pos"))
     labels = nodes.select("node", F.col("node").alias("label"))
-    size = float(nodes.agg(F.sum(F.size("tokens"))).first()[0] or 0)
-    for turn in range(ROUNDS):
-        left = open_pairs(postings, labels) if turn else np.inf
+    size, turn, linked = nodes.count(), 0, 1
+    while linked > WORTH * size * (turn > 0):
+        found = checkpoint(verified(pivots(postings, labels, turn), nodes))
+        linked = found.count()
         if report is not None:
-            report.setdefault("open", []).append((left, size))
-        if left <= OPEN * size:
-            break
-        labels = components(labels, verified(pivots(postings, labels, turn), nodes))
+            report.setdefault("linked", []).append((linked, size))
+        if linked:
+            labels = components(labels, found)
+        turn += 1
     labels = components(labels, verified(rest_pairs(postings, labels), nodes))
     least = labels.join(classes, "node").groupBy("label").agg(F.min("least").alias("component_id"))
     of_class = checkpoint(classes.select("c1", "c2", "node").join(labels, "node").join(least, "label").select("c1", "c2", "component_id"))
