@@ -77,7 +77,11 @@ def features_of(words: set[str]) -> list[int]:
     return sorted(out)
 
 
-SAMPLE_FIELDS = T.StructType([T.StructField("plain", T.ArrayType(T.IntegerType())), T.StructField("a", T.ArrayType(T.IntegerType())), T.StructField("b", T.ArrayType(T.IntegerType()))])
+SAMPLE_FIELDS = T.StructType([T.StructField(c, T.BinaryType()) for c in ("plain", "a", "b")])
+
+
+def packed(features: list[int]) -> bytes:
+    return np.asarray(features, dtype="<i4").tobytes()
 
 
 def sampled(texts: list) -> list:
@@ -87,9 +91,9 @@ def sampled(texts: list) -> list:
         words = words_of(t)
         x, y = swapped(words, zlib.crc32((t or "").encode("utf-8", "replace")))
         fx, fy = set(features_of(x)), set(features_of(y))
-        plain.append(features_of(words))
-        left.append(sorted(fx - fy))
-        right.append(sorted(fy - fx))
+        plain.append(packed(features_of(words)))
+        left.append(packed(sorted(fx - fy)))
+        right.append(packed(sorted(fy - fx)))
     return [plain, left, right]
 
 
@@ -97,9 +101,9 @@ def columns(rows: list, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row and chosen-feature numbers of the non-zero cells."""
     place = np.full(1 << BITS, -1, dtype=np.int32)
     place[chosen] = np.arange(chosen.size)
-    sizes = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
-    flat = place[np.concatenate([np.asarray(r, dtype=np.int64) for r in rows]) if sizes.sum() else np.zeros(0, dtype=np.int64)]
-    at = np.repeat(np.arange(len(rows)), sizes)
+    sizes = np.fromiter(map(len, rows), dtype=np.int32, count=len(rows)) // 4
+    flat = place[np.frombuffer(b"".join(rows), dtype="<i4")]
+    at = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
     return at[flat >= 0], flat[flat >= 0]
 
 
@@ -118,7 +122,7 @@ class Model:
         if not n0 or not n1:
             return Model({}, prior)
         size = 1 << BITS
-        both = [np.bincount(np.concatenate([np.asarray(r, dtype=np.int64) for r, k in zip(plain, y, strict=True) if k == c] or [np.zeros(0, np.int64)]), minlength=size).astype(np.float64) for c in (0, 1)]
+        both = [np.bincount(np.frombuffer(b"".join(r for r, k in zip(plain, y, strict=True) if k == c), dtype="<i4"), minlength=size) for c in (0, 1)]
         p0, p1 = (both[0] + 0.5) / (n0 + 1), (both[1] + 0.5) / (n1 + 1)
         p = (both[0] + both[1] + 1) / (n0 + n1 + 2)
         ratio = sum(c * np.log(q / p) + (n - c) * np.log((1 - q) / (1 - p)) for c, q, n in ((both[0], p0, n0), (both[1], p1, n1)))
