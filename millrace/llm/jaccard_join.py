@@ -41,7 +41,7 @@ SHINGLE, PERCENT = 5, 80
 #: Bytes of the table of counts. It is broadcast; its size is the same for any input.
 SLOT_BITS = 25
 #: Cost of verifying a candidate, in postings; longest l.
-VERIFY, MOST = 50.0, 6
+VERIFY, MOST = 50.0, 3
 #: Rounds of pivots go on while one links this share of the nodes at least.
 WORTH = 0.03
 MEMO_WORDS = 500_000
@@ -246,8 +246,8 @@ def pivots(postings: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     return shared.groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
 
 
-def rest_pairs(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    """All pairs of different components that share min(l, l') prefix shingles and have room for the overlap."""
+def open_rows(postings: DataFrame, labels: DataFrame) -> DataFrame:
+    """a, b, l for each prefix shingle that two documents of different components share and that leaves room for the overlap."""
     p = postings.join(labels, "node")
     per = p.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("k")).filter("k > 1").select("token", F.col("m.label").alias("main"))
     live = checkpoint(p.join(per, "token"))
@@ -255,10 +255,16 @@ def rest_pairs(postings: DataFrame, labels: DataFrame) -> DataFrame:
     a = live.filter(F.col("label") != F.col("main")).select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "l", "first", "pos", "label")])
     b = live.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "l", "first", "pos", "label")], (F.col("label") != F.col("main")).alias("out"))
     least = F.least("l_a", "l_b")
-    room = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) + least - 1
-    met = a.join(b, "token").filter((F.col("label_a") != F.col("label_b")) & (~F.col("out") | (F.col("node_a") < F.col("node_b"))) & alike(F.col("n_a"), F.col("n_b")) & enough(F.col("n_a"), F.col("n_b"), room_of("_a", "_b")) & enough(F.col("n_a"), F.col("n_b"), room))
-    pair = met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), least.alias("l"))
-    return pair.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("l").alias("l")).filter("c >= l").select("a", "b")
+    room = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    # Shared shingles before this one are neither set's own; of those after it, and itself, there are ``room`` at most.
+    whole = F.least(F.col("pos_a") - F.col("first_a"), F.col("pos_b") - F.col("first_b")) + room
+    met = a.join(b, "token").filter((F.col("label_a") != F.col("label_b")) & (~F.col("out") | (F.col("node_a") < F.col("node_b"))) & alike(F.col("n_a"), F.col("n_b")) & enough(F.col("n_a"), F.col("n_b"), whole) & enough(F.col("n_a"), F.col("n_b"), room + least - 1))
+    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), least.alias("l"))
+
+
+def rest_pairs(postings: DataFrame, labels: DataFrame) -> DataFrame:
+    """All pairs of different components that share min(l, l') prefix shingles."""
+    return open_rows(postings, labels).groupBy("a", "b").agg(F.count("*").alias("c"), F.max("l").alias("l")).filter("c >= l").select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = SLOT_BITS, report: dict | None = None) -> DataFrame:
