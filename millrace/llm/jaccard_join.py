@@ -95,8 +95,8 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.cumsum(d.view("<u8").ravel(), dtype=np.uint64)
 
 
-def count_table(docs: DataFrame, text_col: str, bits: int = SLOT_BITS) -> np.ndarray:
-    """The table: for each slot, 0 if its shingles occur once each, else 1 + log2(count / 2) of the most frequent."""
+def count_table(docs: DataFrame, text_col: str, bits: int = SLOT_BITS) -> bytes:
+    """The table, compressed: for each slot, 0 if its shingles occur once each, else 1 + log2(count / 2) of the most frequent."""
     small_batches(docs.sparkSession)
     ship(docs.sparkSession)
     # As many buckets as the input has need of, so that a bucket's size doesn't grow with the input.
@@ -136,7 +136,7 @@ def count_table(docs: DataFrame, text_col: str, bits: int = SLOT_BITS) -> np.nda
     width = 1 << bits - bucket_bits
     for r in rows.toLocalIterator():  # all segments together are the table, whatever the input's size
         out[r["bucket"] * width : (r["bucket"] + 1) * width] = np.frombuffer(zstandard.decompress(bytes(r["segment"])), dtype=np.uint8)
-    return out
+    return zstandard.compress(out.tobytes(), 3)
 
 
 # Prefixes.
@@ -173,8 +173,8 @@ ROWS = T.StructType(
 )
 
 
-def prefixes(levels: np.ndarray, bits: int):
-    memo = Words()
+def prefixes(table_: bytes, bits: int):
+    memo, levels = Words(), np.frombuffer(zstandard.decompress(table_), dtype=np.uint8)
 
     def fn(texts: list) -> list:
         rows = []

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from .common import crc_of_id, map_texts, table
 
-SAMPLE = 4_000
+SAMPLE = 3_000
 FEATURES = 4_000
 #: Features are known by this many bits of a hash of their text.
 BITS = 20
