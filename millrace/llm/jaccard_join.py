@@ -15,7 +15,8 @@ prefix of such shingles has no partner and sends nothing on. In most texts that
 
 Groups. Equal texts are one node. Near-copy groups aren't expanded into pairs: in rounds, each prefix shingle picks
 one pivot among its documents, every document is verified against the pivot it shares most with, and components
-grow. Only pairs from different components are still open. When few are, all of them are candidates, so no
+grow. Only pairs from different components are still open. When these are few, or a round links few documents, all of
+them are verified, so no
 link between components is missed.
 
 Semantics. A-Z are lower-cased; words are ``[^\\x20\\x09-\\x0D]+``. Texts of fewer than five words are one shingle,
@@ -42,7 +43,7 @@ SHINGLE, PERCENT = 5, 80
 SLOT_BITS = 25
 #: Cost of verifying a candidate, in postings; longest l.
 VERIFY, MOST = 50.0, 3
-#: Rounds of pivots go on while one links this share of the nodes at least.
+#: Rounds of pivots go on while more pairs than nodes are open and a round links this share of the nodes.
 WORTH = 0.03
 MEMO_WORDS = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -136,7 +137,7 @@ def count_table(docs: DataFrame, text_col: str, bits: int = SLOT_BITS) -> bytes:
     width = 1 << bits - bucket_bits
     for r in rows.toLocalIterator():  # all segments together are the table, whatever the input's size
         out[r["bucket"] * width : (r["bucket"] + 1) * width] = np.frombuffer(zstandard.decompress(bytes(r["segment"])), dtype=np.uint8)
-    return zstandard.compress(out.tobytes(), 3)
+    return zstandard.compress(out, 3)
 
 
 # Prefixes.
@@ -278,16 +279,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = checkpoint(some.drop("id", "c1", "c2").join(classes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node"))
     postings = nodes.select("node", "n", "l", "first", F.posexplode("tokens").alias("i", "token")).select("token", "node", "n", "l", "first", (F.col("first") + F.col("i")).alias("pos"))
     labels = nodes.select("node", F.col("node").alias("label"))
-    size, turn, linked = nodes.count(), 0, 1
-    while linked > WORTH * size * (turn > 0):
+    size, turn = nodes.count(), 0
+    while True:
         found = checkpoint(verified(pivots(postings, labels, turn), nodes))
-        linked = found.count()
-        if report is not None:
-            report.setdefault("linked", []).append((linked, size))
+        linked, turn = found.count(), turn + 1
         if linked:
             labels = components(labels, found)
-        turn += 1
-    labels = components(labels, verified(rest_pairs(postings, labels), nodes))
+        rest = checkpoint(rest_pairs(postings, labels))
+        left = rest.count()
+        if report is not None:
+            report.setdefault("rounds", []).append((size, linked, left))
+        if left <= size or linked <= WORTH * size:
+            break
+    if left:
+        labels = components(labels, verified(rest, nodes))
     least = labels.join(classes, "node").groupBy("label").agg(F.min("least").alias("component_id"))
     of_class = checkpoint(classes.select("c1", "c2", "node").join(labels, "node").join(least, "label").select("c1", "c2", "component_id"))
     # A class of copies may hold a third of the rows: its key is read from the rows' own exchange, which a skew join can split.

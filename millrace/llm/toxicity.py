@@ -97,14 +97,32 @@ def sampled(texts: list) -> list:
     return [plain, left, right]
 
 
-def columns(rows: list, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and chosen-feature numbers of the non-zero cells."""
-    place = np.full(1 << BITS, -1, dtype=np.int32)
-    place[chosen] = np.arange(chosen.size)
-    sizes = np.fromiter(map(len, rows), dtype=np.int32, count=len(rows)) // 4
-    flat = place[np.frombuffer(b"".join(rows), dtype="<i4")]
-    at = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
-    return at[flat >= 0], flat[flat >= 0]
+class Rows:
+    """Feature numbers of many rows, one after the other, and how many each row has."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
+        self.flat, self.sizes = flat, sizes
+
+    @staticmethod
+    def of(column) -> Rows:
+        """From an Arrow column of packed features, without copying them."""
+        a = column.combine_chunks()
+        a = a.chunk(0) if hasattr(a, "chunk") and a.num_chunks else a
+        if not len(a):
+            return Rows(np.zeros(0, dtype="<i4"), np.zeros(0, dtype=np.int64))
+        ends = np.frombuffer(a.buffers()[1], dtype="<i4", count=len(a) + 1, offset=a.offset * 4)
+        return Rows(np.frombuffer(a.buffers()[2], dtype="<i4", count=int(ends[-1] - ends[0]) // 4, offset=int(ends[0])), np.diff(ends) // 4)
+
+    def counts(self, of_rows: np.ndarray, size: int) -> np.ndarray:
+        return np.bincount(self.flat[np.repeat(of_rows, self.sizes)], minlength=size)
+
+    def cells(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row and chosen-feature numbers of the non-zero cells."""
+        place = np.full(1 << BITS, -1, dtype=np.int16 if chosen.size < 1 << 15 else np.int32)
+        place[chosen] = np.arange(chosen.size)
+        col = place[self.flat]
+        have = col >= 0
+        return np.repeat(np.arange(self.sizes.size, dtype=np.int32), self.sizes)[have], col[have].astype(np.int32)
 
 
 class Model:
@@ -114,7 +132,7 @@ class Model:
         self.weights, self.intercept = weights, intercept
 
     @staticmethod
-    def fit(plain: list, left: list, right: list, labels: np.ndarray, shares: tuple[float, float], rounds: int = 250) -> Model:
+    def fit(plain: Rows, left: Rows, right: Rows, labels: np.ndarray, shares: tuple[float, float], rounds: int = 250) -> Model:
         """shares: labelled rows of class 0 and 1, from which the sample was drawn."""
         y = labels.astype(np.float64)
         n0, n1 = float((y == 0).sum()), float((y == 1).sum())
@@ -122,7 +140,7 @@ class Model:
         if not n0 or not n1:
             return Model({}, prior)
         size = 1 << BITS
-        both = [np.bincount(np.frombuffer(b"".join(r for r, k in zip(plain, y, strict=True) if k == c), dtype="<i4"), minlength=size) for c in (0, 1)]
+        both = [plain.counts(y == c, size) for c in (0, 1)]
         p0, p1 = (both[0] + 0.5) / (n0 + 1), (both[1] + 0.5) / (n1 + 1)
         p = (both[0] + both[1] + 1) / (n0 + n1 + 2)
         ratio = sum(c * np.log(q / p) + (n - c) * np.log((1 - q) / (1 - p)) for c, q, n in ((both[0], p0, n0), (both[1], p1, n1)))
@@ -130,9 +148,8 @@ class Model:
         chosen = np.sort(np.argsort(-ratio, kind="stable")[: min(FEATURES, int(np.isfinite(ratio).sum()))])
         terms = np.unique([f for t in KIND for f in word_features(t)])
         chosen = np.union1d(chosen, terms)
-        at, col = columns(plain, chosen)
-        (la, lc), (ra, rc) = columns(left, chosen), columns(right, chosen)
-        n, k = len(plain), chosen.size
+        (at, col), (la, lc), (ra, rc) = plain.cells(chosen), left.cells(chosen), right.cells(chosen)
+        n, k = y.size, chosen.size
         # Each class weighs as much as it has labelled rows, so the scores are probabilities of the whole table.
         weight = np.where(y == 1, shares[1] / n1, shares[0] / n0) / (shares[0] + shares[1])
         w, b = np.zeros(k), prior
@@ -187,8 +204,8 @@ def labelled_sample(labels: DataFrame, id_col: str, label: str, mod: int, held:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", mod: int = FOLDS, held: int = HELD_OUT, sample: int = SAMPLE) -> Model:
     ids, shares = labelled_sample(labels, id_col, label, mod, held, sample)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(ids, "__id")
-    got = map_texts(rows, "__text", lambda: sampled, SAMPLE_FIELDS, ["__id", "y"]).toPandas().sort_values("__id", kind="stable")
-    return Model.fit(list(got["plain"]), list(got["a"]), list(got["b"]), got["y"].to_numpy(), shares)
+    got = map_texts(rows, "__text", lambda: sampled, SAMPLE_FIELDS, ["__id", "y"]).toArrow().sort_by("__id")
+    return Model.fit(Rows.of(got["plain"]), Rows.of(got["a"]), Rows.of(got["b"]), got["y"].to_numpy(), shares)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
