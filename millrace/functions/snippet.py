@@ -1,0 +1,39 @@
+"""A short excerpt around a match, for the few rows that a search shows."""
+
+from __future__ import annotations
+
+import regex
+
+from .plain import fold_tokens
+
+SIZE = 16
+
+
+def snippet(fields: list[str | None], phrases: list[list[str]], size: int = SIZE) -> str:
+    """``size`` tokens of the field with the most matched tokens in a window, << >> around matches, ... where cut."""
+    best = (0, 0, "", [], [], 0)
+    for f in fields:
+        spans = [(m.start(), m.end()) for m in regex.finditer(r"[\p{L}\p{N}]+", f or "")]
+        folded = [fold_tokens(f[a:b])[0] if fold_tokens(f[a:b]) else "" for a, b in spans]
+        runs = [(i, i + len(p)) for p in phrases if p for i in range(len(folded) - len(p) + 1) if folded[i : i + len(p)] == p]
+        if not runs:
+            continue
+        for a, _ in sorted(runs):
+            begin = max(0, min(a - size // 2, len(spans) - size)) if a >= size else 0
+            inside = sorted({r for r in runs if r[0] >= begin and r[1] <= begin + size})
+            n = len({folded[i] for x, y in inside for i in range(x, y)})
+            if (n, len(inside)) > best[:2]:
+                best = (n, len(inside), f, spans, inside, begin)
+    _, _, text, spans, inside, begin = best
+    if not spans:
+        f = next((x for x in fields if x), "")
+        return f[:120]
+    end = min(len(spans), begin + size)
+    out, at = [], spans[begin][0] if begin else 0
+    for x, y in inside:
+        if spans[x][0] < at:
+            continue
+        out += [text[at : spans[x][0]], "<<", text[spans[x][0] : spans[y - 1][1]], ">>"]
+        at = spans[y - 1][1]
+    out.append(text[at : spans[end - 1][1] if end < len(spans) else len(text)])
+    return ("..." if begin else "") + "".join(out) + ("..." if end < len(spans) else "")
