@@ -18,8 +18,8 @@ def fault(df: DataFrame, rule: str, bad: Column | None = None, path: str = "path
 
 
 def duplicates(df: DataFrame, key: str, path: str, rule: str) -> DataFrame:
-    d = df.groupBy(key).agg(F.count("*").alias("c"), F.min(path).alias("path")).filter("c > 1")
-    return fault(d, rule, detail=F.col(key))
+    d = df.groupBy(F.col(key).alias("value")).agg(F.count("*").alias("c"), F.min(path).alias("first")).filter("c > 1")
+    return fault(d, rule, path="first", detail=F.col("value"))
 
 
 def foreign_keys(corpus: Corpus) -> DataFrame:
