@@ -53,7 +53,7 @@ Cited [source: ../sources/a.md#p] but not [source: http://x] and not [source: ..
     a = M.analyze("wiki/p.md", body)
     assert a.first_h1 == "T" and a.links == ["sources/r.md", "wiki/b.md", "wiki/c.md", "wiki/e.md", "wiki/x"] and a.sources == ["sources/a.md", "sources/d.md"]
     assert a.citations == [("sources/a.md", "p")] and ("wiki/p.md", "t") in a.link_refs
-    for bad in ("[x](../../x.md)", "[x](/etc/x.md)", "[x](other/x.md)"):
+    for bad in ("[x](../../x.md)", "[x](/etc/x.md)", "[x](../other/x.md)"):
         with pytest.raises(M.MarkdownError):
             M.analyze("wiki/p.md", bad)
 
