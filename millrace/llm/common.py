@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-import zipfile
-import zlib
 from collections.abc import Callable, Iterable
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..sources.ship import ship
+
+__all__ = ["BATCH_ROWS", "LOWER_ASCII", "checkpoint", "crc_of_id", "map_texts", "scan_parts", "ship", "small_batches", "table"]
+
 #: Rows of an Arrow batch at most. Texts may be long, so a batch is short.
 BATCH_ROWS = 500
 
@@ -42,15 +43,6 @@ def crc_of_id(col: str | Column) -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary") if isinstance(col, str) else col.cast("string").cast("binary"))
 
 
-def fold_of(doc_id: int | None, mod: int) -> int | None:
-    return None if doc_id is None else zlib.crc32(str(doc_id).encode()) % mod
-
-
-def lower_ascii(col: Column) -> Column:
-    """Lower-cases A-Z alone; other letters stay."""
-    return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 LOWER_ASCII = {i: i + 32 for i in range(65, 91)}
 
 
@@ -77,20 +69,6 @@ def map_texts(df: DataFrame, text: str, make: Callable[[], Callable[[list], list
     return src.mapInArrow(run, schema)
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each Spark context; they need not have it installed."""
-    sc = spark.sparkContext
-    if getattr(sc, "_millrace_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    name = Path(tempfile.mkdtemp(prefix="millrace-")) / "millrace_package.zip"
-    with zipfile.ZipFile(name, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent))
-    sc.addPyFile(str(name))
-    sc._millrace_shipped = True
-
-
 def scan_parts(df: DataFrame) -> int:
     """Tasks of the scan: the measure of the input from which bucket counts are derived."""
     return max(1, df.rdd.getNumPartitions())
