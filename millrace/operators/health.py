@@ -15,6 +15,7 @@ from .. import schema as C
 from ..functions import text as X
 from . import terms as W
 from .corpus import Corpus
+from .pair_blocks import lexical_pairs
 
 COLUMNS = ("type", "confidence", "score", "pages", "sources", "reasons", "queries", "instruction")
 
@@ -139,12 +140,17 @@ def coverage_gaps(corpus: Corpus) -> DataFrame:
 # Pairs of pages.
 
 
-def blocked_pairs(corpus: Corpus, weights: DataFrame) -> DataFrame:
-    """a < b: pages that share a tag, a source, or one of their top terms. Three equi-joins on the shared key."""
+def pair_keys(corpus: Corpus, weights: DataFrame) -> DataFrame:
+    """path, key: the tags, sources and top terms by which pages may meet."""
     tag = corpus.tags.select("path", F.concat(F.lit("t"), "tag").alias("key"))
     source = corpus.citations.select(F.col("wiki_path").alias("path"), F.concat(F.lit("s"), "source_path").alias("key"))
     term = W.pair_terms(weights, C.PAIR_TERMS, C.RARE_TERM).select("path", F.concat(F.lit("w"), "term").alias("key"))
-    k = tag.unionAll(source).unionAll(term).distinct()
+    return tag.unionAll(source).unionAll(term).distinct()
+
+
+def blocked_pairs(corpus: Corpus, weights: DataFrame) -> DataFrame:
+    """a < b: pages that share a tag, a source, or one of their top terms: an equi-join on the shared key."""
+    k = pair_keys(corpus, weights)
     return k.withColumnRenamed("path", "a").join(k.withColumnRenamed("path", "b"), "key").filter("a < b").select("a", "b").distinct()
 
 
@@ -181,11 +187,11 @@ def lexical_overlap(pairs: DataFrame, weights: DataFrame, digits: int = 9) -> Da
 
 def scored_pairs(corpus: Corpus, weights: DataFrame) -> DataFrame:
     """Pairs that pass the gate, with type, score and evidence; score is calibrated, before any enrichment."""
-    blocked = blocked_pairs(corpus, weights)
+    lexical = lexical_pairs(pair_keys(corpus, weights), weights, corpus.tags.select("path", F.col("tag").alias("value")), corpus.citations.select(F.col("wiki_path").alias("path"), F.col("source_path").alias("value")))
+    # Pairs without any lexical overlap are in the block plan's rows too, with j = 0, where another signal lets them pass.
     signals = shared_signals(corpus)
-    lexical = lexical_overlap(blocked, weights)
     edge = wiki_edges(corpus).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(True).alias("linked")).distinct()
-    p = blocked.join(signals, ["a", "b"], "left").join(lexical, ["a", "b"], "left").join(edge, ["a", "b"], "left")
+    p = lexical.join(signals, ["a", "b"], "left").join(edge, ["a", "b"], "left")
     none = strings()
     p = p.select("a", "b", F.coalesce("tags", none).alias("tags"), F.coalesce("sources", none).alias("sources"), F.coalesce("tag_score", F.lit(0.0)).alias("ts"), F.coalesce("source_score", F.lit(0.0)).alias("ss"), F.coalesce("rare", F.lit(0)).alias("rare"), F.coalesce("j", F.lit(0.0)).alias("j"), F.coalesce("shared_terms", none).alias("shared_terms"), F.coalesce("linked", F.lit(False)).alias("linked"))
     base = F.col("ts") + F.col("ss") + F.least(F.lit(0.30), 1.5 * F.col("j"))
@@ -233,7 +239,7 @@ def fielded(corpus: Corpus) -> DataFrame:
 def pairs(corpus: Corpus, weights: DataFrame | None = None) -> DataFrame:
     """Pair candidates with their enrichment."""
     weights = W.weighted_terms(W.term_counts(corpus), W.wiki_count(corpus)) if weights is None else weights
-    p = scored_pairs(corpus, weights)
+    p = scored_pairs(corpus, weights).persist()  # read twice: for the best hundred, and in full
     p = p.join(older_relevant(corpus, p), ["a", "b"], "left")
     score = F.when(F.col("older").isNotNull(), X.clamp_score(F.col("score") + 0.10)).otherwise(F.col("score"))
     as_reasons = lambda col, code: F.transform(col, lambda x: F.struct(F.lit(code).alias("code"), x.alias("value")))
@@ -302,7 +308,7 @@ def health(corpus: Corpus, kind: str = "all", path: str = "", limit: int = C.CAN
     if path.startswith("/") or ".." in path.split("/"):
         raise ValueError(f"path prefix {path!r} leaves the corpus")
     limit = C.CANDIDATE_LIMIT if limit <= 0 else min(limit, C.CANDIDATE_MOST)
-    weights = W.weighted_terms(W.term_counts(corpus), W.wiki_count(corpus))
+    weights = W.weighted_terms(W.term_counts(corpus), W.wiki_count(corpus)).persist()
     makers = {"pairs": lambda: pairs(corpus, weights), "orphans": lambda: orphans(corpus, weights), "stubs": lambda: stubs(corpus, weights), "tags": lambda: tag_anomalies(corpus), "uncited": lambda: uncited_sources(corpus), "gaps": lambda: coverage_gaps(corpus)}
     needed = {"all": list(makers), "duplicates": ["pairs"], "links": ["pairs"], "sources": ["uncited", "gaps"], "orphans": ["orphans"], "stubs": ["stubs"], "tags": ["tags"]}[kind]
     rows = of_kind(reduce(DataFrame.unionByName, [makers[m]() for m in needed]), kind)

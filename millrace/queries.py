@@ -212,7 +212,7 @@ def counts(spark, d) -> tuple[Corpus, DataFrame]:
 
 def weights(spark, d) -> tuple[Corpus, DataFrame]:
     c, t = counts(spark, d)
-    return c, W.weighted_terms(t, W.wiki_count(c))
+    return c, W.weighted_terms(t, W.wiki_count(c)).persist()
 
 
 @query(TERMED + "SELECT path, term, tf FROM tf")

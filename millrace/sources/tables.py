@@ -61,11 +61,13 @@ def corpus_of(table: DataFrame) -> Corpus:
     sections = lines.withColumn("heading", heading).select(
         X.section_id(F.col("document_id"), ordinal).alias("section_id"), "document_id", "path", ordinal.alias("ordinal"), "heading", F.when(F.col("heading").isNotNull(), X.anchor(F.col("heading"))).alias("anchor"), F.when(F.col("heading").isNotNull(), F.when(F.col("pos") == 0, 1).otherwise(2)).alias("level"), "body"
     )
-    tags = documents.filter(is_wiki).select(F.col("id").alias("document_id"), "path", F.explode("tags").alias("tag"))
-    links = resolve_links(documents.filter(is_wiki).select(F.col("id").alias("from_document_id"), F.col("path").alias("from_path"), F.lit("").alias("from_anchor"), F.explode("links").alias("to_path"), F.lit("").alias("to_anchor")).withColumn("kind", X.target_kind(F.col("to_path"))), documents)
-    plain = documents.filter(is_wiki).select(F.col("id").alias("document_id"), F.col("path").alias("wiki_path"), F.explode("sources").alias("source_path"), F.lit("").alias("source_anchor"), F.lit("frontmatter_source").alias("citation_kind"))
+    # Everything but the texts is small beside them and read by every query several times.
+    narrow = documents.drop("text", "doc_id", "lang").persist()
+    tags = narrow.filter(is_wiki).select(F.col("id").alias("document_id"), "path", F.explode("tags").alias("tag"))
+    links = resolve_links(narrow.filter(is_wiki).select(F.col("id").alias("from_document_id"), F.col("path").alias("from_path"), F.lit("").alias("from_anchor"), F.explode("links").alias("to_path"), F.lit("").alias("to_anchor")).withColumn("kind", X.target_kind(F.col("to_path"))), narrow)
+    plain = narrow.filter(is_wiki).select(F.col("id").alias("document_id"), F.col("path").alias("wiki_path"), F.explode("sources").alias("source_path"), F.lit("").alias("source_anchor"), F.lit("frontmatter_source").alias("citation_kind"))
     # Even pages cite the fourth section of the source that their hash names.
     fourth = sections.filter((F.col("ordinal") == 4) & F.col("anchor").isNotNull()).select(F.col("path").alias("source_path"), F.col("anchor").alias("source_anchor"))
     even = wiki.filter("doc_id % 2 = 0").select("doc_id", "path", cited.alias("no")).join(ids.select(F.col("doc_id").alias("no"), F.col("path").alias("source_path")), "no").join(fourth, "source_path")
     inline = even.select(F.concat(F.lit("doc_"), F.md5("path")).alias("document_id"), F.col("path").alias("wiki_path"), "source_path", "source_anchor", F.lit("inline_source").alias("citation_kind"))
-    return Corpus(documents.drop("text", "doc_id", "lang"), sections, links, plain.unionByName(inline), tags)
+    return Corpus(narrow, sections, links, plain.unionByName(inline), tags)
