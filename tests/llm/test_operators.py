@@ -397,12 +397,14 @@ def test_lm_scoring(spark):
 
 
 def test_lm_automaton_sums_to_one():
-    words = {"": 3, "a": 6, "b": 4, "c": 2}
-    m = lm_scoring.Automaton(words, [("a", "b", 3), ("a", "", 2), ("", "a", 2)], 15, 0.5)
-    root = sum(10**x for x in m.root.values())
-    for state, row in m.arcs.items():
-        rest = sum(10 ** m.root[w] for w in words if w not in row) + (1 - root)
-        assert abs(sum(10**x for x in row.values()) + 10 ** m.fail[state] * rest - 1) < 1e-9
+    words = {b"": 3, b"a": 6, b"b": 4, b"c": 2}
+    m = lm_scoring.Automaton(words, [(b"a", b"b", 3), (b"a", b"", 2), (b"", b"a", 2)], 15, 0.5)
+    unknown = 0.5 * 4 / 15
+    for before in ([], [b"a"], [b"b"], [b"x"]):
+        ahead = m.score(m.numbers(before)[:-1])[0] if before else 0.0
+        after = {w: 10 ** (m.score(np.append(m.numbers(before)[:-1], m.number.get(w, -1)))[0] - ahead) for w in [*words, b"x"]}
+        after[b"x"] *= unknown
+        assert abs(sum(after.values()) - 1) < 1e-9
 
 
 def test_lm_without_training(spark):
