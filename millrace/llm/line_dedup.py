@@ -4,7 +4,7 @@ Each run of ``WINDOW`` consecutive lines is a window, known by 128 bits of hash.
 than once anywhere keeps its first occurrence, by (id, text's hash, line); the lines that any later occurrence
 covers are removed. Covered positions of overlapping windows merge, so each line goes once.
 
-Semantics. Lines are what newlines separate, a trailing carriage return aside; no other change. Texts of fewer
+Semantics. Lines are what newlines separate, trailing carriage returns aside; no other change. Texts of fewer
 lines than a window have none and stay. Null texts stay null, empty ones empty; a text all of whose lines go
 becomes empty, its row stays. Rows that agree in id and text are one occurrence and are treated alike; rows
 without id are ordered before the others. Other columns, whatever their names, pass through unchanged.
@@ -30,7 +30,7 @@ def lines_of(text: str) -> Column:
 
 def windows_of(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
     """__id, __t (text's hash), i (first line, from 0), h1, h2 (the window's hash)."""
-    keyed = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__t"), F.transform(lines_of(text_col), lambda x: F.regexp_replace(x, "\r$", "")).alias("ls"))
+    keyed = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__t"), F.transform(lines_of(text_col), lambda x: F.rtrim(x, F.lit("\r"))).alias("ls"))
     at = F.sequence(F.lit(0), F.size("ls") - window)
     hashed = F.transform(at, lambda i: F.struct(F.xxhash64(*[F.get("ls", i + k) for k in range(window)]).alias("h1"), F.xxhash64(F.lit(1), *[F.get("ls", i + k) for k in range(window)]).alias("h2")))
     return keyed.filter(F.size("ls") >= window).select("__id", "__t", F.posexplode(hashed).alias("i", "h")).select("__id", "__t", "i", "h.h1", "h.h2")
@@ -54,13 +54,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ident, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
     joined = src.join(starts, F.col(ident).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__t")), "left")
     covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (window - 1)))))
-    kept = joined.withColumn("ls", lines_of(text)).withColumn("gone", F.when(F.col("starts").isNotNull(), covered))
+    # Texts that lose nothing are neither split nor copied; their lines are counted by their newlines.
+    kept = joined.withColumn("ls", F.when(F.col("starts").isNotNull(), lines_of(text))).withColumn("gone", F.when(F.col("starts").isNotNull(), covered))
+    n_lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
     # array_except hashes the covered places: the time is linear in the lines, however many are covered.
     stay = F.array_except(F.sequence(F.lit(0), F.size("ls") - 1), "gone")
     clean = F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(stay, lambda i: F.get("ls", i)), "\n"))
     out = [clean.alias(c) if c == text_col else F.col(f"c{k}").alias(c) for k, c in enumerate(names)]
     if counts:
-        out += [F.when(F.col(text).isNull(), 0).otherwise(F.size("ls")).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed")]
+        out += [F.when(F.col(text).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed")]
     return kept.select(*out)
 
 
@@ -71,7 +73,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = r"""
 WITH l AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-w AS (SELECT doc_id, i, regexp_replace(ls[i], '\r$', '') || chr(10) || regexp_replace(ls[i + 1], '\r$', '') || chr(10) || regexp_replace(ls[i + 2], '\r$', '') AS h
+w AS (SELECT doc_id, i, rtrim(ls[i], chr(13)) || chr(10) || rtrim(ls[i + 1], chr(13)) || chr(10) || rtrim(ls[i + 2], chr(13)) AS h
       FROM (SELECT doc_id, ls, unnest(range(1, len(ls) - 1)) AS i FROM l WHERE len(ls) >= 3)),
 r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS k FROM w),
 g AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM r WHERE k > 1) GROUP BY doc_id)

@@ -59,7 +59,7 @@ def brute_dedup(rows):
     for i, t in sorted(rows):
         ls = (t or "").split("\n")
         for k in range(len(ls) - 2):
-            w = tuple(x.removesuffix("\r") for x in ls[k : k + 3])
+            w = tuple(x.rstrip("\r") for x in ls[k : k + 3])
             if first.setdefault(w, (i, k)) != (i, k):
                 gone[i].update(range(k, k + 3))
     return {i: t if not gone[i] else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in rows}
