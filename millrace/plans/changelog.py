@@ -38,3 +38,8 @@ def fault() -> Column:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     return parse(spark.read.text(path))
+
+
+def render(entries: list[tuple[str, str, str, str]]) -> str:
+    """A changelog's whole text from (date, operation, actor, reason)."""
+    return "# Changelog\n\n" + ("".join(f"- {d} [{o}] [{a}]: {r}\n" for d, o, a, r in entries) or f"{EMPTY}\n")
