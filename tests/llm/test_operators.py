@@ -316,6 +316,16 @@ def test_html_tables(spark):
         assert got[i] == " ".join(html.unescape(re.sub(r"<[^>]*>", " ", body)).split()), i
 
 
+@pytest.mark.parametrize("page,want", [
+    ('<div class="main-menu">m</div><div id="main-content"><div class="article-header"><h1>T</h1></div><p>x</p></div><div>z</div>', "T x"),
+    ('<main><h2>no</h2><article><p>a</p><div class="share">s</div></article></main>', "a"),
+    ('<div role="main">a<div class="cookie-notice">c</div> b</div>', "a b"),
+    ('<p title="a > b">x</p><p>y &#8212; &eacute;&nbsp;z', "x y \u2014 \u00e9 z"),
+])
+def test_regions(page, want):
+    assert html_extraction.Reader().text(page, None, 0) == want
+
+
 def test_wrapper_is_union_free():
     letters = html_extraction.Letters()
     a, leaf = html_extraction.fold("<p # </p <p # </p <hr <p # </p <p # </p <hr".split(), letters)
