@@ -6,11 +6,12 @@ the unknown word. A word that begins kept bigrams is a state of its own: arcs wi
 log-probabilities, and one failure arc to the root whose weight makes all continuations sum to 1. A text is
 scored in one traversal from left to right that carries the state and adds up arc and failure weights.
 
-Scale. Counts come from every training text, by partial aggregation. Bigrams are kept from a share of
-``PAIR_SHARE`` of all tokens on, the same at every size, so there are at most 1 / share of them; the root arcs of
-words from a share of ``WORD_SHARE`` on are at most 1 / share. These two bounded parts are broadcast. The root
-arcs of all other words stay distributed: where the traversal takes one, its weight is added by a join on the
-word. No key of that join is hot, since words with many tokens are in the broadcast part.
+Scale. Counts come from every training text, by partial aggregation. Every bigram that occurs twice is kept, at
+every size. Words and bigrams from a share of ``WORD_SHARE`` and ``PAIR_SHARE`` of all tokens on are broadcast, with
+the failure weights of those words; there are at most 1 / share of them. All other root arcs, bigrams and failure
+weights stay distributed: tasks send what their texts need of them, packed, to the partitions that hold them, and
+sums by row come back. Neither way has a hot key: partitions come from both words of a bigram, and bigrams with many
+tokens are in the broadcast part. Rare words are told apart by 60 bits of their MD5 digest.
 
 Semantics. A-Z are lower-cased; tokens are the words ``[^\\x20\\x09-\\x0D]+`` and one end. Null and empty texts
 have the end alone. Training rows are those whose crc32(id as text) mod 10 isn't 0; rows with a null id are
@@ -20,21 +21,32 @@ is unknown with probability 1. Rows are scored one by one, so repeated ids and t
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import checkpoint, crc_of_id, map_texts, ship, small_batches, table
+from .common import checkpoint, crc_of_id, scan_parts, ship, small_batches, table
 
 FOLDS, HELD_OUT = 10, 0
-#: Shares of the training tokens from which on a word is broadcast and a bigram is kept.
+#: A bigram is kept from this count on, at every size.
+LEAST_PAIR = 2
+#: Shares of the training tokens from which on a word and a kept bigram are broadcast.
 WORD_SHARE, PAIR_SHARE = 1e-6, 1e-5
+#: Keys of words: the number among the broadcast ones, or this plus 60 bits of the MD5 digest.
+RARE = 1 << 60
+#: Bits of a task's number of a word, and the words after which a task starts anew.
+BITS = 24
+MASK, MOST_WORDS = (1 << BITS) - 1, 1_500_000
 ADD = 0.1
 END = b""  # no word is empty
 
@@ -76,41 +88,131 @@ def word_counts(train: DataFrame, text_col: str) -> DataFrame:
     return part.groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def pair_counts(train: DataFrame, text_col: str, symbols, least: float) -> DataFrame:
-    """a, b, c: bigrams of frequent words (numbers; 0 starts and ends a text), those with a count of ``least`` at least."""
+class Local(dict):
+    """A task's numbers of words, in order of occurrence, END's first; ``keys``: their keys."""
+
+    def __init__(self, number: dict[bytes, int]):
+        super().__init__({END: 0})
+        self.all, self.keys = number, [0]
+
+    def __missing__(self, word: bytes) -> int:
+        i = self[word] = len(self.keys)
+        k = self.all.get(word)
+        self.keys.append(RARE + int(hashlib.md5(word).hexdigest()[:15], 16) if k is None else k)
+        return i
+
+
+def key_of(word: Column) -> Column:
+    """The key of a rare word, as in ``Local``."""
+    return F.conv(F.substring(F.md5(word), 1, 15), 16, 10).cast("long") + F.lit(RARE)
+
+
+def stream(texts: list, local: Local) -> tuple[np.ndarray, np.ndarray]:
+    """Local numbers of the words of all texts, an END before, between and after them; numbers of tokens (with END)."""
+    ids, ends = [0], []
+    for t in texts:
+        ids += map(local.__getitem__, words_of(t))
+        ids.append(0)
+        ends.append(len(ids) - 1)
+    return np.asarray(ids, dtype=np.int64), np.diff(np.asarray([0, *ends], dtype=np.int64))
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of numbers, the bytes of one place next to each other, compressed."""
+    return pa.compress(b"".join(c.view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns), "zstd", asbytes=True)
+
+
+def unpack(blob: bytes, *columns: tuple[int, type]) -> list[np.ndarray]:
+    sizes = [n * np.dtype(t).itemsize for n, t in columns]
+    raw, out, at = np.frombuffer(pa.decompress(blob, sum(sizes), "zstd", asbytes=True), np.uint8), [], 0
+    for (n, t), size in zip(columns, sizes, strict=True):
+        out.append(np.ascontiguousarray(raw[at : at + size].reshape(-1, n).T).view(t).ravel())
+        at += size
+    return out
+
+
+class Parts:
+    """The partitions that pairs are dealt to: a pair's comes from both words, so no word is a hot key."""
+
+    def __init__(self, df: DataFrame):
+        self.spark, self.n = df.sparkSession, 2 * scan_parts(df) | 1
+        # A number that Spark's hash sends to each partition, so that none gets two shares.
+        ids = self.spark.range(self.n * 30).select("id", F.pmod(F.hash("id"), F.lit(self.n)).alias("p")).groupBy("p").agg(F.min("id").alias("id")).collect()
+        place = {r["p"]: r["id"] for r in ids}
+        self.places = [place.get(i, i) for i in range(self.n)]
+
+    def deal(self, df: DataFrame) -> DataFrame:
+        return df.repartition(self.n, "place")
+
+    def placed(self, df: DataFrame) -> DataFrame:
+        """With the column ``place`` for rows with ``a`` and ``b``; ``part_of`` of the JVM."""
+        table = self.spark.createDataFrame(list(enumerate(self.places)), "piece long, place long")
+        piece = F.pmod(F.col("a").bitwiseXOR(F.shiftleft("b", 20)), F.lit(self.n))
+        return df.withColumn("piece", piece).join(F.broadcast(table), "piece").drop("piece")
+
+
+def part_of(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    return (a ^ (b << 20)) % n
+
+
+def pair_counts(train: DataFrame, text_col: str, parts: Parts, names) -> DataFrame:
+    """a, b, c, ca, cb: keys and counts of the bigrams that occur ``LEAST_PAIR`` times at least; ca, cb: the counts of the words that are broadcast."""
     small_batches(train.sparkSession)
     ship(train.sparkSession)
+    places, size = parts.places, parts.n
 
-    def run(batches):
-        number = {w: i for i, w in enumerate(symbols.value)}
-        size = len(number) + 1
+    def count(batches):
+        number = {w: i for i, w in enumerate(names.value[0])}
+        place = np.array(places)
+        local, have = Local(number), []
 
-        def out(parts):
-            key, n = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            c = np.bincount(n, np.concatenate([p[1] for p in parts]), minlength=key.size).astype(np.int64)
-            return key, c
+        def whole():
+            key, n = np.unique(np.concatenate([p[0] for p in have]), return_inverse=True)
+            return key, np.bincount(n, np.concatenate([p[1] for p in have]), minlength=key.size).astype(np.int64)
+
+        def out():
+            key, c = whole()
+            keys = np.array(local.keys)
+            a, b = keys[key >> BITS], keys[key & MASK]
+            part = part_of(a, b, size)
+            order = np.argsort(part, kind="stable")
+            a, b, c, part = a[order], b[order], c[order], part[order]
+            ends = np.searchsorted(part, np.arange(size + 1))
+            for i in np.flatnonzero(np.diff(ends)).tolist():
+                x = slice(ends[i], ends[i + 1])
+                yield pa.RecordBatch.from_arrays([pa.array([int(place[i])], pa.int64()), pa.array([int(ends[i + 1] - ends[i])], pa.int64()), pa.array([pack(a[x], b[x], c[x])], pa.binary())], names=["place", "n", "blob"])
 
-        parts: list = []
         for b in batches:
-            ids: list[int] = []
-            for t in b.column(0).to_pylist():
-                ids.append(0)
-                ids += map(number.get, words_of(t), repeat(-1))
-            ids.append(0)
-            x = np.asarray(ids, dtype=np.int64)
-            a, z = x[:-1], x[1:]
-            ok = (a >= 0) & (z >= 0)
-            parts.append(np.unique(a[ok] * size + z[ok], return_counts=True))
-            if sum(p[0].size for p in parts) > 2_000_000:
-                parts = [out(parts)]
-        if parts:
-            key, c = out(parts)
-            for i in range(0, key.size, 200_000):
-                k = key[i : i + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(k // size), pa.array(k % size), pa.array(c[i : i + 200_000])], names=["a", "b", "c"])
-
-    part = train.select(F.col(text_col).cast("string")).mapInArrow(run, "a long, b long, c long")
-    return part.groupBy("a", "b").agg(F.sum("c").alias("c")).filter(F.col("c") >= least)
+            x, _ = stream(b.column(0).to_pylist(), local)
+            have.append(np.unique(x[:-1] << BITS | x[1:], return_counts=True))
+            if sum(p[0].size for p in have) > 3_000_000:
+                have = [whole()]
+            if have[0][0].size > 2_000_000 or len(local) > MOST_WORDS:
+                yield from out()
+                local, have = Local(number), []
+        if have:
+            yield from out()
+
+    def add(batches):
+        counts = names.value[1]
+        got = [unpack(blob, *[(n, np.int64)] * 3) for r in batches for n, blob in zip(r.column(1).to_pylist(), r.column(2).to_pylist(), strict=True)]
+        if not got:
+            return
+        a, b, c = (np.concatenate(x) for x in zip(*got, strict=True))
+        got.clear()
+        ua, ia = np.unique(a, return_inverse=True)
+        ub, ib = np.unique(b, return_inverse=True)
+        key, at = np.unique(ia * ub.size + ib, return_inverse=True)
+        c = np.bincount(at, c, minlength=key.size).astype(np.int64)
+        key, c = key[c >= LEAST_PAIR], c[c >= LEAST_PAIR]
+        a, b = ua[key // ub.size], ub[key % ub.size]
+        for i in range(0, c.size, 100_000):
+            x = slice(i, i + 100_000)
+            known = [pa.array(counts[np.minimum(k[x], counts.size - 1)], mask=k[x] >= RARE) for k in (a, b)]
+            yield pa.RecordBatch.from_arrays([pa.array(a[x]), pa.array(b[x]), pa.array(c[x]), *known], names=["a", "b", "c", "ca", "cb"])
+
+    part = train.select(F.col(text_col).cast("string")).mapInArrow(count, "place long, n long, blob binary")
+    return parts.deal(part).mapInArrow(add, "a long, b long, c long, ca long, cb long")
 
 
 # The automaton.
@@ -124,7 +226,7 @@ class Automaton:
     arrays: ``root`` by word, ``fail`` by state, ``weight`` by arc (``arc``: state and next word as one number, sorted).
     """
 
-    def __init__(self, words: dict[bytes, int], pairs: list[tuple[bytes, bytes, int]], n: int, discount: float):
+    def __init__(self, words: dict[bytes, int], pairs: list[tuple[bytes, bytes, int]], n: int, discount: float, fail: dict[bytes, float] | None = None):
         self.names = [END, *sorted(w for w in words if w != END)]
         self.number = {w: i for i, w in enumerate(self.names)}
         counts = np.array([words.get(w, 0) for w in self.names], dtype=np.float64)
@@ -144,6 +246,8 @@ class Automaton:
             kept = {b: (c - discount) / total for b, c in row}
             arcs.update({a * size + b: math.log10(p) for b, p in kept.items()})
             self.fail[a] = math.log10((1 - sum(kept.values())) / max(1e-12, 1 - sum(share[b] for b in kept)))
+        for w, x in (fail or {}).items():
+            self.fail[self.number[w]] = x
         self.arc = np.array(sorted(arcs), dtype=np.int64)
         self.weight = np.array([arcs[k] for k in self.arc.tolist()])
 
@@ -158,45 +262,157 @@ class Automaton:
 
     def score(self, x: np.ndarray) -> tuple[float, np.ndarray]:
         """The weights that this part has along a text's numbers, and which tokens took a root arc that is elsewhere."""
-        state = np.concatenate([[0], x[:-1]])
+        return float(self.weights(np.concatenate([[0], x[:-1]]), x)[0].sum()), x < 0
+
+    def weights(self, state: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The weights that this part has at each place, and where the arc of the bigram may be elsewhere."""
         out, failed = self.root[x], self.fail[state]
         inside = ~np.isnan(failed) & (state >= 0)
         take = np.flatnonzero(inside)
-        if take.size:
+        open_ = inside | (state < 0)
+        if take.size and self.arc.size:
             key = state[take] * (len(self.names) + 1) + x[take]
             at = np.minimum(np.searchsorted(self.arc, key), self.arc.size - 1)
             hit = (self.arc[at] == key) & (x[take] >= 0)
             out[take] = np.where(hit, self.weight[at], failed[take] + out[take])
-        return float(out.sum()), x < 0
+            open_[take[hit]] = False
+        else:
+            out[take] += failed[take]
+        return out, open_
 
 
-PART = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("part", T.DoubleType()), T.StructField("seen", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("away", T.StringType())])
+SUMS = [T.StructField("row", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("part", T.DoubleType()), T.StructField("seen", T.LongType()), T.StructField("base", T.DoubleType())]
+#: A place that a part of the model elsewhere may hold: n bigrams or rare words (a, b = -1), and the rows of their m occurrences, counted from ``row``.
+OPEN = [T.StructField("place", T.LongType()), T.StructField("n", T.LongType()), T.StructField("m", T.LongType()), T.StructField("blob", T.BinaryType())]
 
 
-def scorer(automaton: Automaton, counts: dict[bytes, int], total: float, unknown: float):
-    """counts: training counts of the broadcast words; total: N + 0.1 (V + 1).
+def traverse(src: DataFrame, model, parts: Parts) -> DataFrame:
+    """SUMS and the id of each text by the broadcast part, and, in rows of their own, what is open.
 
-    ``away`` are the tokens without a broadcast count; all of them take a root arc that is distributed.
+    A rare word counts as unknown here.
     """
-    base = np.append(np.log10((np.array([counts.get(w, 0) for w in automaton.names], dtype=np.float64) + ADD) / total), 0.0)
+    small_batches(src.sparkSession)
+    ship(src.sparkSession)
+    places, size = parts.places, parts.n
+    id_type = src.schema["id"].dataType
+    schema = T.StructType([*SUMS, T.StructField("id", id_type), *OPEN])
+    types = [to_arrow_type(f.dataType) for f in schema]
+
+    def batch(rows: int, **columns):
+        return pa.RecordBatch.from_arrays([columns[f.name].cast(t) if f.name in columns else pa.nulls(rows, t) for f, t in zip(schema, types, strict=True)], names=schema.names)
+
+    def run(batches):
+        automaton, counts, total, unknown = model.value
+        place = np.array(places)
+        first = TaskContext.get().partitionId() << 33
+        done = start = 0
+        none = math.log10(ADD / total)
+        base = np.append(np.log10((np.array([counts.get(w, 0) for w in automaton.names], dtype=np.float64) + ADD) / total), none)
+        local, have = Local(automaton.number), []
 
-    def fn(texts: list) -> list:
-        rows = []
-        for t in texts:
-            words = words_of(t)
-            x = automaton.numbers(words)
-            part, elsewhere = automaton.score(x)
-            away = np.flatnonzero(elsewhere[:-1]).tolist()
-            # An end that was never seen is unknown to both models.
-            more = 0.0 if automaton.known_end else math.log10(ADD / total)
-            rows.append((len(x), part + (0.0 if automaton.known_end else unknown), int((x >= 0).sum()), float(base[x].sum()) + more, b" ".join([words[i] for i in away]).decode("utf-8", "replace") if away else None))
-        return [list(x) for x in zip(*rows, strict=True)] or [[] for _ in PART.fields]
+        def out():
+            key, row = (np.concatenate(x) for x in zip(*have, strict=True))
+            keys = np.append(np.array(local.keys), -1)
+            b = key & MASK
+            a, b = keys[key >> BITS], keys[np.where(b == MASK, -1, b)]
+            order = np.lexsort((key, part_of(a, b, size)))
+            key, row, a, b = key[order], row[order], a[order], b[order]
+            new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            times = np.diff(np.append(new, key.size)).astype(np.uint32)
+            a, b = a[new], b[new]
+            ends = np.searchsorted(part_of(a, b, size), np.arange(size + 1))
+            at = np.append(new, key.size)[ends]
+            for i in np.flatnonzero(np.diff(ends)).tolist():
+                x, y = slice(ends[i], ends[i + 1]), slice(at[i], at[i + 1])
+                yield batch(1, row=pa.array([first + start]), place=pa.array([int(place[i])]), n=pa.array([int(x.stop - x.start)]), m=pa.array([int(y.stop - y.start)]), blob=pa.array([pack(a[x], b[x], times[x], row[y])], pa.binary()))
+
+        for r in batches:
+            texts = r.column(1).to_pylist()
+            if not texts:
+                continue
+            x, lengths = stream(texts, local)
+            number = np.array(local.keys)
+            number[number >= RARE] = -1
+            if not automaton.known_end:
+                number[0] = -1
+            w = number[x]
+            rows = np.repeat(np.arange(len(texts)), lengths)
+            weight, more = automaton.weights(w[:-1], w[1:])
+            rare = w[1:] < 0
+            sums = [np.bincount(rows, v, len(texts)) for v in (weight + rare * unknown, ~rare, base[w[1:]])]
+            ids = first + done + np.arange(len(texts))
+            # Rows of texts go to any partition.
+            yield batch(len(texts), row=pa.array(ids), n_tokens=pa.array(lengths), part=pa.array(sums[0]), seen=pa.array(sums[1].astype(np.int64)), base=pa.array(sums[2]), id=r.column(0), place=pa.array(place[ids % size]))
+            key = np.concatenate([(x[:-1] << BITS | x[1:])[more], x[1:][rare] << BITS | MASK])
+            have.append((key, (done - start + np.concatenate([rows[more], rows[rare]])).astype(np.uint32)))
+            done += len(texts)
+            if sum(p[0].size for p in have) > 3_000_000 or len(local) > MOST_WORDS:
+                yield from out()
+                local, have, start = Local(automaton.number), [], done
+        if have:
+            yield from out()
 
-    return fn
+    return src.select("id", "text").mapInArrow(run, schema)
 
 
-def learn(train: DataFrame, text_col: str) -> tuple[DataFrame, dict[bytes, int], Automaton, dict]:
-    """The word counts that aren't broadcast (distributed), the broadcast ones, the automaton, and N, V, discount."""
+def add_elsewhere(df: DataFrame, fail) -> DataFrame:
+    """SUMS and id: those of texts as they are, and for open places what the rows of the model (those without ``row``) have."""
+    schema = T.StructType([*SUMS, df.schema["id"]])
+    types = [to_arrow_type(f.dataType) for f in schema]
+
+    def run(batches):
+        table, blobs, sums = [], [], []
+        for r in batches:
+            r = pa.Table.from_batches([r])
+            model, blob = pc.is_null(r["row"]), pc.is_valid(r["blob"])
+            t = r.filter(model)
+            if t.num_rows:
+                table.append([t[c].to_numpy() for c in ("a", "b", "part", "base")])
+            blobs += r.filter(blob).select(["row", "n", "m", "blob"]).to_pylist()
+            t = r.filter(pc.and_(pc.invert(model), pc.invert(blob))).select(schema.names)
+            yield from t.to_batches()
+        if not table or not blobs:
+            return
+        a, b, part, base = (np.concatenate(x) for x in zip(*table, strict=True))
+        table.clear()
+        # Failure weights of frequent states aren't in the rows.
+        frequent = (b >= 0) & (a < RARE)
+        part = part - np.where(frequent, fail.value[np.where(frequent, a, 0)], 0.0)
+        ua, ia = np.unique(a, return_inverse=True)
+        ub, ib = np.unique(b, return_inverse=True)
+        key = ia * ub.size + ib
+        order = np.argsort(key)
+        key, part, base, word = key[order], part[order], base[order], (b < 0)[order]
+
+        def out():
+            row, at = np.unique(np.concatenate([x[0] for x in sums]), return_inverse=True)
+            p, s, z = (np.bincount(at, np.concatenate([x[i] for x in sums]), row.size) for i in (1, 2, 3))
+            sums.clear()
+            for i in range(0, row.size, 100_000):
+                x = slice(i, i + 100_000)
+                columns = {"row": pa.array(row[x]), "part": pa.array(p[x]), "seen": pa.array(s[x].astype(np.int64)), "base": pa.array(z[x])}
+                yield pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(len(row[x]), t) for f, t in zip(schema, types, strict=True)], names=schema.names)
+
+        for r in blobs:
+            a, b, times, row = unpack(r["blob"], (r["n"], np.int64), (r["n"], np.int64), (r["n"], np.uint32), (r["m"], np.uint32))
+            ia, ib = np.minimum(np.searchsorted(ua, a), ua.size - 1), np.minimum(np.searchsorted(ub, b), ub.size - 1)
+            want = ia * ub.size + ib
+            at = np.minimum(np.searchsorted(key, want), key.size - 1)
+            hit = (ua[ia] == a) & (ub[ib] == b) & (key[at] == want)
+            each = np.repeat(np.where(hit, at, -1), times)
+            found = each >= 0
+            each = each[found]
+            sums.append((r["row"] + row[found].astype(np.int64), part[each], word[each], base[each]))
+            if sum(x[0].size for x in sums) > 2_000_000:
+                yield from out()
+        if sums:
+            yield from out()
+
+    return df.mapInArrow(run, schema)
+
+
+def learn(train: DataFrame, text_col: str) -> tuple[DataFrame, dict[bytes, int], Automaton, dict, Parts]:
+    """The model's rows that aren't broadcast (a, b, part, base), the broadcast word counts, the automaton, and N, V, discount."""
     counts = checkpoint(word_counts(train, text_col))
     one = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.sum((F.col("c") == 1).cast("long")).alias("n1"), F.sum((F.col("c") == 2).cast("long")).alias("n2")).first()
     n, v = int(one["n"]), int(one["v"])
@@ -204,38 +420,54 @@ def learn(train: DataFrame, text_col: str) -> tuple[DataFrame, dict[bytes, int],
     discount = min(0.9, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
     frequent = (F.col("c") >= max(2.0, WORD_SHARE * n)) | (F.col("word") == "")
     words = {r["word"].encode(): int(r["c"]) for r in counts.filter(frequent).collect()}
-    least_pair = max(2.0, PAIR_SHARE * n)
-    # A pair is no more frequent than its words, so only these can be in a kept one.
-    names = [END, *sorted(w for w, c in words.items() if w != END and c >= least_pair)]
-    shared = train.sparkSession.sparkContext.broadcast(names)
-    pairs = [(names[r["a"]], names[r["b"]], int(r["c"])) for r in pair_counts(train, text_col, shared, least_pair).collect()] if n else []
-    return counts.filter(~frequent), words, Automaton(words, pairs, n, discount), {"n": n, "v": v, "discount": discount}
+    total = n + ADD * (v + 1)
+    size = {"n": n, "v": v, "discount": discount, "total": total, "unknown": math.log10(discount * v / n) if n else 0.0}
+    parts = Parts(train)
+    if not n:
+        return train.sparkSession.createDataFrame([], "a long, b long, part double, base double"), words, Automaton(words, [], n, discount), size, parts
+    names = [END, *sorted(w for w in words if w != END)]
+    shared = train.sparkSession.sparkContext.broadcast((names, np.array([words[w] for w in names], dtype=np.int64)))
+    pairs = checkpoint(pair_counts(train, text_col, parts, shared))
+    rare = counts.filter(~frequent).select(key_of(F.col("word")).alias("key"), "c")
+    # A bigram is no more frequent than its words.
+    again = rare.filter(F.col("c") >= LEAST_PAIR)
+    both = pairs.filter("cb IS NOT NULL").unionByName(pairs.filter("cb IS NULL").drop("cb").join(again.select(F.col("key").alias("b"), F.col("c").alias("cb")), "b"))
+    state = both.groupBy("a").agg(F.sum(F.col("c") - discount).alias("kept"), F.sum((F.col("cb") - discount) / n).alias("shares"))
+    left = lambda kept, shares, c: (1 - kept / c, 1 - shares)
+    fail = {}
+    for r in state.filter(F.col("a") < RARE).collect():
+        up, down = left(r["kept"], r["shares"], words[names[r["a"]]])
+        fail[names[r["a"]]] = math.log10(up / max(1e-12, down))
+    up, down = left(F.col("kept"), F.col("shares"), F.col("ca"))
+    states = checkpoint(state.filter(F.col("a") >= RARE).join(again.select(F.col("key").alias("a"), F.col("c").alias("ca")), "a").select("a", "ca", F.log10(up / F.greatest(F.lit(1e-12), down)).alias("fail")))
+    least = max(float(LEAST_PAIR), PAIR_SHARE * n, WORD_SHARE * n)
+    top = [(names[r["a"]], names[r["b"]], int(r["c"])) for r in pairs.filter(F.col("c") >= least).select("a", "b", "c").collect()]
+    arc = F.log10((F.col("c") - discount) / F.col("ca")) - F.log10((F.col("cb") - discount) / n)
+    low = both.filter(F.col("c") < least)
+    arcs = low.filter(F.col("a") < RARE).select("a", "b", arc.alias("part"), F.lit(0.0).alias("base"))
+    more = low.filter(F.col("a") >= RARE).drop("ca").join(states, "a").select("a", "b", (arc - F.col("fail")).alias("part"), F.lit(0.0).alias("base"))
+    roots = rare.withColumnRenamed("key", "a").join(states.select("a", "fail"), "a", "left").select("a", F.lit(-1).cast("long").alias("b"), (F.log10((F.col("c") - discount) / n) + F.coalesce("fail", F.lit(0.0)) - size["unknown"]).alias("part"), (F.log10((F.col("c") + ADD) / total) - math.log10(ADD / total)).alias("base"))
+    return arcs.unionByName(more).unionByName(roots), words, Automaton(words, top, n, discount, fail), size, parts
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score of each row."""
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     train = src.filter(F.col("id").isNotNull() & (crc_of_id("id") % FOLDS != HELD_OUT))
-    counts, words, automaton, size = learn(train, "text")
-    n, v, discount = size["n"], size["v"], size["discount"]
-    total = n + ADD * (v + 1)
-    unknown = math.log10(discount * v / n) if n else 0.0
-    model = src.sparkSession.sparkContext.broadcast((automaton, words))
+    elsewhere, words, automaton, size, parts = learn(train, "text")
+    context = src.sparkSession.sparkContext
+    model = context.broadcast((automaton, words, size["total"], size["unknown"]))
     # Rows get a number, so that equal ids don't meet.
-    part = checkpoint(map_texts(src, "text", lambda: scorer(*model.value, total, unknown), PART, ["id"]).withColumn("row", F.monotonically_increasing_id()))
-    away = part.filter(F.col("away").isNotNull()).select("row", F.explode(F.split("away", " ")).alias("word"))
-    found = away.join(counts, "word", "left")
-    base = F.log10((F.coalesce("c", F.lit(0)) + ADD) / total)
-    arc = F.when(F.col("c") > 0, F.log10((F.col("c") - discount) / n)).otherwise(unknown)
-    sums = found.groupBy("row").agg(F.sum(base).alias("more"), F.sum(arc).alias("arcs"), F.count("c").alias("known"))
-    return part.drop("away").join(sums, "row", "left").select(
+    dealt = parts.deal(traverse(src, model, parts).unionByName(parts.placed(elsewhere), allowMissingColumns=True))
+    sums = add_elsewhere(dealt, context.broadcast(automaton.fail)).groupBy("row").agg(F.first("id", ignorenulls=True).alias("id"), *[F.sum(c).alias(c) for c in ("n_tokens", "part", "seen", "base")])
+    return sums.select(
         F.col("id").alias(id_col),
         (crc_of_id("id") % FOLDS == HELD_OUT).alias("held_out"),
         "n_tokens",
-        (F.col("seen") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        (F.col("part") + F.coalesce("arcs", F.lit(0.0))).alias("score"),
+        F.col("seen").alias("n_known"),
+        F.lit(size["n"]).cast("long").alias("train_tokens"),
+        F.col("base").alias("base_score"),
+        F.col("part").alias("score"),
     )
 
 

@@ -417,6 +417,17 @@ def test_lm_automaton_sums_to_one():
         assert abs(sum(after.values()) - 1) < 1e-9
 
 
+def test_lm_keeps_every_repeated_bigram(spark, monkeypatch):
+    """Shares that broadcast little or nothing don't change a score."""
+    rows = [(i, t) for i, t in texts()] + [(10**6, None), (10**6 + 1, "")]
+    scores = lambda: {r.doc_id: (r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lm_scoring.lm_scores(docs(spark, rows)).collect()}
+    want = scores()
+    for word, pair in ((1e-3, 1e-2), (1.0, 1.0)):
+        monkeypatch.setattr(lm_scoring, "WORD_SHARE", word)
+        monkeypatch.setattr(lm_scoring, "PAIR_SHARE", pair)
+        assert scores() == want
+
+
 def test_lm_without_training(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
     r = lm_scoring.lm_scores(docs(spark, [(held, "a b")])).first()
