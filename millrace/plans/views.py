@@ -106,11 +106,11 @@ def changed(stored: DataFrame, current: DataFrame) -> DataFrame:
     return both.filter(~F.col("old").eqNullSafe(F.col("new"))).select("path", F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("changed").alias("change"))
 
 
-def line_diff(left: DataFrame, right: DataFrame, limit: int = 5) -> DataFrame:
-    """n, left, right: the first lines in which two texts (one row, column text) differ."""
-    lines = lambda df, name: df.select(F.posexplode(F.split("text", "\n", -1)).alias("n", name))
-    both = lines(left, "left").join(lines(right, "right"), "n", "full_outer").filter(~F.col("left").eqNullSafe(F.col("right")))
-    return both.select((F.col("n") + 1).alias("n"), "left", "right").orderBy("n").limit(limit)
+def line_diff(left: DataFrame, right: DataFrame, limit: int = 5, key: tuple[str, ...] = ()) -> DataFrame:
+    """key, n, left, right: the first lines in which two texts (one row for each key, column text) differ."""
+    lines = lambda df, name: df.select(*key, F.posexplode(F.split("text", "\n", -1)).alias("n", name))
+    both = lines(left, "left").join(lines(right, "right"), [*key, "n"], "full_outer").filter(~F.col("left").eqNullSafe(F.col("right")))
+    return both.select(*key, (F.col("n") + 1).alias("n"), "left", "right").orderBy(*key, "n").limit(limit)
 
 
 def render(lines: DataFrame, title: str, note: str, empty: str) -> str:

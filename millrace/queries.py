@@ -582,11 +582,17 @@ def set_equality(spark, d):
 a AS (SELECT unnest(string_split(t, chr(10))) AS s, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS n FROM l), b AS (SELECT unnest(string_split(t, chr(10))) AS s, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS n FROM r)
 SELECT a.n::BIGINT AS n, md5(a.s) AS "left", md5(b.s) AS "right" FROM a FULL JOIN b USING (n) WHERE a.s IS DISTINCT FROM b.s ORDER BY 1 LIMIT 5""")
 def line_diff(spark, d):
-    """A diff is of two texts: here those of the first forty documents, and the same with a letter swap."""
-    t = raw(spark, d).filter("doc_id < 40")
-    whole = lambda x: t.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", x.alias("text")))), lambda s: s["text"]), "\n").alias("text"))
-    diff = G.line_diff(whole(F.col("text")), whole(F.replace("text", F.lit("the"), F.lit("teh"))))
-    return diff.select(F.col("n").cast("long").alias("n"), F.md5("left").alias("left"), F.md5("right").alias("right"))
+    """A diff is of two texts: here those of all documents in the order of their ids, and the same with a letter swap.
+
+    Documents are compared one by one, since the swap leaves their numbers of lines.
+    """
+    t = raw(spark, d).select(F.struct(F.col("doc_id").isNull().alias("late"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.monotonically_increasing_id().alias("row")).alias("key"), "text")
+    diff = G.line_diff(t, t.select("key", F.replace("text", F.lit("the"), F.lit("teh")).alias("text")), key=("key",))
+    # The lines before a document, for the few in the result.
+    lines = t.select(F.col("key").alias("other"), F.size(F.split("text", "\n", -1)).alias("lines"))
+    before = lines.join(F.broadcast(diff.select("key").distinct()), F.col("other") < F.col("key")).groupBy("key").agg(F.sum("lines").alias("before"))
+    n = F.col("n") + F.coalesce("before", F.lit(0))
+    return diff.join(F.broadcast(before), "key", "left").select(n.cast("long").alias("n"), F.md5("left").alias("left"), F.md5("right").alias("right")).orderBy("n")
 
 
 _GONE = "gone AS (SELECT min(source_path) AS g FROM cits)"

@@ -1,5 +1,7 @@
 """Every registered query with SQL gives the SQL's rows."""
 
+import hashlib
+
 import duckdb
 import pytest
 
@@ -43,3 +45,13 @@ def test_fk_violations_have_sections(spark, duck):
     rows = sorted(tuple(r) for r in QUERIES["fk_violations"](spark, SMALL).select("rule", "path", "detail").collect())
     assert rows == sorted(duck.execute(ORACLES["fk_violations"] + branch).fetchall())
     assert any(r[0] == "section_document" for r in rows)
+
+
+def test_line_diff_of_late_documents(spark, tmp_path):
+    """Documents from the fortieth on are compared too; null ids come last."""
+    texts = [(i, "a\nb") for i in range(60)] + [(60, "x\nthe\nthe x"), (61, "then"), (None, "other")]
+    spark.createDataFrame(texts[::-1], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    whole = "\n".join(t for _, t in texts).split("\n")
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    want = [(n, md5(x), md5(x.replace("the", "teh"))) for n, x in enumerate(whole, 1) if "the" in x]
+    assert len(want) == 4 and [tuple(r) for r in QUERIES["line_diff"](spark, str(tmp_path)).collect()] == want
