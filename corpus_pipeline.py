@@ -5,7 +5,7 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last re
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, decontamination, jaccard_join, line_dedup, toxicity
@@ -24,10 +24,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays."""
-    groups = jaccard_join.jaccard_components(docs)
-    stays = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id")
-    return docs.join(stays, "doc_id", "left_semi").select(*docs.columns)
+    """Of each group of linked rows one stays: the one with the smallest id, null ids last, rows of one id by their hash.
+
+    Rows count one by one, whatever their ids: a row without an id or with another row's id is a document like others.
+    Rows without shingles are groups of their own, so all of them stay.
+    """
+    least = F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType))
+    content = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
+    keyed = docs.withColumn("__key", F.struct(F.col("doc_id").isNull().alias("late"), least.alias("id"), content.alias("hash")))
+    groups = jaccard_join.jaccard_components(keyed, id_col="__key")
+    stays = groups.filter(F.col("__key") == F.col("component_id")).groupBy("__key").agg(F.max("n_shingles").alias("__n"))
+    # Equal rows have one key: of those with shingles the first stays.
+    turn = F.row_number().over(Window.partitionBy("__key").orderBy("__n"))
+    return keyed.join(stays, "__key").withColumn("__turn", turn).filter((F.col("__turn") == 1) | (F.col("__n") == 0)).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

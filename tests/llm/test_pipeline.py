@@ -36,6 +36,17 @@ def test_stages(spark, tmp_path):
     assert set(b4) == set(a4) and all(r["n_tokens"] == len(hf.encode(r["text"], add_special_tokens=False).ids) for r in b4.values())
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Null ids and repeated ids count by row."""
+    words = lambda k, n=60: " ".join(f"w{k}x{i}" for i in range(n))
+    near = words(1) + " end"
+    rows = [(None, words(0)), (None, words(0)), (None, words(2)), (1, words(1)), (1, near), (1, words(1)), (1, words(3)), (2, near), (2, words(4)), (3, words(5)), (3, words(5)), (4, ""), (4, ""), (None, "")]
+    out = corpus_pipeline.keep_one_of_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), SMALL)
+    got = sorted((str(r.doc_id), r.text) for r in out.collect())
+    first = next(t for i, t in got if i == "1" and t in (words(1), near))
+    assert got == sorted([("None", words(0)), ("None", words(2)), ("1", first), ("1", words(3)), ("2", words(4)), ("3", words(5)), ("4", ""), ("4", ""), ("None", "")])
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, SMALL)
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
