@@ -5,8 +5,8 @@ groups; the folded streams of a host are then aligned one by one with the wrappe
 become text slots, tags that one side lacks become optional groups, and a run that the other side holds as a
 group joins it. The result is one expression of tags, fixed texts, slots, ``(...)?`` and ``(...)+`` for each
 host, without alternatives. Its slots are marked once as main text or not: by the elements and classes around
-them and by whether the host has an article region; where it has none, texts that all pages share are
-template. A page is read by aligning its stream with its host's wrapper.
+them and by whether the host has an article region; where it has none, texts that distinct pages share are
+template, on a host of three distinct pages or more. A page is read by aligning its stream with its host's wrapper.
 
 Text. Character references are decoded; white space inside a block becomes one space; blocks are trimmed and
 joined in page order by one space. Comments, scripts, styles, forms and what a truncated page cuts off in the
@@ -21,6 +21,7 @@ all pages sends a few rows from each task. Wrappers meet the pages in a join on
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -196,6 +197,12 @@ def aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return out + ends[1]
 
 
+def common(x: str, y: str) -> str:
+    """The text of both: "#hash@page" is one page's alone, "#hash" one that distinct pages share, "#" a slot."""
+    text = x.split("@")[0]
+    return x if x == y else text if text == y.split("@")[0] else "#"
+
+
 def gathered(nodes: list, groups: list) -> list:
     """Runs of nodes that the other side holds as a repeated group become that group."""
     for g in groups:
@@ -206,7 +213,7 @@ def gathered(nodes: list, groups: list) -> list:
         while i < len(nodes):
             j, seen = i, list(g[1])
             while j + k <= len(nodes) and all(isinstance(x, str) for x in nodes[j : j + k]) and [kind(x) for x in nodes[j : j + k]] == want:
-                j, seen = j + k, [x if x == y else "#" for x, y in zip(seen, nodes[j : j + k], strict=True)]
+                j, seen = j + k, [common(x, y) for x, y in zip(seen, nodes[j : j + k], strict=True)]
             if j > i:
                 out.append(["+", seen])
                 i = j
@@ -252,7 +259,7 @@ def merge(a: list, b: list) -> list:
             del out[-1][2:]
         if p < len(fa):
             x, y = fa[p], fb[q]
-            both = x if x == y else "#" if isinstance(x, str) else [x[0], merge(x[1], y[1])]
+            both = x if x == y else common(x, y) if isinstance(x, str) else [x[0], merge(x[1], y[1])]
             out.append(["?", [both]] if oa[p] or ob[q] else both)
         i, j = p + 1, q + 1
     return out
@@ -273,7 +280,7 @@ def marked(symbols: list[str], fixed_out: bool) -> list[bool]:
         if s[0] in "#~":
             inside = any(m for _, m, _ in stack)
             bad = any(o for _, _, o in stack)
-            out.append(not bad and (inside if region else not (fixed_out and s[0] == "#" and len(s) > 1)))
+            out.append(not bad and (inside if region else not (fixed_out and s[0] == "#" and len(s) > 1 and "@" not in s)))
             continue
         out.append(False)
         if s.startswith("</"):
@@ -301,11 +308,21 @@ def read(tokens: list[tuple[str, str]], keep: list[bool]) -> str:
     return " ".join(html.unescape("".join(out)).split())
 
 
-STREAMS = "host string, stream string, texts array<long>, pages long"
+STREAMS = "host string, stream string, texts array<long>, pages array<long>"
+#: Hashes of distinct pages that are carried on: texts are template where there are so many.
+ENOUGH = 3
+
+
+def page_hash(page: str | None) -> int:
+    return int.from_bytes(hashlib.blake2b((page or "").encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
+def least(a: list[int], b: list[int]) -> list[int]:
+    return sorted({*a, *b})[:ENOUGH]
 
 
 def distinct_streams(pages: DataFrame, host: str, html_col: str) -> DataFrame:
-    """host, stream (a folded stream), texts (hash of each leaf that is the same text on all its pages, else null), pages."""
+    """host, stream (a folded stream), texts (hash of each leaf that is the same text on all its pages, else null), pages (their least hashes)."""
     small_batches(pages.sparkSession)
     ship(pages.sparkSession)
 
@@ -315,7 +332,7 @@ def distinct_streams(pages: DataFrame, host: str, html_col: str) -> DataFrame:
 
         def out():
             keys, rows = list(have), list(have.values())
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.int64())], names=["host", "stream", "texts", "pages"])
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=["host", "stream", "texts", "pages"])
 
         for b in batches:
             for h, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -329,10 +346,10 @@ def distinct_streams(pages: DataFrame, host: str, html_col: str) -> DataFrame:
                 key = (h, json.dumps(nodes, ensure_ascii=False))
                 old = have.get(key)
                 if old is None:
-                    have[key] = [texts, 1]
+                    have[key] = [texts, [page_hash(page)]]
                 else:
                     old[0] = [x if x == y else None for x, y in zip(old[0], texts, strict=True)]
-                    old[1] += 1
+                    old[1] = least(old[1], [page_hash(page)])
             if len(have) > HELD:
                 yield out()
                 have.clear()
@@ -342,46 +359,47 @@ def distinct_streams(pages: DataFrame, host: str, html_col: str) -> DataFrame:
     return pages.select(F.col(host), F.col(html_col).cast("string")).mapInArrow(run, STREAMS)
 
 
-def named(nodes: list, texts: list, at: list[int]) -> list:
-    """Nodes whose fixed texts carry their hash."""
+def named(nodes: list, texts: list, at: list[int], page: str = "") -> list:
+    """Nodes whose fixed texts carry their hash, and ``page`` where one page alone has them."""
     out: list = []
     for x in nodes:
         if isinstance(x, str):
-            out.append(f"#{texts[at[0]]}" if x == "#" and texts[at[0]] else x)
+            out.append(f"#{texts[at[0]]}{page}" if x == "#" and texts[at[0]] else x)
             at[0] += 1
         else:
-            out.append([x[0], named(x[1], texts, at)])
+            out.append([x[0], named(x[1], texts, at, page)])
     return out
 
 
-def union_of(streams: list[tuple[str, list]]) -> list:
+def union_of(streams: list[tuple[str, tuple[list, list]]]) -> list:
     """The wrapper of one host's distinct streams, the shortest first."""
     nodes: list = []
-    for k, (stream, texts) in enumerate(sorted(streams, key=lambda x: (len(x[0]), x[0]))):
-        more = named(json.loads(stream), texts, [0])
+    for k, (stream, (texts, pages)) in enumerate(sorted(streams, key=lambda x: (len(x[0]), x[0]))):
+        more = named(json.loads(stream), texts, [0], f"@{pages[0]}" if len(pages) == 1 else "")
         nodes = merge(nodes, more) if k else more
     return nodes
 
 
 def wrappers(pages: DataFrame, host: str, html_col: str) -> DataFrame:
-    """host, wrapper (JSON), pages."""
+    """host, wrapper (JSON), pages (least hashes of distinct ones)."""
 
     def partial(t: pa.Table) -> pa.Table:
-        streams: dict[str, list] = {}
-        pages_ = 0
+        streams: dict[str, tuple[list, list]] = {}
+        pages_: list[int] = []
         for s, x, n in zip(t.column("stream").to_pylist(), t.column("texts").to_pylist(), t.column("pages").to_pylist(), strict=True):
-            streams[s] = x if s not in streams else [p if p == q else None for p, q in zip(streams[s], x, strict=True)]
-            pages_ += n
-        return pa.table({"host": pa.array([t.column("host")[0].as_py()], pa.string()), "wrapper": pa.array([json.dumps(union_of(list(streams.items())), ensure_ascii=False)], pa.string()), "pages": pa.array([pages_], pa.int64())})
+            old = streams.get(s)
+            streams[s] = (x, n) if old is None else ([p if p == q else None for p, q in zip(old[0], x, strict=True)], least(old[1], n))
+            pages_ = least(pages_, n)
+        return pa.table({"host": pa.array([t.column("host")[0].as_py()], pa.string()), "wrapper": pa.array([json.dumps(union_of(list(streams.items())), ensure_ascii=False)], pa.string()), "pages": pa.array([pages_], pa.list_(pa.int64()))})
 
     def whole(t: pa.Table) -> pa.Table:
         nodes: list = []
         for k, w in enumerate(sorted(t.column("wrapper").to_pylist(), key=lambda x: (len(x), x))):
             nodes = merge(nodes, json.loads(w)) if k else json.loads(w)
-        return pa.table({"host": pa.array([t.column("host")[0].as_py()], pa.string()), "wrapper": pa.array([json.dumps(nodes, ensure_ascii=False)], pa.string()), "pages": pa.array([sum(t.column("pages").to_pylist())], pa.int64())})
+        return pa.table({"host": pa.array([t.column("host")[0].as_py()], pa.string()), "wrapper": pa.array([json.dumps(nodes, ensure_ascii=False)], pa.string()), "pages": pa.array([least([], [x for p in t.column("pages").to_pylist() for x in p])], pa.list_(pa.int64()))})
 
     streams = distinct_streams(pages, host, html_col).withColumn("salt", F.pmod(F.xxhash64("stream"), F.lit(SALTS)))
-    out = "host string, wrapper string, pages long"
+    out = "host string, wrapper string, pages array<long>"
     return streams.groupBy("host", "salt").applyInArrow(partial, out).groupBy("host").applyInArrow(whole, out)
 
 
@@ -401,7 +419,7 @@ class Reader:
             if len(self.memo) > 5_000:
                 self.memo.clear()
             whole, own = leaves(json.loads(wrapper)), leaves(nodes)
-            marks, got = marked(whole, pages > 2), marked(own, False)
+            marks, got = marked(whole, pages >= ENOUGH), marked(own, False)
             texts = lambda xs: [kind(x) for x in xs]
             for i, j in aligned(texts(whole), texts(own)):
                 got[j] = marks[i]
@@ -429,7 +447,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             texts = [reader.text(p, w, n or 0) for p, w, n in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["id", "url", "text", "n_chars"])
 
-    joined = src.join(found, "host", "left").select("id", "url", "html", "wrapper", "pages")
+    joined = src.join(found, "host", "left").select("id", "url", "html", "wrapper", F.size("pages").alias("pages"))
     return joined.mapInArrow(run, schema).select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")
 
 

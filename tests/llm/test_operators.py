@@ -457,3 +457,15 @@ def test_token_counts(spark):
     assert want <= set(got) and len(got) == len(ODD)
     assert (None, 6, 7, 3) in got
     assert token_counts.token_counts(docs(spark, []), ["a"]).count() == 0
+
+
+def test_html_copies_arent_a_template(spark):
+    """Copies count once, and a text that one page alone has is main text."""
+    page = lambda *xs: "<body>" + "".join(f"<h1>{x}</h1><p>and {x}</p>" for x in xs) + "<hr></body>"
+    url = lambda h, i: f"http://{h}.org/{i}"
+    foot = lambda x: f"<body><p>{x}</p><hr><i>Site</i></body>"
+    rows = [(i, url("copies", i), page("one")) for i in range(4)]
+    rows += [(10 + i, url("own", i), foot(f"text {i}")) for i in range(4)] + [(20, url("own", 9), "<body><h2>Alone</h2><p>text 9</p><hr><i>Site</i></body>")]
+    got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(4)} == {"one and one"}
+    assert [got[10 + i] for i in range(4)] == [f"text {i}" for i in range(4)] and got[20] == "Alone text 9"
