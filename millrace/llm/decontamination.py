@@ -111,7 +111,7 @@ def search_block(docs: DataFrame, items: list[tuple], text_col: str, keep: list[
 
         def fn(texts: list) -> list:
             got = [s.search(t) for t in texts]
-            return [[g[0] for g in got], [g[1] for g in got], [[str(s.ids[i]) for i in g[2]] for g in got]]
+            return [[g[0] for g in got], [g[1] for g in got], [list(dict.fromkeys(str(s.ids[i]) for i in g[2])) for g in got]]
 
         return fn
 

@@ -469,3 +469,11 @@ def test_html_copies_arent_a_template(spark):
     got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert {got[i] for i in range(4)} == {"one and one"}
     assert [got[10 + i] for i in range(4)] == [f"text {i}" for i in range(4)] and got[20] == "Alone text 9"
+
+
+def test_decontamination_lists_an_item_once(spark):
+    """Repeated item ids give the same in one block and in several."""
+    d = docs(spark, [(1, "a b c d e f g h i j k"), (2, "x")])
+    items = spark.createDataFrame([("q", "a b c d e f g h i j"), ("q", "b c d e f g h i j k"), ("r", "a b c d e f g h i j")], "item_id string, text string")
+    got = [sorted(rows_of(decontamination.decontaminate(d, items, block_bytes=n))) for n in (10**6, 1)]
+    assert got[0] == got[1] and [r[3] for r in got[0]] == [2, 0]
