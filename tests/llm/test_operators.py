@@ -123,6 +123,54 @@ def test_media(spark):
     assert packets.groupBy("doc_id").count().orderBy("doc_id").collect() == [(1, 4), (2, 1)]
 
 
+@pytest.mark.parametrize("lacing", [1, 2, 3])
+def test_times_of_laced_frames(lacing):
+    """Files of many frames: every packet has its own time."""
+    for n in (20, 300):
+        payload = bytes(range(256)) * (n * 9) * 1
+        payload = (payload * 2)[: n * media.UNIT]
+        c = media.Container(media.mux(payload, lacing=lacing))
+        assert media.demux(c) == payload and [p[1] for p in c.packets] == [72 * i for i in range(n)]
+        assert len(c.clusters) == len(c.cues) == -(-n // (media.LACE * media.BLOCKS))
+
+
+def matroska(*body, scale=None, tracks=b""):
+    info = media.element(media.INFO, media.uint(media.TIMESTAMP_SCALE, scale)) if scale else b""
+    return media.element(media.EBML, media.element(media.DOC_TYPE, b"matroska")) + media.element(media.SEGMENT, info + tracks + b"".join(body))
+
+
+def test_scale_groups_and_durations():
+    e, u = media.element, media.uint
+    group = lambda t, frames, *more: e(media.BLOCK_GROUP, e(media.BLOCK, media.block(2, t, frames, 3)) + b"".join(more))
+    cluster = e(media.CLUSTER, u(media.TIMESTAMP, 100) + group(1, [b"a"]) + group(2, [b"b"], u(media.REFERENCE_BLOCK, 1)) + group(3, [b"c", b"d"], u(media.BLOCK_DURATION, 8)) + e(media.SIMPLE_BLOCK, media.block(3, 9, [b"e", b"f"], 1)))
+    c = media.Container(matroska(cluster, scale=250_000))
+    assert [(p[0], p[5], p[2]) for p in c.packets] == [(2, 25_250_000, True), (2, 25_500_000, False), (2, 25_750_000, True), (2, 26_750_000, True), (3, 27_250_000, True), (3, None, True)]
+    assert [p[1] for p in c.packets] == [25, 25, 25, 26, 27, None]
+    tracks = e(media.TRACKS, e(media.TRACK_ENTRY, u(media.TRACK_NUMBER, 3) + u(media.DEFAULT_DURATION, 500_000)))
+    assert media.Container(matroska(cluster, scale=250_000, tracks=tracks)).packets[-1][5] == 27_750_000
+
+
+def test_damaged_files(spark):
+    whole = media.mux(bytes(576 * 20))
+    rows = [(1, whole), (2, whole[:2000]), (3, b"junk"), (4, None), (5, b""), (None, whole)]
+    got = defaultdict(list)
+    for r in media.packet_table(spark.createDataFrame(rows, "doc_id long, media binary")).collect():
+        got[r.doc_id].append(r)
+    assert len(got[1]) == len(got[None]) == 20 and all(r.error is None for r in got[1]) and 4 not in got and 5 not in got
+    assert got[2][-1].error and got[2][-1].start is None and len(got[3]) == 1 and got[3][0].error
+    for k in range(0, len(whole), 37):
+        assert (media.Container(whole[:k], whole=False).error is None) == (k == 0 or k == len(whole)) or k < 60
+    assert media.packet_table(spark.createDataFrame([], "doc_id long, media binary")).count() == 0
+
+
+def test_media_odd(spark):
+    clash = docs(spark, [(1, "a", "x", 2), (1, "a", "y", 3)], "doc_id long, text string, media string, n_bytes int")
+    got = rows_of(media.media_digest(clash))
+    assert len(got) == 2 and got[0] == got[1] and media.media_digest(docs(spark, [])).count() == 0
+    long = media.media_digest(docs(spark, [(1, "ab" * 1_000_000)])).first()
+    assert (long.payload_bytes, long.n_packets) == (2_000_448, 3473)
+
+
 # 3
 
 
