@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding by tree concatenation (operator 7).
 
 A long text isn't encoded in one go. It is halved until the parts are short, the parts are encoded side by
-side, and the halves are joined upwards: around each join a window is encoded anew and grows until both sides
-agree with it exactly. Two levels need this:
+side by a pool of threads, and the halves are joined upwards: around each join a window is encoded anew and grows
+until both sides agree with it exactly. Two levels need this:
 
 * Text. The pre-tokenizer reads left to right and looks at most a few characters ahead, so a piece that ends
   well before the cut is final; the window starts at the last such piece, and once one of the window's piece
@@ -12,7 +12,12 @@ agree with it exactly. Two levels need this:
   neighbouring pairs all encode to themselves is the encoding of the whole.
 
 Results equal ``tokenizers``' ``encode(text, add_special_tokens=False)`` and ``decode(ids,
-skip_special_tokens=False)`` for the given file. Null texts count as empty: no tokens, empty decoding.
+skip_special_tokens=False)`` for the given file. Merges are taken from the file's list of merges, whatever the ids.
+A file for which that can't be exact (two merges into one token, a token that its merges don't reach) is refused.
+
+Semantics. Null texts count as empty: no tokens, empty decoding. Rows are encoded one by one, so ties and repeated
+rows give equal rows. Texts of any script and length go through the tree. Columns are told apart by place, so
+extra columns may have any name; of columns named like a result, the result stays. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +35,9 @@ from .common import map_texts, table
 
 #: Characters of a leaf, and bytes of a leaf inside one long piece.
 LEAF_CHARS, LEAF_BYTES = 16_384, 1_024
-#: Code points whose classes have long been the same in every library. Others are left to the tokenizers library.
+#: Threads that encode the leaves of one text.
+THREADS = 4
+#: All other code points' classes have long been the same in every library. Texts with these are cut into pieces by the tokenizers library.
 SETTLED = re.compile("[^\\x00-\\u04ff\\u2010-\\u206f\\u20ac]")
 # Fixed value: the pre-tokenizer's pattern of this kind of vocabulary.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -61,20 +68,31 @@ class Bpe:
         self.hf.no_truncation()
         self.hf.no_padding()
         letters, added = byte_letters(), {t["content"]: t["id"] for t in spec["added_tokens"]}
-        vocab = {bytes(letters[c] for c in w): i for w, i in model["vocab"].items() if w not in added}
+        vocab = {w: i for w, i in model["vocab"].items() if w not in added}
+        made = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        if len(set(made)) < len(made) or any(len(self.hf.model.tokenize(w)) != 1 for w in made) or any(c not in vocab for c in letters):
+            raise ValueError("only files whose merges make each token once and all of it")
+        raw = lambda w: bytes(letters[c] for c in w)
+        ids = [vocab[c] for c in letters] + [vocab[w] for w in made]
+        # Where ids are in the order of the merges they are the ranks themselves.
+        ordered = all(x < y for x, y in zip(ids[256:], ids[257:], strict=False))
+        ranks = {raw(w): i if not ordered else ids[i] for i, w in enumerate([*letters, *made])}
+        self.id_of = None if ordered else ids
         self.added = added
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-        self.bytes_of = {i: w for w, i in vocab.items()} | {i: w.encode() for w, i in added.items()}
+        self.of_rank = {i: w for w, i in ranks.items()}
+        self.bytes_of = {i: raw(w) for w, i in vocab.items()} | {i: w.encode() for w, i in added.items()}
         self.shown = {i: str(i) for i in self.bytes_of}
-        self.core = tiktoken.Encoding("file", pat_str=PIECES, mergeable_ranks=vocab, special_tokens={})
+        self.core = tiktoken.Encoding("file", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
         self.pieces = regex.compile(PIECES)
+        self.pre = self.hf.pre_tokenizer
 
-    # Leaves.
+    # Leaves. Tokens are ranks from here on to ``ids``.
 
     def leaf(self, text: str) -> list[int]:
         """All of a short text that has no added token."""
         if SETTLED.search(text):
-            return self.hf.encode(text, add_special_tokens=False).ids
+            return [t for p in self.spans(text, False)[1] for t in p]
         return self.core.encode_ordinary(text)
 
     # One long piece: tokens over bytes.
@@ -87,25 +105,25 @@ class Bpe:
 
     def apart(self, a: int, b: int) -> bool:
         """Whether the merges leave two neighbouring tokens as they are."""
-        return self.core._encode_single_piece(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+        return self.core._encode_single_piece(self.of_rank[a] + self.of_rank[b]) == [a, b]
 
     def join_tokens(self, left: list[int], right: list[int]) -> list[int]:
         k = 4
         while True:
             i, j = max(0, len(left) - k), min(len(right), k)
-            mid = self.core._encode_single_piece(b"".join(self.bytes_of[t] for t in left[i:] + right[:j]))
+            mid = self.core._encode_single_piece(b"".join(self.of_rank[t] for t in left[i:] + right[:j]))
             if (i == 0 or self.apart(left[i - 1], mid[0])) and (j == len(right) or self.apart(mid[-1], right[j])):
                 return left[:i] + mid + right[j:]
             k *= 2
 
     # Text: pieces with their ends, and the tokens of each piece.
 
-    def spans(self, text: str) -> tuple[list[int], list[list[int]]]:
+    def spans(self, text: str, settled: bool = True) -> tuple[list[int], list[list[int]]]:
         """Ends of the pieces of a text and the tokens of each."""
-        found = self.pieces.findall(text)
+        found = self.pieces.findall(text) if settled else [text[a:b] for _, (a, b) in self.pre.pre_tokenize_str(text)]
         return list(accumulate(map(len, found))), [self.piece(p.encode("utf-8", "surrogatepass")) for p in found]
 
-    def join_spans(self, text: str, cut: int, left: tuple, right: tuple) -> tuple[list[int], list[list[int]]]:
+    def join_spans(self, text: str, cut: int, left: tuple, right: tuple, settled: bool = True) -> tuple[list[int], list[list[int]]]:
         """left covers text[:cut], right the rest; ends count from each part's start."""
         (le, lt), (re_, rt) = left, right
         keep = len(le)
@@ -117,7 +135,7 @@ class Bpe:
             last = min(len(re_), grow) - 1
             stop = cut + (re_[last] if re_ else 0)
             # One more character is seen than is kept, and pieces near the window's end are not final.
-            ends, tokens = self.spans(text[begin : min(len(text), stop + AHEAD)])
+            ends, tokens = self.spans(text[begin : min(len(text), stop + AHEAD)], settled)
             for n, e in enumerate(ends):
                 at = begin + e
                 final = at == len(text) or at < stop and (ends[n - 1] if n else 0) + AHEAD <= stop + AHEAD - begin
@@ -129,28 +147,36 @@ class Bpe:
             grow *= 2
 
     def tree(self, text: str, leaf: int, pool: ThreadPoolExecutor | None = None) -> tuple[list[int], list[list[int]]]:
-        if len(text) <= leaf:
-            return self.spans(text)
-        cut = len(text) // 2
-        a, b = text[:cut], text[cut:]
-        if pool is None:
-            left, right = self.tree(a, leaf), self.tree(b, leaf)
-        else:
-            other = pool.submit(self.tree, a, leaf)
-            right = self.tree(b, leaf)
-            left = other.result()
-        return self.join_spans(text, cut, left, right)
+        settled, leaves = not SETTLED.search(text), []
+
+        def halve(a: int, b: int):
+            """The number of a leaf, or a pair of halves."""
+            if b - a <= leaf:
+                leaves.append((a, b))
+                return len(leaves) - 1
+            cut = a + (b - a) // 2
+            return halve(a, cut), halve(cut, b)
+
+        shape = halve(0, len(text))
+        encode = lambda r: self.spans(text[r[0] : r[1]], settled)
+        parts = list((pool.map if pool else map)(encode, leaves))
+
+        def join(node) -> tuple[int, int, tuple]:
+            if isinstance(node, int):
+                return *leaves[node], parts[node]
+            (a, cut, left), (_, b, right) = join(node[0]), join(node[1])
+            return a, b, self.join_spans(text[a:b], cut - a, left, right, settled)
+
+        return join(shape)[2]
 
     def ids(self, text: str, leaf: int = LEAF_CHARS, pool: ThreadPoolExecutor | None = None) -> list[int]:
         out: list[int] = []
         for part in self.split.split(text) if self.split else [text]:
             if part in self.added:
                 out.append(self.added[part])
-            elif len(part) <= leaf or SETTLED.search(part):
-                out += self.leaf(part)
-            else:
-                for t in self.tree(part, leaf, pool)[1]:
-                    out += t
+                continue
+            ranks = self.leaf(part) if len(part) <= leaf else [t for p in self.tree(part, leaf, pool)[1] for t in p]
+            out += ranks if self.id_of is None else map(self.id_of.__getitem__, ranks)
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -162,7 +188,7 @@ IDS = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
 
 def digest(bpe: Bpe, leaf: int = LEAF_CHARS):
-    pool = ThreadPoolExecutor(1)
+    pool = ThreadPoolExecutor(THREADS)
 
     def fn(texts: list) -> list:
         out: list[tuple] = []

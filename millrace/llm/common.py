@@ -31,10 +31,13 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the cluster's shared checkpoint folder; a folder of our own only where none is set (tests)."""
+    """Cut the lineage in the cluster's shared checkpoint folder; a folder of our own only where none is set and executors share the driver's disk."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
@@ -51,10 +54,13 @@ def map_texts(df: DataFrame, text: str, make: Callable[[], Callable[[list], list
 
     ``make()`` runs once in each task and gives a function from a list of texts (null stays None)
     to one list of values for each field of ``out``. No shuffle; a batch of rows at a time is in memory.
+    Columns are told apart by place, so ``df`` may have any names. Of a column of ``df`` with the name of
+    a new one the new one stays.
     """
     small_batches(df.sparkSession)
     ship(df.sparkSession)
-    keep = list(df.columns if keep is None else keep)
+    new = set(out.names)
+    keep = [c for c in (df.columns if keep is None else keep) if c not in new]
     src = df.select(F.col(text).cast("string").alias("t"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
     schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c in keep] + list(out.fields))
     types, names = [to_arrow_type(f.dataType) for f in out.fields], [f.name for f in schema.fields]

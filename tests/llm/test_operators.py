@@ -2,11 +2,13 @@
 
 import hashlib
 import html
+import json
 import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 import numpy as np
@@ -397,6 +399,42 @@ def test_bpe_joins(tokenizer, text, leaf):
     assert tokenizer.ids(text, leaf) == tokenizer.hf.encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_long_texts_of_any_script(tokenizer):
+    """The tree, not the library, encodes them."""
+    rng = random.Random(4)
+    words = ["漢字", "かな", " العربية", " слово", "😀", " the", "\n\n", " it's", "。", " 12", "한국어"]
+    text = "".join(rng.choice(words) for _ in range(60_000))
+    assert len(text) > 100_000
+    with ThreadPoolExecutor(3) as pool:
+        ends, tokens = tokenizer.tree(text, 5000, pool)
+    ids = [t for p in tokens for t in p]
+    assert ends[-1] == len(text) and ids == tokenizer.hf.encode(text, add_special_tokens=False).ids == tokenizer.ids(text, 777)
+
+
+def test_bpe_ids_are_not_ranks(tokenizer):
+    """A file with permuted ids gives the library's ids; one whose merges can't be exact is refused."""
+    spec = json.loads(bpe.content_of(bpe.default_path()))
+    vocab = list(spec["model"]["vocab"])
+    ids = list(range(len(vocab)))
+    random.Random(1).shuffle(ids)
+    spec["model"]["vocab"] = dict(zip(vocab, ids, strict=True))
+    other = bpe.Bpe(json.dumps(spec))
+    text = "the quick brown fox, it's 12 naïve cafés 漢字\n\n and <|endoftext|> more of the same words"
+    assert other.ids(text) == other.ids(text, 5) == other.hf.encode(text, add_special_tokens=False).ids != tokenizer.ids(text)
+    assert other.decode(other.ids(text)) == text
+    spec["model"]["merges"].append(["the", "r"] if isinstance(spec["model"]["merges"][0], list) else "the r")
+    with pytest.raises(ValueError):
+        bpe.Bpe(json.dumps(spec))
+
+
+def test_bpe_odd(spark):
+    clash = docs(spark, [(1, "a b", 7, "k0"), (1, "a b", 7, "k0"), (2, None, 0, "t")], "doc_id long, text string, n_tokens int, t string")
+    out = bpe.token_digest(clash, bpe.content_of(bpe.default_path()), keep=clash.columns)
+    assert sorted(out.columns) == sorted({*clash.columns, "n_tokens", "ids_sha256", "decoded_sha256"})
+    assert sorted(r.n_tokens for r in out.collect()) == [0, 2, 2]
+    assert bpe.token_digest(docs(spark, []), bpe.content_of(bpe.default_path())).count() == 0
+
+
 @given(st.text(st.sampled_from("aethion"), min_size=1, max_size=300))
 @settings(max_examples=60, deadline=None)
 def test_bpe_long_piece(tokenizer, text):
