@@ -563,3 +563,24 @@ def test_decontamination_lists_an_item_once(spark):
     items = spark.createDataFrame([("q", "a b c d e f g h i j"), ("q", "b c d e f g h i j k"), ("r", "a b c d e f g h i j")], "item_id string, text string")
     got = [sorted(rows_of(decontamination.decontaminate(d, items, block_bytes=n))) for n in (10**6, 1)]
     assert got[0] == got[1] and [r[3] for r in got[0]] == [2, 0]
+
+
+def test_decontamination_tables_are_small():
+    """Flat arrays: about 50 bytes a word beside its letters, also where windows repeat."""
+    rng = random.Random(2)
+    items = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(300))) for i in range(300)] * 2
+    s = decontamination.Searcher(items)
+    words = sum(len(t.split()) for _, t in items)
+    assert s.size() < 60 * words + sum(len(t) + 1 for _, t in items)
+    n, spans, found = s.search(" x ".join([items[7][1], items[9][1][:200]]), decontamination.Hashes())
+    assert spans[0] == (0, 300) and {i % 300 for i in found} == {7, 9} and len(found) == 4 and n > 300
+
+
+def test_decontamination_odd(spark):
+    d = docs(spark, [(1, "A b c", "x", 5, "t"), (1, "A b c", "x", 5, "t"), (None, "z a B C " * 50_000, None, 6, None), (3, None, "", 1, "")], "doc_id long, text string, spans string, n_words int, __k0 string")
+    items = spark.createDataFrame([(1, "a b c"), (2, None), (None, "z a")], "item_id long, text string")
+    out = decontamination.find_occurrences(d, items)
+    assert out.columns == ["doc_id", "text", "__k0", "n_words", "spans", "items"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert got[1].spans == [[0, 3]] and got[None].n_words == 200_000 and got[None].spans == [[0, 200_000]] and got[3].spans == []
+    assert decontamination.find_occurrences(docs(spark, []), items).count() == 0
