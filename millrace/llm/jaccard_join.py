@@ -8,16 +8,19 @@ picks its own l: it lengthens its prefix as long as that lowers the estimated co
 read plus the candidates to be verified, of which there are at most postings / l. A pair is verified only if it
 shares min(l, l') prefix shingles, and if the places of the shared ones leave room for the overlap it needs.
 
-How frequent a shingle is. One pass over all texts counts all shingles and keeps the logarithms of the counts in a
+How frequent a shingle is. One pass over all texts counts all shingles - each task adds up its own first, so a
+shingle that a third of all texts hold is one number from each task - and keeps the logarithms of the counts in a
 table of 2 ** ``SLOT_BITS`` bytes, the largest in each slot. The order reads that table, so it is the same for all
-documents, and any such order gives right results; collisions only make a shingle look more frequent. A shingle of an empty slot occurs once and links nothing: a document with a whole
-prefix of such shingles has no partner and sends nothing on. In most texts that is so.
+documents, and any such order gives right results; collisions only make a shingle look more frequent. A shingle of
+an empty slot occurs once and links nothing: a document with a whole prefix of such shingles has no partner and
+sends nothing on. In most texts that is so.
 
 Groups. Equal texts are one node. Near-copy groups aren't expanded into pairs: in rounds, each prefix shingle picks
 one pivot among its documents, every document is verified against the pivot it shares most with, and components
-grow. Only pairs from different components are still open. When these are few, or a round links few documents, all of
-them are verified, so no
-link between components is missed.
+grow. Only pairs from different components are still open. How many at most is known from counts of documents for
+each prefix shingle and component, before any pair is written. When they are few, or a round links few documents, all
+of them are verified, in as many slices as their number asks for, so no link between components is missed: the join
+finds every link, and pairs under the similarity are never linked.
 
 Semantics. A-Z are lower-cased; words are ``[^\\x20\\x09-\\x0D]+``. Texts of fewer than five words are one shingle,
 the whole sequence; null, empty and blank texts have none and link with nothing. ``component_id`` is the smallest
@@ -41,10 +44,12 @@ from .components import components
 SHINGLE, PERCENT = 5, 80
 #: Bytes of the table of counts. It is broadcast; its size is the same for any input.
 SLOT_BITS = 25
-#: Cost of verifying a candidate, in postings; longest l.
-VERIFY, MOST = 50.0, 3
-#: Rounds of pivots go on while more pairs than nodes are open and a round links this share of the nodes.
-WORTH = 0.03
+#: Cost of verifying a candidate, in postings.
+VERIFY = 8.0
+#: Rounds of pivots go on while more than so many pairs a node may be open and a round links this share of the nodes.
+OPEN, WORTH = 4, 0.03
+#: Open pairs a node, at most, that are written at once.
+SLICE = 64
 MEMO_WORDS = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -83,17 +88,18 @@ def shingles(words: list[bytes], memo: Words, size: int = SHINGLE) -> np.ndarray
 # Counting.
 
 
-def pack(keys: np.ndarray) -> bytes:
-    """Sorted numbers as compressed differences, byte plane by byte plane."""
+def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted numbers as compressed differences, byte plane by byte plane, and how often each occurs."""
     d = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
-    return zstandard.compress(np.ascontiguousarray(d[:, :6].T).tobytes(), 1)
+    n = np.ascontiguousarray(counts, dtype="<u4").view(np.uint8).reshape(-1, 4)
+    return zstandard.compress(np.ascontiguousarray(d[:, :6].T).tobytes() + np.ascontiguousarray(n.T).tobytes(), 1)
 
 
-def unpack(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(blob), dtype=np.uint8).reshape(6, -1)
+def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zstandard.decompress(blob), dtype=np.uint8).reshape(10, -1)
     d = np.zeros((planes.shape[1], 8), dtype=np.uint8)
-    d[:, :6] = planes.T
-    return np.cumsum(d.view("<u8").ravel(), dtype=np.uint64)
+    d[:, :6] = planes[:6].T
+    return np.cumsum(d.view("<u8").ravel(), dtype=np.uint64), np.ascontiguousarray(planes[6:].T).view("<u4").ravel()
 
 
 def count_table(docs: DataFrame, text_col: str, bits: int = SLOT_BITS) -> bytes:
@@ -107,11 +113,12 @@ def count_table(docs: DataFrame, text_col: str, bits: int = SLOT_BITS) -> bytes:
         memo, parts, size = Words(), [], 0
 
         def out():
-            h = np.sort(np.concatenate(parts) >> np.uint64(24))  # 40 bits: a chance clash makes a shingle look more frequent
+            # 40 bits: a chance clash makes a shingle look more frequent.
+            h, n = np.unique(np.concatenate(parts) >> np.uint64(24), return_counts=True)
             cut = np.searchsorted(h, np.arange(1 << bucket_bits, dtype=np.uint64) << np.uint64(40 - bucket_bits))
             ends = np.append(cut[1:], h.size)
             full = np.flatnonzero(ends > cut)
-            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([pack(h[cut[i] : ends[i]]) for i in full], pa.binary())], names=["bucket", "keys"])
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([pack(h[cut[i] : ends[i]], n[cut[i] : ends[i]]) for i in full], pa.binary())], names=["bucket", "keys"])
 
         for b in batches:
             for t in b.column(0).to_pylist():
@@ -125,7 +132,11 @@ def count_table(docs: DataFrame, text_col: str, bits: int = SLOT_BITS) -> bytes:
             yield out()
 
     def levels(t: pa.Table) -> pa.Table:
-        keys, n = np.unique(np.concatenate([unpack(x) for x in t.column("keys").to_pylist()]), return_counts=True)
+        keys, n = (np.concatenate(x) for x in zip(*map(unpack, t.column("keys").to_pylist()), strict=True))
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order].astype(np.int64)
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        keys, n = keys[first], np.add.reduceat(n, first)
         keys, n = keys[n > 1], n[n > 1]
         slot = (keys >> np.uint64(40 - bits)) & np.uint64((1 << bits - bucket_bits) - 1)
         segment = np.zeros(1 << bits - bucket_bits, dtype=np.uint8)
@@ -161,11 +172,10 @@ def prefix(h: np.ndarray, levels: np.ndarray, bits: int) -> tuple[int, np.ndarra
     rest, lev = rest[order], lev[order]
     # Postings of the others in the l-prefix for l = 1, 2, ...
     others = np.cumsum(np.exp2(lev.astype(np.float64)) - 1)
-    best, cost = 1, np.inf
-    for k in range(1, min(MOST, need(n)) + 1):
-        read = others[min(rest.size, base + k - 1 - alone) - 1]
-        if (c := read + VERIFY * read / k) < cost * 0.95:
-            best, cost = k, c
+    k = np.arange(1, need(n) + 1)
+    cost = others[np.minimum(rest.size, base + k - 1 - alone) - 1] * (1 + VERIFY / k)
+    # The shortest whose cost is within a twentieth of the least.
+    best = int(k[np.argmax(cost <= cost.min() / 0.95)])
     return best, rest[: base + best - 1 - alone], alone
 
 
@@ -247,11 +257,20 @@ def pivots(postings: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     return shared.groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
 
 
-def open_rows(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    """a, b, l for each prefix shingle that two documents of different components share and that leaves room for the overlap."""
-    p = postings.join(labels, "node")
-    per = p.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("k")).filter("k > 1").select("token", F.col("m.label").alias("main"))
-    live = checkpoint(p.join(per, "token"))
+def by_token(postings: DataFrame, labels: DataFrame) -> DataFrame:
+    """token, main (its largest component), k (its documents), m (those in main): of tokens with several components."""
+    per = postings.join(labels, "node").groupBy("token", "label").agg(F.count("*").alias("c"))
+    return per.groupBy("token").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("k"), F.count("*").alias("labels")).filter("labels > 1").select("token", F.col("m.label").alias("main"), "k", F.col("m.c").alias("m"))
+
+
+def open_rows(postings: DataFrame, labels: DataFrame, per: DataFrame, slice_: int = 0, slices: int = 1) -> DataFrame:
+    """a, b, l for each prefix shingle that two documents of different components share and that leaves room for the overlap.
+
+    Of several slices, the pairs that fall to one by their smaller end.
+    """
+    # Components that have grown since ``per`` was counted have another label.
+    main = per.select("token", F.col("main").alias("node")).join(labels, "node").select("token", F.col("label").alias("main"))
+    live = postings.join(labels, "node").join(main, "token")
     # Every open pair has an end outside the token's largest component.
     a = live.filter(F.col("label") != F.col("main")).select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "l", "first", "pos", "label")])
     b = live.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "l", "first", "pos", "label")], (F.col("label") != F.col("main")).alias("out"))
@@ -260,12 +279,14 @@ def open_rows(postings: DataFrame, labels: DataFrame) -> DataFrame:
     # Shared shingles before this one are neither set's own; of those after it, and itself, there are ``room`` at most.
     whole = F.least(F.col("pos_a") - F.col("first_a"), F.col("pos_b") - F.col("first_b")) + room
     met = a.join(b, "token").filter((F.col("label_a") != F.col("label_b")) & (~F.col("out") | (F.col("node_a") < F.col("node_b"))) & alike(F.col("n_a"), F.col("n_b")) & enough(F.col("n_a"), F.col("n_b"), whole) & enough(F.col("n_a"), F.col("n_b"), room + least - 1))
+    if slices > 1:
+        met = met.filter(F.pmod(F.xxhash64(F.least("node_a", "node_b")), F.lit(slices)) == slice_)
     return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), least.alias("l"))
 
 
-def rest_pairs(postings: DataFrame, labels: DataFrame) -> DataFrame:
+def rest_pairs(*of) -> DataFrame:
     """All pairs of different components that share min(l, l') prefix shingles."""
-    return open_rows(postings, labels).groupBy("a", "b").agg(F.count("*").alias("c"), F.max("l").alias("l")).filter("c >= l").select("a", "b")
+    return open_rows(*of).groupBy("a", "b").agg(F.count("*").alias("c"), F.max("l").alias("l")).filter("c >= l").select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = SLOT_BITS, report: dict | None = None) -> DataFrame:
@@ -281,20 +302,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     labels = nodes.select("node", F.col("node").alias("label"))
     size, turn = nodes.count(), 0
     while True:
-        found = checkpoint(verified(pivots(postings, labels, turn), nodes))
+        found = checkpoint(verified(pivots(postings, labels, turn), nodes), size)
         linked, turn = found.count(), turn + 1
         if linked:
-            labels = components(labels, found)
-        rest = checkpoint(rest_pairs(postings, labels))
-        left = rest.count()
+            labels = components(labels, found, size, linked)
+        per = checkpoint(by_token(postings, labels))
+        left = per.agg(F.sum(F.col("k") * (F.col("k") - F.col("m")))).first()[0] or 0
         if report is not None:
             report.setdefault("rounds", []).append((size, linked, left))
-        if left <= size or linked <= WORTH * size:
+        if left <= OPEN * size or linked <= WORTH * size:
             break
-    if left:
-        labels = components(labels, verified(rest, nodes))
+    slices = -(-left // (SLICE * size)) if left else 0
+    for k in range(slices):
+        labels = components(labels, verified(rest_pairs(postings, labels, per, k, slices), nodes), size)
     least = labels.join(classes, "node").groupBy("label").agg(F.min("least").alias("component_id"))
-    of_class = checkpoint(classes.select("c1", "c2", "node").join(labels, "node").join(least, "label").select("c1", "c2", "component_id"))
+    # Written, so that the join below reads both its sides from exchanges.
+    of_class = checkpoint(classes.select("c1", "c2", "node").join(labels, "node").join(least, "label").select("c1", "c2", "component_id"), size)
     # A class of copies may hold a third of the rows: its key is read from the rows' own exchange, which a skew join can split.
     return rows.select("id", "n", "c1", "c2").join(of_class, ["c1", "c2"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 

@@ -236,7 +236,9 @@ def test_jaccard_odd(spark):
 
 def test_packed_numbers():
     x = np.unique(np.random.default_rng(1).integers(0, 1 << 40, 5000).astype(np.uint64))
-    assert (jaccard_join.unpack(jaccard_join.pack(x)) == x).all()
+    n = np.random.default_rng(2).integers(1, 1 << 30, x.size)
+    keys, counts = jaccard_join.unpack(jaccard_join.pack(x, n))
+    assert (keys == x).all() and (counts == n).all()
 
 
 # 4 and 9
