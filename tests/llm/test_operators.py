@@ -378,6 +378,81 @@ def test_regions(page, want):
     assert html_extraction.Reader().text(page, None, 0) == want
 
 
+def obfuscated_pages(hosts=3, each=8, seed=3):
+    """Pages without telling elements or classes: (rows, main texts). A fixed box stands inside the text, varying links and teasers outside."""
+    rng = random.Random(seed)
+    sentence = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega"]) + str(rng.randrange(100)) for _ in range(n))
+    rows, want = [], {}
+    for h in range(hosts):
+        for k in range(each):
+            i = h * 100 + k
+            title, parts = sentence(4), [sentence(rng.randint(8, 40)) for _ in range(rng.randint(1, 5))]
+            links = "".join(f'<li><a href="/{j}">{sentence(2)}</a></li>' for j in range(rng.randint(3, 6)))
+            legal = f'<p class="legal-news">{sentence(9)}</p>' if k % 3 == 0 else ""
+            box = "<div class=q8><p>Get our letter</p><p>Every week, free</p></div>"
+            body = "".join(f"<p>{x}</p>" + (box if j == 0 else "") for j, x in enumerate(parts)) + legal
+            rows.append((i, f"http://h{h}.example/{k}", f"<html><body><div class=z1><ul>{links}</ul></div><div class='k7 related-science'><h1>{title}</h1><div class=w2>{body}</div></div><div class=z9><p>{sentence(5)}</p></div><div class=b4>All rights reserved</div></body></html>"))
+            want[i] = " ".join([title, *parts, *([re.search('legal-news">([^<]*)', legal)[1]] if legal else [])])
+    return rows, want
+
+
+PAGES = "page_id long, url string, html string"
+
+
+def test_html_by_wrappers_alone(spark):
+    rows, want = obfuscated_pages()
+    alone = {i: html_extraction.Reader().text(page) for i, _, page in rows}
+    assert all("Get our letter" in t for t in alone.values()) and sum(alone[i] == want[i] for i in want) == 0
+    for parts, broadcast in ((1, 1 << 20), (50, 1 << 20), (3, 0)):
+        got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, PAGES).repartition(parts), broadcast=broadcast).collect()}
+        assert got == want
+
+
+def test_html_class_names_are_no_evidence_against_the_text():
+    read = html_extraction.Reader().text
+    assert read('<article class="post related-science"><p>a</p><p class="legal-news">b</p><p class="legal">c</p></article>') == "a b"
+    assert read(f'<div class="legal"><p>{"long text " * 9}</p></div><div class="ad">x</div>') == " ".join(["long text"] * 9)
+
+
+def test_html_copies_keep_their_text(spark):
+    """Copies on pages that differ around them are one content: what they alone have is no template."""
+    page = lambda k, text: f"<body><nav><a>{k}</a></nav><div><h1>T {text}</h1><pre>same listing</pre><p>{text * 6}</p></div><p>{k}</p></body>"
+    rows = [(k, "http://c.example/", page(k, "one copied text ")) for k in range(9)] + [(20 + k, "http://c.example/", f"<body><nav><a>x</a></nav><div><h1>U{k}</h1><p>{f'other{k} words ' * 9}</p></div><p>{k}</p></body>") for k in range(2)]
+    got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert all("same listing" in got[k] for k in range(9)) and got[20].startswith("U0 other0")
+
+
+def test_html_odd(spark):
+    rows = [(None, None, None), (1, "http://a.example", ""), (1, "http://a.example", ""), (2, "http://a.example", "<p>" * 3000), (3, "http://b.example", "<article>" + "<p>long text</p><hr>" * 20_000 + "</article>")]
+    got = html_extraction.extract(spark.createDataFrame([(*r, "x", 1) for r in rows], PAGES + ", host string, text int")).collect()
+    assert sorted((str(r.page_id), r.n_chars) for r in got) == [("1", 0), ("1", 0), ("2", 0), ("3", 199_999), ("None", 0)]
+    assert html_extraction.extract(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_alignment_is_a_longest_common_subsequence(monkeypatch):
+    rng = random.Random(6)
+    for n in range(300):
+        x, y = ([rng.choice("abcd") for _ in range(rng.randrange(14))] for _ in range(2))
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(len(x) - 1, -1, -1):
+            for j in range(len(y) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+        monkeypatch.setattr(html_extraction, "CELLS", 1 << 28 if n % 2 else 4)
+        pairs = html_extraction.aligned(x, y)
+        assert len(pairs) == best[0][0] and all(x[i] == y[j] for i, j in pairs) and all(p < q and r < t for (p, r), (q, t) in zip(pairs, pairs[1:], strict=False))
+
+
+def test_folding_has_no_limits():
+    unit = [f"<t{i}" for i in range(60)]
+    assert html_extraction.fold(unit * 3)[0] == [["+", unit]]
+    nested: list = ["<hr"]
+    for k in range(6):
+        nested = (nested * 2) + [f"<s{k}"]
+    nodes, leaf = html_extraction.fold(nested)
+    depth = lambda x: 0 if isinstance(x, str) else 1 + max(map(depth, x[1]))
+    assert max(map(depth, nodes)) == 6 and [html_extraction.leaves(nodes)[i] for i in leaf] == nested
+
+
 def test_wrapper_is_union_free():
     letters = html_extraction.Letters()
     a, leaf = html_extraction.fold("<p # </p <p # </p <hr <p # </p <p # </p <hr".split(), letters)
