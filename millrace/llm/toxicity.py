@@ -8,11 +8,15 @@ without such a term get one put in, once for each side of the swap.
 
 Bounds. Labels of at most ``SAMPLE`` rows of each class, those with the smallest hashes of their ids, are
 learned from; ``FEATURES`` features, chosen by the likelihood-ratio statistic of presence against the label,
-have weights. Labels, language, source and id are never inputs. Every whole text is scored.
+have weights. What reaches the driver is bounded by these and by 2 ** ``BITS``: first how many sampled texts of each
+class have each feature, then which of the chosen ones each sampled text has, however long the texts are. Labels,
+language, source and id are never inputs. Every whole text is scored.
 
 Semantics. Null and empty texts have no features; their score is the intercept's. Labels of repeated ids
-count once, toxic if any says so. Without labels of both classes every score is the smoothed share of toxic
-labels. Rows with a null id have a null ``held_out`` and aren't learned from.
+count once, toxic if any says so; of the texts of a repeated id the smallest is learned from. Without labels of both
+classes every score is the smoothed share of toxic labels. Rows with a null id have a null ``held_out`` and aren't
+learned from. Repeated rows and ties get equal scores; very long texts are scored whole. Extra columns are kept
+by ``score``, whatever their names, but for one named like the score; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,11 +25,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_of_id, map_texts, table
+from .common import checkpoint, crc_of_id, map_texts, ship, small_batches, table
 
 SAMPLE = 3_000
 FEATURES = 4_000
@@ -84,14 +89,15 @@ def packed(features: list[int]) -> bytes:
     return np.asarray(features, dtype="<i4").tobytes()
 
 
-def sampled(texts: list) -> list:
-    """Hashed features of each text, and those by which the two sides of its counterfactual pair differ."""
+def sampled(texts: list, chosen: set[int] | None = None) -> list:
+    """Hashed features of each text, and those by which the two sides of its counterfactual pair differ; of all or of the chosen ones."""
     plain, left, right = [], [], []
+    of = lambda words: [f for f in features_of(words) if chosen is None or f in chosen]
     for t in texts:
         words = words_of(t)
         x, y = swapped(words, zlib.crc32((t or "").encode("utf-8", "replace")))
-        fx, fy = set(features_of(x)), set(features_of(y))
-        plain.append(packed(features_of(words)))
+        fx, fy = set(of(x)), set(of(y))
+        plain.append(packed(of(words)))
         left.append(packed(sorted(fx - fy)))
         right.append(packed(sorted(fy - fx)))
     return [plain, left, right]
@@ -125,6 +131,16 @@ class Rows:
         return np.repeat(np.arange(self.sizes.size, dtype=np.int32), self.sizes)[have], col[have].astype(np.int32)
 
 
+def choose(counts: tuple[np.ndarray, np.ndarray], n0: float, n1: float) -> np.ndarray:
+    """The features with weights, from how many sampled texts of each class have each, and the identity terms'."""
+    p0, p1 = (counts[0] + 0.5) / (n0 + 1), (counts[1] + 0.5) / (n1 + 1)
+    p = (counts[0] + counts[1] + 1) / (n0 + n1 + 2)
+    ratio = sum(c * np.log(q / p) + (n - c) * np.log((1 - q) / (1 - p)) for c, q, n in ((counts[0], p0, n0), (counts[1], p1, n1)))
+    ratio[(counts[0] + counts[1] < 3) | (p1 <= p0)] = -np.inf
+    chosen = np.argsort(-ratio, kind="stable")[: min(FEATURES, int(np.isfinite(ratio).sum()))]
+    return np.union1d(chosen, np.unique([f for t in KIND for f in word_features(t)]))
+
+
 class Model:
     """weights by hashed feature, and the intercept."""
 
@@ -132,22 +148,15 @@ class Model:
         self.weights, self.intercept = weights, intercept
 
     @staticmethod
-    def fit(plain: Rows, left: Rows, right: Rows, labels: np.ndarray, shares: tuple[float, float], rounds: int = 250) -> Model:
-        """shares: labelled rows of class 0 and 1, from which the sample was drawn."""
+    def fit(plain: Rows, left: Rows, right: Rows, labels: np.ndarray, shares: tuple[float, float], rounds: int = 250, chosen: np.ndarray | None = None) -> Model:
+        """shares: labelled rows of class 0 and 1, from which the sample was drawn; chosen: the features, where the rows have no others."""
         y = labels.astype(np.float64)
         n0, n1 = float((y == 0).sum()), float((y == 1).sum())
         prior = float(np.log((shares[1] + 1) / (shares[0] + 1)))
         if not n0 or not n1:
             return Model({}, prior)
-        size = 1 << BITS
-        both = [plain.counts(y == c, size) for c in (0, 1)]
-        p0, p1 = (both[0] + 0.5) / (n0 + 1), (both[1] + 0.5) / (n1 + 1)
-        p = (both[0] + both[1] + 1) / (n0 + n1 + 2)
-        ratio = sum(c * np.log(q / p) + (n - c) * np.log((1 - q) / (1 - p)) for c, q, n in ((both[0], p0, n0), (both[1], p1, n1)))
-        ratio[(both[0] + both[1] < 3) | (p1 <= p0)] = -np.inf
-        chosen = np.sort(np.argsort(-ratio, kind="stable")[: min(FEATURES, int(np.isfinite(ratio).sum()))])
-        terms = np.unique([f for t in KIND for f in word_features(t)])
-        chosen = np.union1d(chosen, terms)
+        if chosen is None:
+            chosen = choose((plain.counts(y == 0, 1 << BITS), plain.counts(y == 1, 1 << BITS)), n0, n1)
         (at, col), (la, lc), (ra, rc) = plain.cells(chosen), left.cells(chosen), right.cells(chosen)
         n, k = y.size, chosen.size
         # Each class weighs as much as it has labelled rows, so the scores are probabilities of the whole table.
@@ -201,11 +210,40 @@ def labelled_sample(labels: DataFrame, id_col: str, label: str, mod: int, held:
     return F.broadcast(labels.sparkSession.createDataFrame(rows, schema)), (counts.get(0, 0.0), counts.get(1, 0.0))
 
 
+def sample_rows(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """__id, y, __text: one row of each sampled id, written, as they are read more than once."""
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).join(ids, "__id")
+    return checkpoint(rows.groupBy("__id", "y").agg(F.min("__text").alias("__text")))
+
+
+def feature_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """For each feature how many of the rows of class 0 and 1 have it. Tasks add up first; what arrives has 2 ** BITS rows at most."""
+    small_batches(rows.sparkSession)
+    ship(rows.sparkSession)
+
+    def run(batches):
+        have = np.zeros((2, 1 << BITS), dtype=np.int64)
+        for b in batches:
+            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                have[y, features_of(words_of(t))] += 1
+        some = np.flatnonzero(have.sum(0))
+        if some.size:
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(x[some]) for x in have)], names=["f", "n0", "n1"])
+
+    got = rows.select("__text", "y").mapInArrow(run, "f int, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
+    counts = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for k in (0, 1):
+        counts[k][got["f"].to_numpy()] = got[f"n{k}"].to_numpy()
+    return counts
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", mod: int = FOLDS, held: int = HELD_OUT, sample: int = SAMPLE) -> Model:
     ids, shares = labelled_sample(labels, id_col, label, mod, held, sample)
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(ids, "__id")
-    got = map_texts(rows, "__text", lambda: sampled, SAMPLE_FIELDS, ["__id", "y"]).toArrow().sort_by("__id")
-    return Model.fit(Rows.of(got["plain"]), Rows.of(got["a"]), Rows.of(got["b"]), got["y"].to_numpy(), shares)
+    rows = sample_rows(docs, ids, id_col, text_col)
+    n = {r["y"]: float(r["count"]) for r in rows.groupBy("y").count().collect()}
+    chosen = choose(feature_counts(rows), n.get(0, 0.0), n.get(1, 0.0))
+    got = map_texts(rows, "__text", lambda: (lambda few: lambda texts: sampled(texts, few))(set(chosen.tolist())), SAMPLE_FIELDS, ["__id", "y"]).toArrow().sort_by("__id")
+    return Model.fit(Rows.of(got["plain"]), Rows.of(got["a"]), Rows.of(got["b"]), got["y"].to_numpy(), shares, chosen=chosen)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:

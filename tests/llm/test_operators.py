@@ -297,6 +297,45 @@ def test_classifiers_odd(spark, op, label):
     assert op(docs(spark, []), some).count() == 0
 
 
+def test_attention_beats_mean_pooling():
+    """One passage of many decides, by what it says: all passages look alike but for their words."""
+    rng = random.Random(9)
+    good, bad = [f"word{i:03}" for i in range(60)], [f"spam{i:03}" for i in range(8)]
+    texts, y = [], []
+    for i in range(900):
+        passages = [[rng.choice(good) for _ in range(quality.PASSAGE)] for _ in range(rng.randint(8, 24))]
+        if i % 2:
+            p = rng.choice(passages)
+            for k in rng.sample(range(quality.PASSAGE), 12):
+                p[k] = rng.choice(bad)
+        texts.append(" ".join(w for p in passages for w in p))
+        y.append(1 - i % 2)
+    packed = quality.bags(texts)
+    y, sizes = np.asarray(y, dtype=float), np.asarray(packed[2])
+    form = np.frombuffer(b"".join(packed[0]), dtype="<f4").reshape(-1, quality.FORM)
+    x = np.concatenate([form, np.frombuffer(b"".join(packed[1]), dtype=np.uint8).reshape(-1, quality.WIDTH - quality.FORM) / 32], axis=1)
+    cut, right = int(sizes[:600].sum()), {}
+    for attend in (True, False):
+        m = quality.Model.fit(x[:cut].astype(np.float32), sizes[:600], y[:600], (300.0, 300.0), attend=attend)
+        right[attend] = ((m.scores(x[cut:], sizes[600:]) >= 0.5) == (y[600:] == 1)).mean()
+    assert right[True] > 0.95 and right[True] > right[False] + 0.02, right
+
+
+def test_samples_are_bounded(spark):
+    """Repeated ids and very long texts don't make what reaches the driver larger."""
+    long = " ".join(f"w{i}" for i in range(100_000))
+    assert quality.bags([long])[2] == [quality.MOST_PASSAGES]
+    rows = [(i % 4, f"{long} {i}" if i < 4 else f"t {i}") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, toxic int")
+    ids, _ = toxicity.labelled_sample(labels, "doc_id", "toxic", 1, 1, 10)
+    sample = toxicity.sample_rows(docs(spark, rows), ids, "doc_id", "text")
+    assert sample.count() == 4
+    n0, n1 = toxicity.feature_counts(sample)
+    assert n0.max() <= 2 and n1.max() <= 2
+    few = set(np.flatnonzero(n0)[:50].tolist())
+    assert all(len(x) <= 4 * len(few) for c in toxicity.sampled([long], few) for x in c)
+
+
 def test_passages_match_a_plain_count():
     t = ["Ab! cd | EF9\n" * 40, "", None, "x", "y z " * 64]
     x, sizes = quality.encode(t)
