@@ -2,6 +2,7 @@
 
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -47,6 +48,42 @@ def test_one_row_of_each_group_stays(spark):
     assert got == sorted([("None", words(0)), ("None", words(2)), ("1", first), ("1", words(3)), ("2", words(4)), ("3", words(5)), ("4", ""), ("4", ""), ("None", "")])
 
 
+ODD_COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, __score int, spans string, n_words int, key int, turn string, c0 int, starts string"
+
+
+def odd_rows():
+    more = ("en", "web", 1, 5, "s", 6, 7, "t", 8, "u")
+    long = " ".join(f"long{i}" for i in range(30_000))
+    lines = "\n".join(f"a line of its own {i}" for i in range(6))
+    rows = [(None, None, *more), (None, "words of a row without an id, enough for some shingles", *more), (1, "", *more), (1, "", *more), (2, long, *more), (3, lines, *more), (4, lines, *more), (4, lines, *more), (5, "one", None, None, None, None, None, None, None, None, None, None)]
+    return rows, long, lines
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_odd_rows_and_names(spark, k):
+    """Nulls, empty and very long texts, repeated rows and ids, clashing names, no rows: defined by each stage's docstring."""
+    name, stage = corpus_pipeline.STAGES[k]
+    rows, long, lines = odd_rows()
+    df = spark.createDataFrame(rows, ODD_COLUMNS).repartition(3)
+    out = stage(spark, df, SMALL)
+    got = out.collect()
+    if k < 4:
+        assert out.columns == df.columns
+        assert all(tuple(r)[5:] in {tuple(x)[5:] for x in rows} for r in got)
+    texts = sorted((str(r.doc_id), r.text or "") for r in got)
+    everything = sorted((str(r[0]), r[1] or "") for r in rows)
+    if name in ("toxicity", "benchmark decontamination"):
+        assert texts == everything and [r.text for r in got].count(None) == 1
+    elif name == "line dedup":
+        assert [t for i, t in texts if i in "34"] == [lines, "", ""] and len(got) == len(rows)
+        assert {r.n_chars for r in got if r.doc_id == 2} == {len(long)} and all(r.n_chars is None for r in got if r.text is None)
+    elif name == "n-gram Jaccard join":
+        assert texts == sorted([e for e in everything if e[0] != "4"])
+    else:
+        assert len(got) == len(rows) and all(r.n_tokens == 0 for r in got if not r.text) and len(set(out.columns)) == len(out.columns)
+    assert stage(spark, spark.createDataFrame([], ODD_COLUMNS), SMALL).count() == 0
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, SMALL)
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
