@@ -4,9 +4,10 @@ Sets are the distinct 5-word shingles of the texts; two are linked when 100 |A &
 
 The join. All shingles have one global order, from rare to frequent. Of a set of n shingles, the l-prefix is the
 first n - ceil(0.8 n) + l in that order: linked sets share at least l shingles of their l-prefixes. Each document
-picks its own l: it lengthens its prefix as long as that lowers the estimated cost, that is the postings to be
-read plus the candidates to be verified, of which there are at most postings / l. A pair is verified only if it
-shares min(l, l') prefix shingles, and if the places of the shared ones leave room for the overlap it needs.
+picks its own l: it lengthens its prefix as long as that lowers the estimated cost, that is its own shingles to be
+sent, the postings to be read and the candidates to be verified, of which there are at most postings / l. A pair is
+verified only if it shares min(l, l') prefix shingles, and if the places of the shared ones leave room for the overlap
+it needs.
 
 How frequent a shingle is. One pass over all texts counts all shingles - each task adds up its own first, so a
 shingle that a third of all texts hold is one number from each task - and keeps the logarithms of the counts in a
@@ -17,10 +18,10 @@ sends nothing on. In most texts that is so.
 
 Groups. Equal texts are one node. Near-copy groups aren't expanded into pairs: in rounds, each prefix shingle picks
 one pivot among its documents, every document is verified against the pivot it shares most with, and components
-grow. Only pairs from different components are still open. How many at most is known from counts of documents for
-each prefix shingle and component, before any pair is written. When they are few, or a round links few documents, all
-of them are verified, in as many slices as their number asks for, so no link between components is missed: the join
-finds every link, and pairs under the similarity are never linked.
+grow. Only pairs from different components are still open. How many they are is estimated, from the pairs of one node in
+``SAMPLE``, before any is written. When they are few, or a round links few documents, all of them are verified, in as
+many slices as their number asks for, so no link between components is missed whatever the estimate: the join finds
+every link, and pairs under the similarity are never linked.
 
 Semantics. A-Z are lower-cased; words are ``[^\\x20\\x09-\\x0D]+``. Texts of fewer than five words are one shingle,
 the whole sequence; null, empty and blank texts have none and link with nothing. ``component_id`` is the smallest
@@ -44,12 +45,12 @@ from .components import components
 SHINGLE, PERCENT = 5, 80
 #: Bytes of the table of counts. It is broadcast; its size is the same for any input.
 SLOT_BITS = 25
-#: Cost of verifying a candidate, in postings.
-VERIFY = 8.0
-#: Rounds of pivots go on while more than so many pairs a node may be open and a round links this share of the nodes.
-OPEN, WORTH = 4, 0.03
-#: Open pairs a node, at most, that are written at once.
-SLICE = 64
+#: Costs of sending a shingle and of verifying a candidate, in postings.
+SEND, VERIFY = 8.0, 4.0
+#: Rounds of pivots go on while more than so many pairs a node are open and a round links this share of the nodes.
+OPEN, WORTH = 32, 0.03
+#: Open pairs a node, about, that are written at once; one in so many nodes is asked for their number.
+SLICE, SAMPLE = 64, 16
 MEMO_WORDS = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -173,7 +174,8 @@ def prefix(h: np.ndarray, levels: np.ndarray, bits: int) -> tuple[int, np.ndarra
     # Postings of the others in the l-prefix for l = 1, 2, ...
     others = np.cumsum(np.exp2(lev.astype(np.float64)) - 1)
     k = np.arange(1, need(n) + 1)
-    cost = others[np.minimum(rest.size, base + k - 1 - alone) - 1] * (1 + VERIFY / k)
+    sent = np.minimum(rest.size, base + k - 1 - alone)
+    cost = SEND * sent + others[sent - 1] * (1 + VERIFY / k)
     # The shortest whose cost is within a twentieth of the least.
     best = int(k[np.argmax(cost <= cost.min() / 0.95)])
     return best, rest[: base + best - 1 - alone], alone
@@ -257,22 +259,21 @@ def pivots(postings: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     return shared.groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
 
 
-def by_token(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    """token, main (its largest component), k (its documents), m (those in main): of tokens with several components."""
-    per = postings.join(labels, "node").groupBy("token", "label").agg(F.count("*").alias("c"))
-    return per.groupBy("token").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("k"), F.count("*").alias("labels")).filter("labels > 1").select("token", F.col("m.label").alias("main"), "k", F.col("m.c").alias("m"))
+def live_postings(postings: DataFrame, labels: DataFrame) -> DataFrame:
+    """The postings of shingles that documents of several components have, with the shingle's largest component."""
+    p = postings.join(labels, "node")
+    per = p.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("k")).filter("k > 1").select("token", F.col("m.label").alias("main"))
+    return checkpoint(p.join(per, "token"))
 
 
-def open_rows(postings: DataFrame, labels: DataFrame, per: DataFrame, slice_: int = 0, slices: int = 1) -> DataFrame:
+def open_rows(live: DataFrame, slice_: int = 0, slices: int = 1, sample: int = 1) -> DataFrame:
     """a, b, l for each prefix shingle that two documents of different components share and that leaves room for the overlap.
 
-    Of several slices, the pairs that fall to one by their smaller end.
+    Of several slices, the pairs that fall to one by their smaller end; sample: those of one in so many nodes.
     """
-    # Components that have grown since ``per`` was counted have another label.
-    main = per.select("token", F.col("main").alias("node")).join(labels, "node").select("token", F.col("label").alias("main"))
-    live = postings.join(labels, "node").join(main, "token")
     # Every open pair has an end outside the token's largest component.
-    a = live.filter(F.col("label") != F.col("main")).select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "l", "first", "pos", "label")])
+    ends = live.filter(F.col("label") != F.col("main"))
+    a = (ends if sample == 1 else ends.filter(F.pmod(F.xxhash64("node"), F.lit(sample)) == 0)).select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "l", "first", "pos", "label")])
     b = live.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "l", "first", "pos", "label")], (F.col("label") != F.col("main")).alias("out"))
     least = F.least("l_a", "l_b")
     room = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
@@ -306,15 +307,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         linked, turn = found.count(), turn + 1
         if linked:
             labels = components(labels, found, size, linked)
-        per = checkpoint(by_token(postings, labels))
-        left = per.agg(F.sum(F.col("k") * (F.col("k") - F.col("m")))).first()[0] or 0
+        live = live_postings(postings, labels)
+        left = SAMPLE * open_rows(live, sample=SAMPLE).count()
         if report is not None:
             report.setdefault("rounds", []).append((size, linked, left))
         if left <= OPEN * size or linked <= WORTH * size:
             break
-    slices = -(-left // (SLICE * size)) if left else 0
+    slices = -(-left // (SLICE * size)) if left else 1
     for k in range(slices):
-        labels = components(labels, verified(rest_pairs(postings, labels, per, k, slices), nodes), size)
+        live = live_postings(postings, labels) if k else live
+        labels = components(labels, verified(rest_pairs(live, k, slices), nodes), size)
     least = labels.join(classes, "node").groupBy("label").agg(F.min("least").alias("component_id"))
     # Written, so that the join below reads both its sides from exchanges.
     of_class = checkpoint(classes.select("c1", "c2", "node").join(labels, "node").join(least, "label").select("c1", "c2", "component_id"), size)
