@@ -6,31 +6,38 @@ the unknown word. A word that begins kept bigrams is a state of its own: arcs wi
 log-probabilities, and one failure arc to the root whose weight makes all continuations sum to 1. A text is
 scored in one traversal from left to right that carries the state and adds up arc and failure weights.
 
-Scale. Counts come from every training text, by partial aggregation. Every bigram that occurs twice is kept, at
-every size. Words and bigrams from a share of ``WORD_SHARE`` and ``PAIR_SHARE`` of all tokens on are broadcast, with
-the failure weights of those words; there are at most 1 / share of them. All other root arcs, bigrams and failure
-weights stay distributed: tasks send what their texts need of them, packed, to the partitions that hold them, and
-sums by row come back. Neither way has a hot key: partitions come from both words of a bigram, and bigrams with many
-tokens are in the broadcast part. Rare words are told apart by 60 bits of their MD5 digest.
+Which bigrams are kept. All that occur ``LEAST_PAIR`` times in the training texts, at every size.
+
+Scale. Words from a share of ``WORD_SHARE`` of all tokens on, at most 1 / share, are broadcast, with their counts and
+failure weights; the traversal of a task reads their root and failure arcs. All other arcs stay distributed. Each task
+sends its bigrams once, with their training counts and the texts that they stand in, as packed columns, to the
+partitions that hold the states. There the counts meet; what is kept and which words are rare is written; counts of
+rare words that end a kept bigram are asked for and answered; and each partition gives back one sum for each text of
+each task. Neither way has a hot key: the bigrams of a frequent word are spread over partitions by its count, and the
+texts of a bigram that is frequent in a task are spread by task, where the bigram's count is sent after them.
+
+Sums of distributed weights are whole numbers of 2 ** -``POINT``, so they don't depend on the order of adding. Words are
+told apart by 60 bits of a hash, texts by 128; equal texts have one score.
 
 Semantics. A-Z are lower-cased; tokens are the words ``[^\\x20\\x09-\\x0D]+`` and one end. Null and empty texts
 have the end alone. Training rows are those whose crc32(id as text) mod 10 isn't 0; rows with a null id are
 scored but not learned from, and their ``held_out`` is null. Without training rows all counts are 0, every token
-is unknown with probability 1. Rows are scored one by one, so repeated ids and texts give equal rows.
+is unknown with probability 1. Rows are scored one by one, so repeated ids and texts give equal rows. Texts are scored
+whole, however long. Other columns, whatever their names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
+import struct
 from collections import Counter
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -40,13 +47,17 @@ from .common import checkpoint, crc_of_id, scan_parts, ship, small_batches, tabl
 FOLDS, HELD_OUT = 10, 0
 #: A bigram is kept from this count on, at every size.
 LEAST_PAIR = 2
-#: Shares of the training tokens from which on a word and a kept bigram are broadcast.
-WORD_SHARE, PAIR_SHARE = 1e-6, 1e-5
-#: Keys of words: the number among the broadcast ones, or this plus 60 bits of the MD5 digest.
+#: Share of the training tokens from which on a word is broadcast.
+WORD_SHARE = 1e-6
+#: Share of a task's tokens, and number, from which on the texts of a bigram of two such words are spread by task.
+PAIR_SHARE, LEAST_HOT = 1e-5, 64
+#: Keys of words: the number among the broadcast ones, or this plus 60 bits of a hash.
 RARE = 1 << 60
-#: Bits of a task's number of a word, and the words after which a task starts anew.
-BITS = 24
-MASK, MOST_WORDS = (1 << BITS) - 1, 1_500_000
+#: Bits of a task's number of a word and of a text; what a task holds before it sends it.
+WORD_BITS, ROW_BITS = 24, 15
+MOST_TOKENS, MOST_WORDS = 3_000_000, 1_500_000
+#: Sums are counted in steps of 2 ** -POINT.
+POINT = 36
 ADD = 0.1
 END = b""  # no word is empty
 
@@ -56,57 +67,185 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def strings(words: list[bytes]) -> pa.Array:
-    return pa.array(words, pa.binary()).cast(pa.string())
+def hash_of(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word) >> 4
+
+
+END_HASH = hash_of(END)
+
+
+# Packed columns, and how they are dealt to partitions.
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of numbers, the bytes of one place next to each other, compressed."""
+    head = struct.pack("<B", len(columns)) + b"".join(c.dtype.str[1:].encode() + struct.pack("<I", c.size) for c in columns)
+    body = head + b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(c.size, c.itemsize).T.tobytes() for c in columns)
+    return struct.pack("<Q", len(body)) + pa.compress(body, "zstd", asbytes=True)
+
+
+def unpack(blob: bytes) -> list[np.ndarray]:
+    raw = pa.decompress(blob[8:], struct.unpack_from("<Q", blob)[0], "zstd", asbytes=True)
+    n, at, kinds, out = raw[0], 1, [], []
+    for _ in range(n):
+        kinds.append((np.dtype(raw[at : at + 2].decode()), struct.unpack_from("<I", raw, at + 2)[0]))
+        at += 6
+    for kind, size in kinds:
+        planes = np.frombuffer(raw, np.uint8, size * kind.itemsize, at).reshape(kind.itemsize, size)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        at += size * kind.itemsize
+    return out
+
+
+def steps(x: np.ndarray) -> np.ndarray:
+    """Differences: sorted numbers pack well so. ``np.cumsum`` turns them back."""
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
+#: A message: what it is, the partition it goes to, where it comes from (a task's flush or a partition), its columns.
+MESSAGE = "kind string, place long, piece long, src long, blob binary"
+
+
+class Outbox:
+    """Messages on their way out of a task. ``places``: for each partition a number that Spark's hash sends to it."""
+
+    def __init__(self, places: list[int]):
+        self.places, self.rows = places, []
+
+    def put(self, kind: str, piece: int, src: int, *columns: np.ndarray) -> None:
+        self.rows.append((kind, self.places[piece], piece, src, pack(*columns)))
+
+    def batches(self):
+        for i in range(0, len(self.rows), 64):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*self.rows[i : i + 64], strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["kind", "place", "piece", "src", "blob"])
+        self.rows = []
+
+
+class Parts:
+    """The partitions that messages are dealt to."""
+
+    def __init__(self, df: DataFrame):
+        self.n = 2 * scan_parts(df) | 1
+        # A number that Spark's hash sends to each partition, so that none gets two shares.
+        ids = df.sparkSession.range(self.n * 30).select("id", F.pmod(F.hash("id"), F.lit(self.n)).alias("p")).groupBy("p").agg(F.min("id").alias("id")).collect()
+        place = {r["p"]: r["id"] for r in ids}
+        self.places = [place.get(i, i) for i in range(self.n)]
+
+    def run(self, messages: DataFrame, fn) -> DataFrame:
+        """``fn`` takes the rows (kind, piece, src, blob) of a partition and an Outbox."""
+        places = self.places
+
+        def task(batches):
+            box = Outbox(places)
+            rows = ((r["kind"], r["piece"], r["src"], r["blob"]) for b in batches for r in b.to_pylist())
+            for _ in fn(rows, box):
+                yield from box.batches()
+            yield from box.batches()
+
+        return messages.repartition(self.n, "place").mapInArrow(task, MESSAGE)
+
+
+def by_piece(rows) -> dict[int, dict[str, list]]:
+    """Messages by the partition they were meant for (two may share one of Spark's) and kind."""
+    out: dict[int, dict[str, list]] = {}
+    for kind, piece, src, blob in rows:
+        out.setdefault(piece, {}).setdefault(kind, []).append((src, blob))
+    return out
+
 
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of pairs of keys."""
+    x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
 
-# Counting.
 
+def of_word(w: np.ndarray, n: int) -> np.ndarray:
+    """The first partition of each word's bigrams."""
+    return (mixed(w, np.zeros_like(w)) % np.uint64(n)).astype(np.int64)
 
-def word_counts(train: DataFrame, text_col: str) -> DataFrame:
-    """word, c: over all training texts; END counts once for each text. Each task adds up before the shuffle."""
+
+def of_pair(a: np.ndarray, b: np.ndarray, spread: np.ndarray, n: int) -> np.ndarray:
+    """The partition of each bigram: a frequent word has as many partitions as its count asks for."""
+    k = np.where(a < RARE, spread[np.where(a < RARE, a, 0)], 1).astype(np.uint64)
+    return (of_word(a, n) + (mixed(b, a) % k).astype(np.int64)) % n
+
+
+# Words.
+
+
+def word_messages(train: DataFrame, text_col: str, parts: Parts) -> DataFrame:
+    """The words' hashes and counts over all training texts, added up in each task; END counts once for each text."""
     small_batches(train.sparkSession)
     ship(train.sparkSession)
+    places = parts.places
 
     def run(batches):
-        have: Counter = Counter()
+        have, box = Counter(), Outbox(places)
 
         def out():
-            return pa.RecordBatch.from_arrays([strings(list(have.keys())), pa.array(list(have.values()), pa.int64())], names=["word", "c"])
+            h = np.fromiter(map(hash_of, have), dtype=np.int64, count=len(have))
+            c = np.fromiter(have.values(), dtype=np.uint32, count=len(have))
+            order = np.argsort(h)
+            h, c = h[order], c[order]
+            part = of_word(h, len(places))
+            order = np.argsort(part.astype(np.uint32), kind="stable")
+            ends = np.searchsorted(part[order], np.arange(len(places) + 1))
+            for i in np.flatnonzero(np.diff(ends)).tolist():
+                x = order[ends[i] : ends[i + 1]]
+                box.put("word", i, 0, steps(h[x]), c[x])
+            have.clear()
 
         for b in batches:
             for t in b.column(0).to_pylist():
                 have.update(words_of(t))
                 have[END] += 1
             if len(have) > 400_000:
-                yield out()
-                have.clear()
+                out()
+                yield from box.batches()
         if have:
-            yield out()
+            out()
+        yield from box.batches()
+
+    return train.select(F.col(text_col).cast("string")).mapInArrow(run, MESSAGE)
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and their sums."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if keys.size else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts[order].astype(np.int64), first) if keys.size else np.zeros(0, np.int64)
+
+
+def add_words(rows, box: Outbox):
+    """For each partition the words that occur twice at least, and the numbers of tokens, words, and words that occur once and twice."""
+    for piece, of in by_piece(rows).items():
+        got = [unpack(blob) for _, blob in of["word"]]
+        h, c = summed(np.concatenate([np.cumsum(x[0]) for x in got]), np.concatenate([x[1] for x in got]))
+        box.put("size", piece, 0, np.array([c.sum(), c.size, (c == 1).sum(), (c == 2).sum()], dtype=np.int64))
+        often = (c > 1) | (h == END_HASH)
+        box.put("often", piece, 0, steps(h[often]), c[often])
+        yield
 
-    part = train.select(F.col(text_col).cast("string")).mapInArrow(run, "word string, c long")
-    return part.groupBy("word").agg(F.sum("c").alias("c"))
+
+# Bigrams.
 
 
 class Local(dict):
     """A task's numbers of words, in order of occurrence, END's first; ``keys``: their keys."""
 
-    def __init__(self, number: dict[bytes, int]):
+    def __init__(self, number: dict[int, int]):
         super().__init__({END: 0})
         self.all, self.keys = number, [0]
 
     def __missing__(self, word: bytes) -> int:
         i = self[word] = len(self.keys)
-        k = self.all.get(word)
-        self.keys.append(RARE + int(hashlib.md5(word).hexdigest()[:15], 16) if k is None else k)
+        h = hash_of(word)
+        self.keys.append(self.all.get(h, RARE + h))
         return i
 
 
-def key_of(word: Column) -> Column:
-    """The key of a rare word, as in ``Local``."""
-    return F.conv(F.substring(F.md5(word), 1, 15), 16, 10).cast("long") + F.lit(RARE)
-
-
 def stream(texts: list, local: Local) -> tuple[np.ndarray, np.ndarray]:
     """Local numbers of the words of all texts, an END before, between and after them; numbers of tokens (with END)."""
     ids, ends = [0], []
@@ -117,102 +256,309 @@ def stream(texts: list, local: Local) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(ids, dtype=np.int64), np.diff(np.asarray([0, *ends], dtype=np.int64))
 
 
-def pack(*columns: np.ndarray) -> bytes:
-    """Columns of numbers, the bytes of one place next to each other, compressed."""
-    return pa.compress(b"".join(c.view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns), "zstd", asbytes=True)
-
+def text_hashes(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    d = b"".join(xxhash.xxh3_128_digest((t or "").encode("utf-8", "surrogatepass")) for t in texts)
+    x = np.frombuffer(d, dtype="<i8").reshape(-1, 2)
+    return x[:, 0].copy(), x[:, 1].copy()
 
-def unpack(blob: bytes, *columns: tuple[int, type]) -> list[np.ndarray]:
-    sizes = [n * np.dtype(t).itemsize for n, t in columns]
-    raw, out, at = np.frombuffer(pa.decompress(blob, sum(sizes), "zstd", asbytes=True), np.uint8), [], 0
-    for (n, t), size in zip(columns, sizes, strict=True):
-        out.append(np.ascontiguousarray(raw[at : at + size].reshape(-1, n).T).view(t).ravel())
-        at += size
-    return out
 
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... (sizes[0] numbers), starts[1], ..."""
+    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
 
-class Parts:
-    """The partitions that pairs are dealt to: a pair's comes from both words, so no word is a hot key."""
 
-    def __init__(self, df: DataFrame):
-        self.spark, self.n = df.sparkSession, 2 * scan_parts(df) | 1
-        # A number that Spark's hash sends to each partition, so that none gets two shares.
-        ids = self.spark.range(self.n * 30).select("id", F.pmod(F.hash("id"), F.lit(self.n)).alias("p")).groupBy("p").agg(F.min("id").alias("id")).collect()
-        place = {r["p"]: r["id"] for r in ids}
-        self.places = [place.get(i, i) for i in range(self.n)]
-
-    def deal(self, df: DataFrame) -> DataFrame:
-        return df.repartition(self.n, "place")
-
-    def placed(self, df: DataFrame) -> DataFrame:
-        """With the column ``place`` for rows with ``a`` and ``b``; ``part_of`` of the JVM."""
-        table = self.spark.createDataFrame(list(enumerate(self.places)), "piece long, place long")
-        piece = F.pmod(F.col("a").bitwiseXOR(F.shiftleft("b", 20)), F.lit(self.n))
-        return df.withColumn("piece", piece).join(F.broadcast(table), "piece").drop("piece")
-
-
-def part_of(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    return (a ^ (b << 20)) % n
-
-
-def pair_counts(train: DataFrame, text_col: str, parts: Parts, names) -> DataFrame:
-    """a, b, c, ca, cb: keys and counts of the bigrams that occur ``LEAST_PAIR`` times at least; ca, cb: the counts of the words that are broadcast."""
-    small_batches(train.sparkSession)
-    ship(train.sparkSession)
-    places, size = parts.places, parts.n
-
-    def count(batches):
-        number = {w: i for i, w in enumerate(names.value[0])}
-        place = np.array(places)
-        local, have = Local(number), []
+def pair_messages(src: DataFrame, parts: Parts, shared) -> DataFrame:
+    """All bigrams of each flush of a task: keys, training counts, and the texts that they stand in ("pair"; "hot": the texts of frequent ones; "text": the texts' hashes)."""
+    small_batches(src.sparkSession)
+    ship(src.sparkSession)
+    places = parts.places
 
-        def whole():
-            key, n = np.unique(np.concatenate([p[0] for p in have]), return_inverse=True)
-            return key, np.bincount(n, np.concatenate([p[1] for p in have]), minlength=key.size).astype(np.int64)
+    def run(batches):
+        frequent, spread = shared.value
+        number = {h: i for i, h in enumerate(frequent)}
+        box, flushes, n = Outbox(places), 0, len(places)
+        local, have, hashes, tokens, texts_held = Local(number), [], [], 0, 0
 
         def out():
-            key, c = whole()
+            nonlocal local, have, hashes, tokens, texts_held, flushes
+            me = (TaskContext.get().partitionId() << 24) + flushes
             keys = np.array(local.keys)
-            a, b = keys[key >> BITS], keys[key & MASK]
-            part = part_of(a, b, size)
-            order = np.argsort(part, kind="stable")
-            a, b, c, part = a[order], b[order], c[order], part[order]
-            ends = np.searchsorted(part, np.arange(size + 1))
-            for i in np.flatnonzero(np.diff(ends)).tolist():
-                x = slice(ends[i], ends[i + 1])
-                yield pa.RecordBatch.from_arrays([pa.array([int(place[i])], pa.int64()), pa.array([int(ends[i + 1] - ends[i])], pa.int64()), pa.array([pack(a[x], b[x], c[x])], pa.binary())], names=["place", "n", "blob"])
+            order = np.argsort(keys)
+            rank = np.empty(order.size, dtype=np.uint64)
+            rank[order] = np.arange(order.size, dtype=np.uint64)
+            keys = keys[order]
+            v = np.concatenate([rank[x[:-1]] << np.uint64(WORD_BITS + ROW_BITS + 1) | rank[x[1:]] << np.uint64(ROW_BITS + 1) | low for x, low in have])
+            have = []
+            v.sort()
+            pair = v >> np.uint64(ROW_BITS + 1)
+            first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+            pair = pair[first]
+            times = np.diff(np.append(first, v.size))
+            count = np.add.reduceat((v & np.uint64(1)).astype(np.uint32), first)
+            row = (v >> np.uint64(1)).astype(np.uint16) & np.uint16((1 << ROW_BITS) - 1)
+            a, b = keys[(pair >> np.uint64(WORD_BITS)).astype(np.int64)], keys[(pair & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64)]
+            hot = (a < RARE) & (b < RARE) & (times >= max(LEAST_HOT, PAIR_SHARE * v.size))
+            part = of_pair(a, b, spread, n)
+
+            def send(kind: str, where: np.ndarray, some: np.ndarray, counted: bool) -> None:
+                order = some[np.argsort(where[some].astype(np.uint32), kind="stable")]
+                ends = np.searchsorted(where[order], np.arange(n + 1))
+                for i in np.flatnonzero(np.diff(ends)).tolist():
+                    x = order[ends[i] : ends[i + 1]]
+                    size = np.where(hot[x], 0, times[x]) if counted else times[x]
+                    r = row[ranges(first[x], size)]
+                    d = steps(r)
+                    begin = (np.cumsum(size) - size)[size > 0]
+                    d[begin] = r[begin]
+                    box.put(kind, i, me, steps(a[x]), b[x], *([count[x]] if counted else []), size.astype(np.uint32), d)
+
+            send("pair", part, np.arange(a.size), True)
+            send("hot", (part + me) % n, np.flatnonzero(hot), False)
+            box.put("text", me % n, me, *(np.concatenate(h) for h in zip(*hashes, strict=True)))
+            local, hashes, tokens, texts_held, flushes = Local(number), [], 0, 0, flushes + 1
 
         for b in batches:
-            x, _ = stream(b.column(0).to_pylist(), local)
-            have.append(np.unique(x[:-1] << BITS | x[1:], return_counts=True))
-            if sum(p[0].size for p in have) > 3_000_000:
-                have = [whole()]
-            if have[0][0].size > 2_000_000 or len(local) > MOST_WORDS:
-                yield from out()
-                local, have = Local(number), []
+            for at in range(0, b.num_rows, 1 << ROW_BITS):
+                texts, train = (c.to_pylist() for c in b.slice(at, 1 << ROW_BITS).columns)
+                if have and texts_held + len(texts) > 1 << ROW_BITS:
+                    out()
+                    yield from box.batches()
+                x, lengths = stream(texts, local)
+                low = (np.arange(len(texts), dtype=np.uint64) + np.uint64(texts_held)) << np.uint64(1) | np.array(train, dtype=np.uint64)
+                have.append((x, np.repeat(low, lengths)))
+                hashes.append(text_hashes(texts))
+                tokens, texts_held = tokens + x.size, texts_held + len(texts)
+                if tokens > MOST_TOKENS or len(local) > MOST_WORDS:
+                    out()
+                    yield from box.batches()
         if have:
-            yield from out()
-
-    def add(batches):
-        counts = names.value[1]
-        got = [unpack(blob, *[(n, np.int64)] * 3) for r in batches for n, blob in zip(r.column(1).to_pylist(), r.column(2).to_pylist(), strict=True)]
-        if not got:
-            return
-        a, b, c = (np.concatenate(x) for x in zip(*got, strict=True))
-        got.clear()
-        ua, ia = np.unique(a, return_inverse=True)
-        ub, ib = np.unique(b, return_inverse=True)
-        key, at = np.unique(ia * ub.size + ib, return_inverse=True)
-        c = np.bincount(at, c, minlength=key.size).astype(np.int64)
-        key, c = key[c >= LEAST_PAIR], c[c >= LEAST_PAIR]
-        a, b = ua[key // ub.size], ub[key % ub.size]
-        for i in range(0, c.size, 100_000):
-            x = slice(i, i + 100_000)
-            known = [pa.array(counts[np.minimum(k[x], counts.size - 1)], mask=k[x] >= RARE) for k in (a, b)]
-            yield pa.RecordBatch.from_arrays([pa.array(a[x]), pa.array(b[x]), pa.array(c[x]), *known], names=["a", "b", "c", "ca", "cb"])
-
-    part = train.select(F.col(text_col).cast("string")).mapInArrow(count, "place long, n long, blob binary")
-    return parts.deal(part).mapInArrow(add, "a long, b long, c long, ca long, cb long")
+            out()
+            yield from box.batches()
+
+    return src.select("text", "train").mapInArrow(run, MESSAGE)
+
+
+class Model:
+    """What all tasks know: the frequent words' counts by number, their spread, and the sizes."""
+
+    def __init__(self, counts: np.ndarray, n: int, v: int, n1: int, n2: int):
+        self.counts, self.n, self.v = counts, n, v
+        self.discount = min(0.9, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
+        self.total = n + ADD * (v + 1)
+        self.unknown = math.log10(self.discount * v / n) if n else 0.0
+
+    def share(self, c: np.ndarray) -> np.ndarray:
+        return (c - self.discount) / self.n
+
+
+def add_pairs(model):
+    """Counts meet. For each partition: the kept bigrams, rare words and their texts ("kept"), the rare words' counts ("count"), questions for the
+    counts of rare words that end kept bigrams ("ask"), parts of the failure weights of frequent words ("state"), and the counts of bigrams that
+    were frequent in a task, to where their texts are ("visit"). Texts' hashes and those of frequent bigrams pass through."""
+
+    def run(rows, box: Outbox):
+        m, n = model.value, len(box.places)
+        many: dict[int, list] = {}
+        for kind, piece, src, blob in rows:
+            if kind == "pair":
+                many.setdefault(piece, []).append((src, blob))
+            else:
+                box.rows.append((kind, box.places[piece], piece, src, blob))
+                yield
+        for piece, got in many.items():
+            src = [s for s, _ in got]
+            got = [unpack(blob) for _, blob in got]
+            a, b, c, size, d = (np.concatenate([np.cumsum(x[0]) if k == 0 else x[k] for x in got]) for k in range(5))
+            of = np.repeat(np.arange(len(src)), [x[0].size for x in got])
+            got.clear()
+            h = mixed(a, b)
+            order = np.argsort(h)
+            new = np.append(True, h[order[1:]] != h[order[:-1]])
+            first = np.flatnonzero(new)
+            total = np.add.reduceat(c[order].astype(np.int64), first)
+            group = np.empty(order.size, dtype=np.int64)
+            group[order] = np.cumsum(new) - 1
+            place = order[first]
+            kept = np.flatnonzero(total >= LEAST_PAIR)
+            kept = kept[np.lexsort((b[place[kept]], a[place[kept]]))]
+            number = np.zeros(first.size, dtype=np.int64)
+            number[kept] = np.arange(1, kept.size + 1)
+            pair_of = number[group]
+            ka, kb, kc = a[place[kept]], b[place[kept]], total[kept]
+            rare = np.flatnonzero(a >= RARE)
+            words, word_of = np.unique(a[rare], return_inverse=True)
+            counts = np.bincount(word_of, c[rare], words.size).astype(np.int64)
+            seen = np.flatnonzero(counts)
+            number = np.zeros(words.size, dtype=np.int64)
+            number[seen] = np.arange(1, seen.size + 1)
+            word = np.zeros(a.size, dtype=np.int64)
+            word[rare] = number[word_of]
+            words, counts = words[seen], counts[seen]
+            begin = np.cumsum(size.astype(np.int64)) - size
+            # Their texts, by where they come from.
+            use = np.flatnonzero((pair_of > 0) | (word > 0))
+            use = use[size[use] > 0]
+            sent = np.bincount(of[use], minlength=len(src))
+            box.put("kept", piece, 0, steps(ka), kb, kc.astype(np.uint32), steps(words), counts.astype(np.uint32), np.array(src, dtype=np.int64), sent.astype(np.uint32), steps(pair_of[use]).astype(np.int32), steps(word[use]).astype(np.int32), size[use], d[ranges(begin[use], size[use].astype(np.int64))])
+            yield
+            often = counts >= LEAST_PAIR
+            box.put("count", piece, 0, steps(words[often]), counts[often].astype(np.uint32))
+            ask = np.unique(kb[kb >= RARE])
+            where = of_word(ask, n)
+            for i in np.unique(where).tolist():
+                w = ask[where == i]
+                x = np.flatnonzero((kb >= RARE) & (ka < RARE))
+                x = x[of_word(kb[x], n) == i] if x.size else x
+                box.put("ask", i, piece, steps(w), ka[x].astype(np.uint32), np.searchsorted(w, kb[x]).astype(np.uint32))
+            yield
+            x = ka < RARE
+            if x.any():
+                states, at = np.unique(ka[x], return_inverse=True)
+                with_count = kb[x] < RARE
+                box.put("state", piece, 0, states, np.bincount(at, kc[x] - m.discount), np.bincount(at, np.where(with_count, m.share(m.counts[np.where(with_count, kb[x], 0)]), 0.0)))
+            visit = np.flatnonzero((size == 0) & (pair_of > 0))
+            for s in np.unique(of[visit]).tolist():
+                y = visit[of[visit] == s]
+                box.put("visit", (piece + src[s]) % n, src[s], a[y].astype(np.uint32), b[y].astype(np.uint32), kc[pair_of[y] - 1].astype(np.uint32))
+            yield
+
+    return run
+
+
+def answer(model):
+    """The counts of rare words to the partitions that ask ("told"), and parts of frequent words' failure weights ("state")."""
+
+    def run(rows, box: Outbox):
+        m = model.value
+        for piece, of in by_piece(rows).items():
+            words, counts = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            for _, blob in of.get("count", ()):
+                w, counts = unpack(blob)
+                words = np.cumsum(w)
+            for who, blob in of.get("ask", ()):
+                w, a, at = unpack(blob)
+                c = counts[np.searchsorted(words, np.cumsum(w))].astype(np.int64)
+                box.put("told", who, piece, c)
+                if a.size:
+                    states, k = np.unique(a.astype(np.int64), return_inverse=True)
+                    box.put("state", piece, 0, states, np.zeros(states.size), np.bincount(k, m.share(c[at])))
+                yield
+
+    return run
+
+
+def log10(x: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.log10(x)
+
+
+def failure(kept: np.ndarray, shares: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Weights of failure arcs from the kept bigrams' discounted counts, the shares of the words they end with, and the state's count."""
+    return log10((1 - kept / count) / np.maximum(1e-12, 1 - shares))
+
+
+def give_back(model, fail):
+    """The sums of all distributed weights for each text of each flush ("sum"). Texts' hashes pass through."""
+
+    def run(rows, box: Outbox):
+        m, f, n = model.value, fail.value, len(box.places)
+        held: dict[int, dict[str, list]] = {}
+        for kind, piece, src, blob in rows:
+            if kind == "text":
+                box.rows.append((kind, box.places[piece], piece, src, blob))
+                yield
+            else:
+                held.setdefault(piece, {}).setdefault(kind, []).append((src, blob))
+
+        def put(src: int, row: np.ndarray, part: np.ndarray, seen: np.ndarray, base: np.ndarray) -> None:
+            size = int(row.max()) + 1
+            sums = [np.bincount(row, x, size) for x in (part, seen, base)]
+            some = np.flatnonzero(np.bincount(row, minlength=size))
+            whole = [np.rint(x[some] * (1 << POINT)).astype(np.int64) for x in (sums[0], sums[2])]
+            box.put("sum", src % n, src, steps(some.astype(np.uint16)), whole[0], sums[1][some].astype(np.uint32), whole[1])
+
+        for of in held.values():
+            told = {who: unpack(blob)[0] for who, blob in of.get("told", ())}
+            for _, blob in of.get("kept", ()):
+                ka, kb, kc, words, counts, src, sent, pair, word, size, d = unpack(blob)
+                ka, words, pair, word = np.cumsum(ka), np.cumsum(words), np.cumsum(pair.astype(np.int64)), np.cumsum(word.astype(np.int64))
+                cb = np.where(kb < RARE, m.counts[np.where(kb < RARE, kb, 0)], 0)
+                ask = np.unique(kb[kb >= RARE])
+                where, c = of_word(ask, n), np.zeros(ask.size, dtype=np.int64)
+                for i in np.unique(where).tolist():
+                    c[where == i] = told[i]
+                cb[kb >= RARE] = c[np.searchsorted(ask, kb[kb >= RARE])]
+                at = np.minimum(np.searchsorted(words, ka), max(0, words.size - 1))
+                ca = np.where(ka < RARE, m.counts[np.where(ka < RARE, ka, 0)], counts[at] if words.size else 0)
+                # All bigrams of a rare word are here.
+                x = ka >= RARE
+                up, down = (np.bincount(at[x], w[x], words.size) for w in (kc - m.discount, m.share(cb)))
+                state = np.bincount(at[x], minlength=words.size) > 0
+                own = np.where(state, failure(up, down, np.maximum(1, counts)), 0.0)
+                fa = np.where(x, own[at] if words.size else 0.0, f[np.where(x, 0, ka)])
+                arc = np.append(0.0, log10((kc - m.discount) / np.maximum(1, ca)) - fa - log10(m.share(cb)))
+                root = np.append(0.0, log10(m.share(counts)) + own - m.unknown)
+                base = np.append(0.0, log10((counts + ADD) / m.total) - math.log10(ADD / m.total))
+                size = size.astype(np.int64)
+                ends, row = np.cumsum(sent), 0
+                begin = np.cumsum(size) - size
+                for s, i, j in zip(src.tolist(), (ends - sent).tolist(), ends.tolist(), strict=True):
+                    if i == j:
+                        continue
+                    lo, hi = int(begin[i]), int(begin[j - 1] + size[j - 1])
+                    # Rows come as differences inside each bigram.
+                    t = np.cumsum(d[lo:hi].astype(np.int64))
+                    first = begin[i:j] - lo
+                    row = t - np.repeat(t[first] - d[lo:hi][first].astype(np.int64), size[i:j])
+                    p, w = np.repeat(pair[i:j], size[i:j]), np.repeat(word[i:j], size[i:j])
+                    put(s, row, arc[p] + root[w], w > 0, base[w])
+                    if len(box.rows) > 64:
+                        yield
+            visits: dict[int, list] = {}
+            for s, blob in of.get("visit", ()):
+                visits.setdefault(s, []).append(unpack(blob))
+            for s, blob in of.get("hot", ()):
+                if s not in visits:
+                    continue
+                a, b, size, d = unpack(blob)
+                a, size = np.cumsum(a), size.astype(np.int64)
+                va, vb, vc = (np.concatenate(c).astype(np.int64) for c in zip(*visits[s], strict=True))
+                key = mixed(va, vb)
+                order = np.argsort(key)
+                want = mixed(a, b)
+                at = order[np.minimum(np.searchsorted(key[order], want), key.size - 1)]
+                hit = key[at] == want
+                c, ca, cb = vc[at], m.counts[a], m.counts[b]
+                arc = np.where(hit, log10(np.maximum(1e-12, c - m.discount) / np.maximum(1, ca)) - f[a] - log10(np.maximum(1e-12, m.share(cb))), 0.0)
+                t = np.cumsum(d.astype(np.int64))
+                first = np.cumsum(size) - size
+                row = t - np.repeat(t[first] - d[first].astype(np.int64), size)
+                put(s, row, np.repeat(arc, size), np.zeros(row.size), np.zeros(row.size))
+            yield
+
+    return run
+
+
+SUMS = "h1 long, h2 long, part long, seen long, base long"
+
+
+def text_sums(parts: Parts, messages: DataFrame) -> DataFrame:
+    """One row for each text of each flush: its hash and the sums that all partitions gave back."""
+
+    def task(batches):
+        held: dict[int, dict[str, list]] = {}
+        for b in batches:
+            for r in b.to_pylist():
+                held.setdefault(r["src"], {}).setdefault(r["kind"], []).append(r["blob"])
+        for of in held.values():
+            h1, h2 = unpack(of["text"][0])
+            sums = np.zeros((3, h1.size), dtype=np.int64)
+            for blob in of.get("sum", ()):
+                row, *x = unpack(blob)
+                sums[:, np.cumsum(row.astype(np.int64))] += np.stack([y.astype(np.int64) for y in x])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1, h2, *sums)], names=["h1", "h2", "part", "seen", "base"])
+
+    return messages.repartition(parts.n, "place").mapInArrow(task, SUMS)
 
 
 # The automaton.
@@ -224,10 +570,11 @@ class Automaton:
     The state after a word is the word's own, or the root for a word without kept bigrams; so the states that one
     traversal runs through are the text's words, each a step later, and the weights along them can be read off
     arrays: ``root`` by word, ``fail`` by state, ``weight`` by arc (``arc``: state and next word as one number, sorted).
+    Words are known by any names, of which ``end`` is the end's.
     """
 
-    def __init__(self, words: dict[bytes, int], pairs: list[tuple[bytes, bytes, int]], n: int, discount: float, fail: dict[bytes, float] | None = None):
-        self.names = [END, *sorted(w for w in words if w != END)]
+    def __init__(self, words: dict, pairs: list[tuple], n: int, discount: float, fail: dict | None = None, end=END):
+        self.names = [end, *sorted(w for w in words if w != end)]
         self.number = {w: i for i, w in enumerate(self.names)}
         counts = np.array([words.get(w, 0) for w in self.names], dtype=np.float64)
         share = (counts - discount) / n if n else counts
@@ -281,55 +628,27 @@ class Automaton:
         return out, open_
 
 
-SUMS = [T.StructField("row", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("part", T.DoubleType()), T.StructField("seen", T.LongType()), T.StructField("base", T.DoubleType())]
-#: A place that a part of the model elsewhere may hold: n bigrams or rare words (a, b = -1), and the rows of their m occurrences, counted from ``row``.
-OPEN = [T.StructField("place", T.LongType()), T.StructField("n", T.LongType()), T.StructField("m", T.LongType()), T.StructField("blob", T.BinaryType())]
-
+OWN = [T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("own", T.DoubleType()), T.StructField("known", T.LongType()), T.StructField("own_base", T.DoubleType())]
 
-def traverse(src: DataFrame, model, parts: Parts) -> DataFrame:
-    """SUMS and the id of each text by the broadcast part, and, in rows of their own, what is open.
 
-    A rare word counts as unknown here.
-    """
+def traverse(src: DataFrame, shared) -> DataFrame:
+    """The id and hash of each text, and its sums along the broadcast part of the automaton. A rare word counts as unknown here."""
     small_batches(src.sparkSession)
     ship(src.sparkSession)
-    places, size = parts.places, parts.n
-    id_type = src.schema["id"].dataType
-    schema = T.StructType([*SUMS, T.StructField("id", id_type), *OPEN])
+    schema = T.StructType([T.StructField("id", src.schema["id"].dataType), *OWN])
     types = [to_arrow_type(f.dataType) for f in schema]
 
-    def batch(rows: int, **columns):
-        return pa.RecordBatch.from_arrays([columns[f.name].cast(t) if f.name in columns else pa.nulls(rows, t) for f, t in zip(schema, types, strict=True)], names=schema.names)
-
     def run(batches):
-        automaton, counts, total, unknown = model.value
-        place = np.array(places)
-        first = TaskContext.get().partitionId() << 33
-        done = start = 0
+        automaton, counts, total, unknown = shared.value
         none = math.log10(ADD / total)
         base = np.append(np.log10((np.array([counts.get(w, 0) for w in automaton.names], dtype=np.float64) + ADD) / total), none)
-        local, have = Local(automaton.number), []
-
-        def out():
-            key, row = (np.concatenate(x) for x in zip(*have, strict=True))
-            keys = np.append(np.array(local.keys), -1)
-            b = key & MASK
-            a, b = keys[key >> BITS], keys[np.where(b == MASK, -1, b)]
-            order = np.lexsort((key, part_of(a, b, size)))
-            key, row, a, b = key[order], row[order], a[order], b[order]
-            new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            times = np.diff(np.append(new, key.size)).astype(np.uint32)
-            a, b = a[new], b[new]
-            ends = np.searchsorted(part_of(a, b, size), np.arange(size + 1))
-            at = np.append(new, key.size)[ends]
-            for i in np.flatnonzero(np.diff(ends)).tolist():
-                x, y = slice(ends[i], ends[i + 1]), slice(at[i], at[i + 1])
-                yield batch(1, row=pa.array([first + start]), place=pa.array([int(place[i])]), n=pa.array([int(x.stop - x.start)]), m=pa.array([int(y.stop - y.start)]), blob=pa.array([pack(a[x], b[x], times[x], row[y])], pa.binary()))
-
+        local = Local(automaton.number)
         for r in batches:
             texts = r.column(1).to_pylist()
             if not texts:
                 continue
+            if len(local) > MOST_WORDS:
+                local = Local(automaton.number)
             x, lengths = stream(texts, local)
             number = np.array(local.keys)
             number[number >= RARE] = -1
@@ -337,137 +656,77 @@ def traverse(src: DataFrame, model, parts: Parts) -> DataFrame:
                 number[0] = -1
             w = number[x]
             rows = np.repeat(np.arange(len(texts)), lengths)
-            weight, more = automaton.weights(w[:-1], w[1:])
-            rare = w[1:] < 0
+            weight, rare = automaton.weights(w[:-1], w[1:])[0], w[1:] < 0
             sums = [np.bincount(rows, v, len(texts)) for v in (weight + rare * unknown, ~rare, base[w[1:]])]
-            ids = first + done + np.arange(len(texts))
-            # Rows of texts go to any partition.
-            yield batch(len(texts), row=pa.array(ids), n_tokens=pa.array(lengths), part=pa.array(sums[0]), seen=pa.array(sums[1].astype(np.int64)), base=pa.array(sums[2]), id=r.column(0), place=pa.array(place[ids % size]))
-            key = np.concatenate([(x[:-1] << BITS | x[1:])[more], x[1:][rare] << BITS | MASK])
-            have.append((key, (done - start + np.concatenate([rows[more], rows[rare]])).astype(np.uint32)))
-            done += len(texts)
-            if sum(p[0].size for p in have) > 3_000_000 or len(local) > MOST_WORDS:
-                yield from out()
-                local, have, start = Local(automaton.number), [], done
-        if have:
-            yield from out()
+            columns = [r.column(0), *map(pa.array, text_hashes(texts)), pa.array(lengths), pa.array(sums[0]), pa.array(sums[1].astype(np.int64)), pa.array(sums[2])]
+            yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, types, strict=True)], names=schema.names)
 
     return src.select("id", "text").mapInArrow(run, schema)
 
 
-def add_elsewhere(df: DataFrame, fail) -> DataFrame:
-    """SUMS and id: those of texts as they are, and for open places what the rows of the model (those without ``row``) have."""
-    schema = T.StructType([*SUMS, df.schema["id"]])
-    types = [to_arrow_type(f.dataType) for f in schema]
+def learn_words(train: DataFrame, parts: Parts) -> tuple[list[int], Model]:
+    """The hashes of the frequent words, END's first, by number, and what is known of all words."""
+    found = checkpoint(parts.run(word_messages(train, "text", parts), add_words))
+    size = np.zeros(4, dtype=np.int64)
+    for r in found.filter("kind = 'size'").select("blob").toLocalIterator():
+        size += unpack(r["blob"])[0]
+    least = max(2.0, WORD_SHARE * float(size[0]))
 
-    def run(batches):
-        table, blobs, sums = [], [], []
-        for r in batches:
-            r = pa.Table.from_batches([r])
-            model, blob = pc.is_null(r["row"]), pc.is_valid(r["blob"])
-            t = r.filter(model)
-            if t.num_rows:
-                table.append([t[c].to_numpy() for c in ("a", "b", "part", "base")])
-            blobs += r.filter(blob).select(["row", "n", "m", "blob"]).to_pylist()
-            t = r.filter(pc.and_(pc.invert(model), pc.invert(blob))).select(schema.names)
-            yield from t.to_batches()
-        if not table or not blobs:
-            return
-        a, b, part, base = (np.concatenate(x) for x in zip(*table, strict=True))
-        table.clear()
-        # Failure weights of frequent states aren't in the rows.
-        frequent = (b >= 0) & (a < RARE)
-        part = part - np.where(frequent, fail.value[np.where(frequent, a, 0)], 0.0)
-        ua, ia = np.unique(a, return_inverse=True)
-        ub, ib = np.unique(b, return_inverse=True)
-        key = ia * ub.size + ib
-        order = np.argsort(key)
-        key, part, base, word = key[order], part[order], base[order], (b < 0)[order]
+    def frequent(batches):
+        for b in batches:
+            for blob in b.column(0).to_pylist():
+                h, c = unpack(blob)
+                h, use = np.cumsum(h), c >= least
+                use |= h == END_HASH
+                yield pa.RecordBatch.from_arrays([pa.array(h[use]), pa.array(c[use].astype(np.int64))], names=["h", "c"])
 
-        def out():
-            row, at = np.unique(np.concatenate([x[0] for x in sums]), return_inverse=True)
-            p, s, z = (np.bincount(at, np.concatenate([x[i] for x in sums]), row.size) for i in (1, 2, 3))
-            sums.clear()
-            for i in range(0, row.size, 100_000):
-                x = slice(i, i + 100_000)
-                columns = {"row": pa.array(row[x]), "part": pa.array(p[x]), "seen": pa.array(s[x].astype(np.int64)), "base": pa.array(z[x])}
-                yield pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(len(row[x]), t) for f, t in zip(schema, types, strict=True)], names=schema.names)
-
-        for r in blobs:
-            a, b, times, row = unpack(r["blob"], (r["n"], np.int64), (r["n"], np.int64), (r["n"], np.uint32), (r["m"], np.uint32))
-            ia, ib = np.minimum(np.searchsorted(ua, a), ua.size - 1), np.minimum(np.searchsorted(ub, b), ub.size - 1)
-            want = ia * ub.size + ib
-            at = np.minimum(np.searchsorted(key, want), key.size - 1)
-            hit = (ua[ia] == a) & (ub[ib] == b) & (key[at] == want)
-            each = np.repeat(np.where(hit, at, -1), times)
-            found = each >= 0
-            each = each[found]
-            sums.append((r["row"] + row[found].astype(np.int64), part[each], word[each], base[each]))
-            if sum(x[0].size for x in sums) > 2_000_000:
-                yield from out()
-        if sums:
-            yield from out()
-
-    return df.mapInArrow(run, schema)
-
-
-def learn(train: DataFrame, text_col: str) -> tuple[DataFrame, dict[bytes, int], Automaton, dict, Parts]:
-    """The model's rows that aren't broadcast (a, b, part, base), the broadcast word counts, the automaton, and N, V, discount."""
-    counts = checkpoint(word_counts(train, text_col))
-    one = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.sum((F.col("c") == 1).cast("long")).alias("n1"), F.sum((F.col("c") == 2).cast("long")).alias("n2")).first()
-    n, v = int(one["n"]), int(one["v"])
-    n1, n2 = int(one["n1"] or 0), int(one["n2"] or 0)
-    discount = min(0.9, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
-    frequent = (F.col("c") >= max(2.0, WORD_SHARE * n)) | (F.col("word") == "")
-    words = {r["word"].encode(): int(r["c"]) for r in counts.filter(frequent).collect()}
-    total = n + ADD * (v + 1)
-    size = {"n": n, "v": v, "discount": discount, "total": total, "unknown": math.log10(discount * v / n) if n else 0.0}
-    parts = Parts(train)
-    if not n:
-        return train.sparkSession.createDataFrame([], "a long, b long, part double, base double"), words, Automaton(words, [], n, discount), size, parts
-    names = [END, *sorted(w for w in words if w != END)]
-    shared = train.sparkSession.sparkContext.broadcast((names, np.array([words[w] for w in names], dtype=np.int64)))
-    pairs = checkpoint(pair_counts(train, text_col, parts, shared))
-    rare = counts.filter(~frequent).select(key_of(F.col("word")).alias("key"), "c")
-    # A bigram is no more frequent than its words.
-    again = rare.filter(F.col("c") >= LEAST_PAIR)
-    both = pairs.filter("cb IS NOT NULL").unionByName(pairs.filter("cb IS NULL").drop("cb").join(again.select(F.col("key").alias("b"), F.col("c").alias("cb")), "b"))
-    state = both.groupBy("a").agg(F.sum(F.col("c") - discount).alias("kept"), F.sum((F.col("cb") - discount) / n).alias("shares"))
-    left = lambda kept, shares, c: (1 - kept / c, 1 - shares)
-    fail = {}
-    for r in state.filter(F.col("a") < RARE).collect():
-        up, down = left(r["kept"], r["shares"], words[names[r["a"]]])
-        fail[names[r["a"]]] = math.log10(up / max(1e-12, down))
-    up, down = left(F.col("kept"), F.col("shares"), F.col("ca"))
-    states = checkpoint(state.filter(F.col("a") >= RARE).join(again.select(F.col("key").alias("a"), F.col("c").alias("ca")), "a").select("a", "ca", F.log10(up / F.greatest(F.lit(1e-12), down)).alias("fail")))
-    least = max(float(LEAST_PAIR), PAIR_SHARE * n, WORD_SHARE * n)
-    top = [(names[r["a"]], names[r["b"]], int(r["c"])) for r in pairs.filter(F.col("c") >= least).select("a", "b", "c").collect()]
-    arc = F.log10((F.col("c") - discount) / F.col("ca")) - F.log10((F.col("cb") - discount) / n)
-    low = both.filter(F.col("c") < least)
-    arcs = low.filter(F.col("a") < RARE).select("a", "b", arc.alias("part"), F.lit(0.0).alias("base"))
-    more = low.filter(F.col("a") >= RARE).drop("ca").join(states, "a").select("a", "b", (arc - F.col("fail")).alias("part"), F.lit(0.0).alias("base"))
-    roots = rare.withColumnRenamed("key", "a").join(states.select("a", "fail"), "a", "left").select("a", F.lit(-1).cast("long").alias("b"), (F.log10((F.col("c") - discount) / n) + F.coalesce("fail", F.lit(0.0)) - size["unknown"]).alias("part"), (F.log10((F.col("c") + ADD) / total) - math.log10(ADD / total)).alias("base"))
-    return arcs.unionByName(more).unionByName(roots), words, Automaton(words, top, n, discount, fail), size, parts
+    counts = {r["h"]: r["c"] for r in found.filter("kind = 'often'").select("blob").mapInArrow(frequent, "h long, c long").toLocalIterator()}
+    names = [END_HASH, *sorted(h for h in counts if h != END_HASH)]
+    return names, Model(np.array([counts.get(h, 0) for h in names], dtype=np.int64), *map(int, size))
+
+
+def failures(messages: DataFrame, model: Model) -> np.ndarray:
+    """The failure weights of the frequent words by number: at most 1 / WORD_SHARE of them, added up from all partitions."""
+
+    def run(batches):
+        for b in batches:
+            for blob in b.column(0).to_pylist():
+                a, kept, shares = unpack(blob)
+                yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(kept), pa.array(shares)], names=["a", "kept", "shares"])
+
+    out = np.zeros(model.counts.size)
+    rows = messages.filter("kind = 'state'").select("blob").mapInArrow(run, "a long, kept double, shares double").groupBy("a").agg(F.sum("kept").alias("kept"), F.sum("shares").alias("shares")).toArrow()
+    if rows.num_rows:
+        a = rows["a"].to_numpy()
+        out[a] = failure(rows["kept"].to_numpy(), rows["shares"].to_numpy(), model.counts[a])
+    return out
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score of each row."""
+    learned = F.col("id").isNotNull() & (crc_of_id("id") % FOLDS != HELD_OUT)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    train = src.filter(F.col("id").isNotNull() & (crc_of_id("id") % FOLDS != HELD_OUT))
-    elsewhere, words, automaton, size, parts = learn(train, "text")
-    context = src.sparkSession.sparkContext
-    model = context.broadcast((automaton, words, size["total"], size["unknown"]))
-    # Rows get a number, so that equal ids don't meet.
-    dealt = parts.deal(traverse(src, model, parts).unionByName(parts.placed(elsewhere), allowMissingColumns=True))
-    sums = add_elsewhere(dealt, context.broadcast(automaton.fail)).groupBy("row").agg(F.first("id", ignorenulls=True).alias("id"), *[F.sum(c).alias(c) for c in ("n_tokens", "part", "seen", "base")])
-    return sums.select(
+    src = src.withColumn("train", F.coalesce(learned, F.lit(False)))
+    context, parts = src.sparkSession.sparkContext, Parts(src)
+    names, model = learn_words(src.filter("train"), parts)
+    spread = 1 + (4 * parts.n * model.counts // max(1, model.n))
+    known = context.broadcast(model)
+    # Written: what is kept is read by the questions, the failure weights and the sums.
+    pairs = checkpoint(parts.run(pair_messages(src, parts, context.broadcast((names, np.minimum(spread, parts.n)))), add_pairs(known)))
+    told = checkpoint(parts.run(pairs.filter("kind IN ('count', 'ask')"), answer(known)))
+    fail = failures(pairs.unionByName(told), model)
+    back = parts.run(pairs.filter("kind IN ('kept', 'hot', 'visit', 'text')").unionByName(told.filter("kind = 'told'")), give_back(known, context.broadcast(fail)))
+    sums = text_sums(parts, back).groupBy("h1", "h2").agg(*[F.max(c).alias(c) for c in ("part", "seen", "base")])
+    automaton = Automaton(dict(zip(names, model.counts.tolist(), strict=True)), [], model.n, model.discount, {h: x for h, x in zip(names, fail.tolist(), strict=True) if x}, end=END_HASH)
+    own = traverse(src, context.broadcast((automaton, dict(zip(names, model.counts.tolist(), strict=True)), model.total, model.unknown)))
+    return own.join(sums, ["h1", "h2"]).select(
         F.col("id").alias(id_col),
         (crc_of_id("id") % FOLDS == HELD_OUT).alias("held_out"),
         "n_tokens",
-        F.col("seen").alias("n_known"),
-        F.lit(size["n"]).cast("long").alias("train_tokens"),
-        F.col("base").alias("base_score"),
-        F.col("part").alias("score"),
+        (F.col("known") + F.col("seen")).alias("n_known"),
+        F.lit(model.n).cast("long").alias("train_tokens"),
+        (F.col("own_base") + F.col("base") / float(1 << POINT)).alias("base_score"),
+        (F.col("own") + F.col("part") / float(1 << POINT)).alias("score"),
     )
 
 

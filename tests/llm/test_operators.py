@@ -700,3 +700,24 @@ def test_decontamination_odd(spark):
     got = {r.doc_id: r for r in out.collect()}
     assert got[1].spans == [[0, 3]] and got[None].n_words == 200_000 and got[None].spans == [[0, 200_000]] and got[3].spans == []
     assert decontamination.find_occurrences(docs(spark, []), items).count() == 0
+
+
+def test_lm_frequent_bigrams_are_spread(spark, monkeypatch):
+    """Where the texts of frequent bigrams are spread by task, and tasks send often, scores stay the same."""
+    rows = [(i, t) for i, t in texts()] + [(10**6, None), (10**6, "a b c"), (None, "a b c"), (5, "the " * 70_000)]
+    d = docs(spark, rows).repartition(3).persist()
+    scores = lambda: sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 4), round(r.score, 4)) for r in lm_scoring.lm_scores(d).collect())
+    want = scores()
+    assert len(want) == len(rows) and want[-1][1:] == next(w for w in want if w[0] == "1000000" and w[1] == 4)[1:]
+    for least, tokens in ((2, 3_000_000), (2, 5_000), (10**9, 20_000)):
+        monkeypatch.setattr(lm_scoring, "LEAST_HOT", least)
+        monkeypatch.setattr(lm_scoring, "MOST_TOKENS", tokens)
+        assert scores() == want
+    d.unpersist()
+
+
+def test_packed_columns():
+    rng = np.random.default_rng(3)
+    columns = [rng.integers(0, 1 << 60, 1000), rng.integers(0, 9, 10).astype(np.uint16), np.zeros(0, np.uint32), rng.random(7)]
+    back = lm_scoring.unpack(lm_scoring.pack(*columns))
+    assert all(x.dtype == y.dtype and (x == y).all() for x, y in zip(columns, back, strict=True))
