@@ -6,7 +6,7 @@ sources, reasons (code, value), suggested queries and an instruction.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -126,8 +126,11 @@ def coverage(corpus: Corpus) -> DataFrame:
     anchors = corpus.citations.filter(F.col("source_anchor") != "").select(F.col("source_path").alias("path"), F.col("source_anchor").alias("anchor"), F.lit(True).alias("cited")).distinct()
     s = corpus.sections.filter(F.col("level").isin(2, 3) & (F.coalesce("anchor", F.lit("")) != "")).join(corpus.documents.filter(F.col("kind") == "source").select("path", "title"), "path").join(cited, "path", "left_semi")
     open_ = s.join(anchors, ["path", "anchor"], "left").withColumn("open", F.col("cited").isNull())
-    rows = open_.groupBy("path", "title").agg(F.count("*").alias("total"), F.sum(F.col("open").cast("long")).alias("uncited"), F.array_sort(F.collect_list(F.when(F.col("open"), F.struct("ordinal", "heading")))).alias("list"))
-    return rows.filter("uncited > 0")
+    counts = open_.groupBy("path", "title").agg(F.count("*").alias("total"), F.sum(F.col("open").cast("long")).alias("uncited")).filter("uncited > 0")
+    # Only the first few are gathered: the window's limit runs before its shuffle.
+    place = F.row_number().over(Window.partitionBy("path").orderBy("ordinal", "heading"))
+    first = open_.filter("open").select("path", "ordinal", "heading", place.alias("k")).filter(F.col("k") <= C.GAP_REASONS).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ordinal", "heading"))).alias("list"))
+    return counts.join(first, "path")
 
 
 def coverage_gaps(corpus: Corpus) -> DataFrame:
@@ -154,23 +157,39 @@ def blocked_pairs(corpus: Corpus, weights: DataFrame) -> DataFrame:
     return k.withColumnRenamed("path", "a").join(k.withColumnRenamed("path", "b"), "key").filter("a < b").select("a", "b").distinct()
 
 
-def shared_signals(corpus: Corpus) -> DataFrame:
-    """a, b with their shared tags and sources, rarity scores and number of rare signals, for pairs that share any."""
+def signal_lists(corpus: Corpus) -> DataFrame:
+    """path, tag, source: each page's tags and sources with the number of pages that have them and whether few do."""
     n = F.broadcast(W.wiki_count(corpus))  # one row
     tags = corpus.tags.select("path", "tag").distinct().join(tag_frequency(corpus), "tag").select("path", F.lit("tag").alias("what"), F.col("tag").alias("value"), "df")
     cites = corpus.citations.select(F.col("wiki_path").alias("path"), F.col("source_path").alias("value")).distinct()
     sources = cites.join(cites.groupBy("value").agg(F.count("*").alias("df")), "value").select("path", F.lit("source").alias("what"), "value", "df")
-    s = tags.unionByName(sources).crossJoin(n)
     rarity = 1 - (F.col("df") - 1) / F.greatest(F.lit(1), F.col("n") - 1)
-    both = s.withColumnRenamed("path", "a").join(s.select(F.col("path").alias("b"), "what", "value"), ["what", "value"]).filter("a < b")
-    is_tag = F.col("what") == "tag"
-    return both.groupBy("a", "b").agg(
-        F.array_sort(F.collect_list(F.when(is_tag, F.col("value")))).alias("tags"),
-        F.array_sort(F.collect_list(F.when(~is_tag, F.col("value")))).alias("sources"),
-        F.least(F.lit(0.42), F.coalesce(F.sum(F.when(is_tag, 0.02 + 0.16 * rarity * rarity)), F.lit(0.0))).alias("tag_score"),
-        F.least(F.lit(0.42), F.coalesce(F.sum(F.when(~is_tag, 0.05 + 0.20 * rarity * rarity)), F.lit(0.0))).alias("source_score"),
-        F.sum(F.when(F.col("df") <= C.RARE_SIGNAL, 1).otherwise(0)).alias("rare"),
-    )
+    rows = tags.unionByName(sources).crossJoin(n).select("path", "what", F.struct("value", (rarity * rarity).alias("r"), (F.col("df") <= C.RARE_SIGNAL).cast("int").alias("rare")).alias("x"))
+    # A page has few tags and sources.
+    of = lambda what: F.array_sort(F.collect_list(F.when(F.col("what") == what, F.col("x"))))
+    return rows.groupBy("path").agg(of("tag").alias("tag"), of("source").alias("source"))
+
+
+def among(names: str, v: Column) -> Column:
+    return F.array_contains(names, v["value"])
+
+
+def shared_signals(corpus: Corpus, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) with their shared tags and sources, rarity scores and number of rare signals.
+
+    Lists of two pages are compared, once for each pair asked for: a tag of many pages makes no rows of its own.
+    """
+    lists = signal_lists(corpus)
+    of = lambda end: lists.select(F.col("path").alias(end), F.col("tag").alias(f"tag_{end}"), F.col("source").alias(f"source_{end}"))
+    both = pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    empty = F.expr("cast(array() as array<struct<value:string,r:double,rare:int>>)")
+    for what in ("tag", "source"):
+        names = F.transform(F.coalesce(f"{what}_b", empty), lambda v: v["value"])
+        both = both.withColumn(f"names_{what}", names).withColumn(what, F.filter(F.coalesce(f"{what}_a", empty), partial(among, f"names_{what}")))
+    values = lambda what: F.transform(what, lambda v: v["value"])
+    score = lambda what, least, more: F.least(F.lit(0.42), F.aggregate(what, F.lit(0.0), lambda s, v: s + (least + more * v["r"])))
+    rare = F.aggregate(F.concat("tag", "source"), F.lit(0), lambda s, v: s + v["rare"])
+    return both.select("a", "b", values("tag").alias("tags"), values("source").alias("sources"), score("tag", 0.02, 0.16).alias("tag_score"), score("source", 0.05, 0.20).alias("source_score"), rare.alias("rare"))
 
 
 def lexical_overlap(pairs: DataFrame, weights: DataFrame, digits: int = 9) -> DataFrame:
@@ -179,7 +198,7 @@ def lexical_overlap(pairs: DataFrame, weights: DataFrame, digits: int = 9) -> Da
     total = w.groupBy("path").agg(F.sum("w").alias("s"))
     met = pairs.select("a", "b").join(w.select(F.col("path").alias("a"), "term", F.col("w").alias("wa")), "a").join(w.select(F.col("path").alias("b"), "term", F.col("w").alias("wb")), ["b", "term"])
     least = F.least("wa", "wb")
-    # The five best by repeated bounded aggregation: a window's top-k limit runs before the shuffle.
+    # Of a pair's shared terms the five best are kept.
     shared = met.groupBy("a", "b").agg(F.sum(least).alias("m"), F.slice(F.array_sort(F.collect_list(F.struct((-X.round_to(least, digits)).alias("c"), "term"))), 1, 5).alias("best"))
     full = shared.join(total.select(F.col("path").alias("a"), F.col("s").alias("sa")), "a").join(total.select(F.col("path").alias("b"), F.col("s").alias("sb")), "b")
     return full.select("a", "b", X.round_to(F.col("m") / (F.col("sa") + F.col("sb") - F.col("m")), digits).alias("j"), F.transform("best", lambda x: x["term"]).alias("shared_terms"))
@@ -187,9 +206,10 @@ def lexical_overlap(pairs: DataFrame, weights: DataFrame, digits: int = 9) -> Da
 
 def scored_pairs(corpus: Corpus, weights: DataFrame) -> DataFrame:
     """Pairs that pass the gate, with type, score and evidence; score is calibrated, before any enrichment."""
-    lexical = lexical_pairs(pair_keys(corpus, weights), weights, corpus.tags.select("path", F.col("tag").alias("value")), corpus.citations.select(F.col("wiki_path").alias("path"), F.col("source_path").alias("value")))
-    # Pairs without any lexical overlap are in the block plan's rows too, with j = 0, where another signal lets them pass.
-    signals = shared_signals(corpus)
+    # Written, as the signals are looked up for the pairs that pass alone. Pairs without any lexical overlap are among
+    # them, with j = 0, where another signal lets them pass.
+    lexical = lexical_pairs(pair_keys(corpus, weights), weights, corpus.tags.select("path", F.col("tag").alias("value")), corpus.citations.select(F.col("wiki_path").alias("path"), F.col("source_path").alias("value"))).persist()
+    signals = shared_signals(corpus, lexical)
     edge = wiki_edges(corpus).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(True).alias("linked")).distinct()
     p = lexical.join(signals, ["a", "b"], "left").join(edge, ["a", "b"], "left")
     none = strings()

@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as X
 from ..schema import FIELD_WEIGHTS
+from ..sources.ship import ship
 from .corpus import Corpus
 
+POSTINGS = T.StructType([T.StructField("term", T.StringType()), T.StructField("section_id", T.StringType()), T.StructField("field", T.StringType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])
+
 
 @dataclass(frozen=True)
 class Index:
@@ -37,12 +45,34 @@ def section_fields(corpus: Corpus) -> DataFrame:
     return corpus.sections.join(d, "document_id")
 
 
+def positions_of(batches, schema: pa.Schema):
+    """Of rows (section_id, a list of tokens for each field) the rows term, section_id, field, positions: a batch is sorted once, no row meets another."""
+    for b in batches:
+        parts = []
+        for k, lists in enumerate(b.columns[1:]):
+            n = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+            parts.append((lists.flatten(), np.repeat(np.arange(len(lists)), n), np.full(int(n.sum()), k), np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)))
+        terms = pa.chunked_array([p[0] for p in parts]).combine_chunks().dictionary_encode()
+        if not len(terms):
+            continue
+        row, field, pos = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
+        code = np.asarray(terms.indices).astype(np.int64)
+        order = np.lexsort((pos, field, row, code))
+        key = (code[order] * len(b) + row[order]) * len(parts) + field[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        at = order[first]
+        ends = pa.array(np.append(first, key.size), pa.int32())
+        names = pa.array(list(FIELD_WEIGHTS))
+        columns = [terms.dictionary.take(pa.array(code[at])), b.column(0).take(pa.array(row[at])), names.take(pa.array(field[at])), pa.ListArray.from_arrays(ends, pa.array(pos[order], pa.int32()))]
+        yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
 def build(corpus: Corpus) -> Index:
     s = section_fields(corpus)
-    fields = F.array(*[F.struct(F.lit(f).alias("field"), X.tokens(F.col(f)).alias("tokens")) for f in FIELD_WEIGHTS])
-    split = s.select("section_id", F.explode(fields).alias("x")).select("section_id", "x.field", "x.tokens")
-    placed = split.select("section_id", "field", F.posexplode("tokens").alias("pos", "term"))
-    postings = placed.groupBy("term", "section_id", "field").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    ship(s.sparkSession)
+    split = s.select("section_id", *[X.tokens(F.col(f)).alias(f"k{i}") for i, f in enumerate(FIELD_WEIGHTS)])
+    arrow = to_arrow_schema(POSTINGS)
+    postings = split.mapInArrow(lambda batches: positions_of(batches, arrow), POSTINGS)
     length = sum((F.size(X.tokens(F.col(f))) for f in FIELD_WEIGHTS), F.lit(0))
     shown = s.select("section_id", "document_id", "path", "kind", "tier", "title", F.coalesce("heading", F.lit("")).alias("heading"), F.coalesce("anchor", F.lit("")).alias("anchor"), "ordinal", "body", "summary", F.col("tag_list").alias("tags"), F.col("source_list").alias("sources"), length.alias("length"))
     stats = shown.agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"))

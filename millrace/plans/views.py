@@ -5,6 +5,9 @@ A view is a DataFrame of ordered lines; files are rendered from it on the driver
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,19 +71,43 @@ def checksum_lines(pages: DataFrame, content: str = "content") -> DataFrame:
     return pages.select("path", F.concat("path", F.lit(" sha256:"), F.sha2(clean, 256)).alias("line"))
 
 
+def in_order(rows: DataFrame, *texts: str, key: str = "path", least: int = 1 << 20):
+    """For each of the columns ``texts`` their values in the order of ``key``, joined in chunks of ``least`` characters or more.
+
+    Partitions are ranges of the key, sorted on the executors; the driver holds one partition's chunks at a time.
+    """
+
+    def run(batches):
+        held, size = [[] for _ in texts], 0
+        for b in batches:
+            for k in range(len(texts)):
+                held[k] += b.column(k).to_pylist()
+            size += sum(map(len, held[0][-b.num_rows :]))
+            if size >= least:
+                yield pa.RecordBatch.from_arrays([pa.array(["".join(h)], pa.string()) for h in held], names=list(texts))
+                held, size = [[] for _ in texts], 0
+        if held[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(["".join(h)], pa.string()) for h in held], names=list(texts))
+
+    sorted_ = rows.repartitionByRange(key).sortWithinPartitions(key)
+    return sorted_.select(*texts).mapInArrow(run, ", ".join(f"{t} string" for t in texts)).toLocalIterator()
+
+
 def manifest(corpus: Corpus) -> DataFrame:
     """One row: the hash of the index manifest, the hash of the path list, and the number of files.
 
-    A manifest is one text over all paths in order, so its hash is a sequential fold; lines go in as short digests.
+    A manifest is one text over all paths in order, and its hash a fold from the first byte to the last: the lines are
+    made and sorted on the executors and stream through the driver in chunks.
     """
-    line = F.concat(F.lit("path="), "path", F.lit(" hash="), "hash", F.lit(" size="), F.col("size_bytes").cast("string"), F.lit("\n"))
     head = f"schema_version={SCHEMA_VERSION}\nindexer_version={INDEXER_VERSION}\nmarkdown_sections_version={SECTIONS_VERSION}\n"
-    rows = corpus.documents.select("path", line.alias("line")).agg(F.array_sort(F.collect_list(F.struct("path", "line"))).alias("r"), F.count("*").alias("files"))
-    return rows.select(
-        F.sha2(F.concat(F.lit(head), F.array_join(F.transform("r", lambda x: x["line"]), "")), 256).alias("manifest_hash"),
-        F.sha2(F.array_join(F.transform("r", lambda x: F.concat(x["path"], F.lit("\n"))), ""), 256).alias("paths_hash"),
-        "files",
-    )
+    line = F.concat(F.lit("path="), "path", F.lit(" hash="), "hash", F.lit(" size="), F.col("size_bytes").cast("string"), F.lit("\n"))
+    rows = corpus.documents.select("path", line.alias("line"), F.concat("path", F.lit("\n")).alias("paths"))
+    whole, paths, files = hashlib.sha256(head.encode()), hashlib.sha256(), 0
+    for r in in_order(rows, "line", "paths"):
+        whole.update(r["line"].encode())
+        paths.update(r["paths"].encode())
+        files += r["paths"].count("\n")
+    return rows.sparkSession.createDataFrame([(whole.hexdigest(), paths.hexdigest(), files)], "manifest_hash string, paths_hash string, files long")
 
 
 def status(stored: dict | None, current: dict) -> tuple[str, str]:

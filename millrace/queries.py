@@ -470,7 +470,10 @@ def pair_blocking(spark, d):
 
 @query(PAIRED + f"SELECT a, b, array_to_string(stags, '|') AS tags, array_to_string(ssources, '|') AS sources, {O._round('ts', 6)} AS tag_score, {O._round('ss', 6)} AS source_score, rare::BIGINT AS rare FROM shared")
 def pair_shared_tags(spark, d):
-    t = H.shared_signals(corpus(spark, d))
+    c = corpus(spark, d)
+    signal = c.tags.select("path", F.concat(F.lit("t"), "tag").alias("key")).unionAll(c.citations.select("wiki_path", F.concat(F.lit("s"), "source_path"))).distinct()
+    met = signal.withColumnRenamed("path", "a").join(signal.withColumnRenamed("path", "b"), "key").filter("a < b").select("a", "b").distinct()
+    t = H.shared_signals(c, met)
     return t.select("a", "b", joined("tags").alias("tags"), joined("sources").alias("sources"), X.round_to(F.col("tag_score"), 6).alias("tag_score"), X.round_to(F.col("source_score"), 6).alias("source_score"), F.col("rare").cast("long").alias("rare"))
 
 
