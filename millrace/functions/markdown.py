@@ -432,3 +432,10 @@ def unwrap_links(body: str, from_path: str, page: str) -> str:
 
 def strip_asset(body: str, from_path: str, asset: str) -> str:
     return collapse_spaces(re.sub(rf"!?\[[^\]]*\]\({_forms(from_path, asset)}(?:#[^)]*)?\.?\)", "", body))
+
+
+def source_title(path: str, text: str) -> str:
+    """A source's first heading of level 1, else its first heading, else its file's name in words."""
+    parts = sections(text)
+    top = next((s for s in parts if s.level == 1), next((s for s in parts if s.heading), None))
+    return top.heading if top else title_words(stem(path))

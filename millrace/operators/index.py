@@ -41,7 +41,7 @@ class Index:
 
 def section_fields(corpus: Corpus) -> DataFrame:
     """Each section with its own and its document's fields as texts."""
-    d = corpus.documents.select(F.col("id").alias("document_id"), "kind", "tier", "title", "summary", F.col("tags").alias("tag_list"), F.array_join("tags", " ").alias("tags"), F.array_join("sources", " ").alias("sources"), F.array_join("links", " ").alias("links"), F.col("sources").alias("source_list"))
+    d = corpus.documents.select(F.col("id").alias("document_id"), "kind", "tier", "title", "summary", F.col("tags").alias("tag_list"), F.array_join("tags", " ").alias("tags"), F.array_join("sources", " ").alias("sources"), F.array_join("links", " ").alias("links"), F.col("sources").alias("source_list"), F.col("links").alias("link_list"))
     return corpus.sections.join(d, "document_id")
 
 
@@ -74,6 +74,6 @@ def build(corpus: Corpus) -> Index:
     arrow = to_arrow_schema(POSTINGS)
     postings = split.mapInArrow(lambda batches: positions_of(batches, arrow), POSTINGS)
     length = sum((F.size(X.tokens(F.col(f))) for f in FIELD_WEIGHTS), F.lit(0))
-    shown = s.select("section_id", "document_id", "path", "kind", "tier", "title", F.coalesce("heading", F.lit("")).alias("heading"), F.coalesce("anchor", F.lit("")).alias("anchor"), "ordinal", "body", "summary", F.col("tag_list").alias("tags"), F.col("source_list").alias("sources"), length.alias("length"))
+    shown = s.select("section_id", "document_id", "path", "kind", "tier", "title", F.coalesce("heading", F.lit("")).alias("heading"), F.coalesce("anchor", F.lit("")).alias("anchor"), "ordinal", "body", "summary", F.col("tag_list").alias("tags"), F.col("source_list").alias("sources"), F.col("link_list").alias("links"), length.alias("length"))
     stats = shown.agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"))
     return Index(postings, shown, stats)

@@ -302,5 +302,5 @@ def search(index: Index, text: str, options: Options | None = None, digits: int
         "query": text, "mode": mode, "read_order": paths, "recommended_sections": sections,
         "stop_rule": STOP_NONE if not rows else STOP_SOURCE if kind == "source" else STOP_WIKI,
         "coverage": {"entities": covered, "missing": missing},
-        "results": [{k: r[k] for k in ("section_id", "path", "kind", "tier", "title", "heading", "anchor", "summary", "snippet", "tags", "sources", "score", "lexical_score")} | {"target": target(r)} for r in select(rows, [s["section_id"] for s in sections], o.limit)],
+        "results": [{k: r[k] for k in ("document_id", "section_id", "path", "kind", "tier", "title", "heading", "anchor", "summary", "snippet", "tags", "sources", "links", "score", "lexical_score")} | {"target": target(r)} for r in select(rows, [s["section_id"] for s in sections], o.limit)],
     }

@@ -26,6 +26,26 @@ def target_path(name: Column, key: Column) -> Column:
     return F.concat(F.lit("sources/"), slug(name), F.lit("-"), F.substring(F.sha2(key, 256), 1, 10), F.lit(".md"))
 
 
+def relative_target(rel: Column, mtime: Column | None = None, prefix: str = "sources") -> Column:
+    """Where a file goes: its folders and name in readable form, its time where versions are kept apart, and the hash of its path from the imported folder on.
+
+    The path counts from that folder, so another mount of it gives the same targets.
+    """
+    parts = F.split(rel, "/")
+    folders = F.transform(F.slice(parts, 1, F.size(parts) - 1), slug)
+    name = F.regexp_replace(F.element_at(parts, -1), r"(.)\.[^.]*$", "$1")
+    file = F.concat(slug(name), *([F.lit("-"), mtime.cast("long").cast("string")] if mtime is not None else []), F.lit("-"), F.substring(F.sha2(rel, 256), 1, 10), F.lit(".md"))
+    return F.concat_ws("/", F.lit(prefix.rstrip("/")), folders, file)
+
+
+def title_of(rel: Column) -> Column:
+    """A title from a file's name: its words, each with a capital."""
+    name = F.regexp_replace(F.element_at(F.split(rel, "/"), -1), r"(.)\.[^.]*$", "$1")
+    words = F.filter(F.split(name, "[^A-Za-z0-9]+"), lambda w: w != "")
+    title = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 10_000)))), " ")
+    return F.when(title == "", "Untitled").otherwise(title)
+
+
 def selected(files: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None, col: str = "path") -> DataFrame:
     """Files with a known extension, not hidden, that match an include pattern (if any) and no exclude pattern."""
     any_of = lambda patterns: F.col(col).rlike("|".join(re.sub(r"\(\?s:(.*)\)\\[zZ]$", r"^(?:\1)$", fnmatch.translate(p)) for p in patterns))
@@ -75,15 +95,17 @@ def header(name: Column, path: Column, mtime: Column) -> Column:
     return F.concat(F.lit("---\noriginal_filename: "), name, F.lit("\noriginal_path: "), path, F.lit("\noriginal_mtime: "), mtime, F.lit("\n---\n\n"))
 
 
-def import_files(spark: SparkSession, folder: str, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
+def import_files(spark: SparkSession, folder: str, include: list[str] | None = None, exclude: list[str] | None = None, versioned: bool = False, prefix: str = "sources") -> DataFrame:
     """target, source_path, markdown of all importable files of a folder; formats that need a converter are left out."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     f = selected(f.select("path", "modificationTime", F.col("content").cast("string").alias("text")), include, exclude)
-    name = F.element_at(F.split("path", "/"), -1)
+    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath().rstrip("/")
+    rel = F.regexp_replace(F.expr("url_decode(replace(path, '+', '%2B'))"), f"^[a-z0-9+.-]+:(//[^/]*)?{re.escape(base)}/", "")
+    name = F.element_at(F.split(rel, "/"), -1)
     as_html = html_to_markdown(f.filter(F.lower("path").rlike(r"\.html?$")), "text").select("path", "modificationTime", "markdown")
     plain = f.filter(~F.lower("path").rlike(r"\.html?$")).select("path", "modificationTime", F.when(F.lower("path").endswith(".txt"), F.concat(F.lit("# "), F.regexp_replace(name, r"\.[^.]*$", ""), F.lit("\n\n"), "text")).otherwise(F.col("text")).alias("markdown"))
     every = as_html.unionByName(plain)
-    return every.select(target_path(F.regexp_replace(name, r"\.[^.]*$", ""), F.col("path")).alias("target"), F.col("path").alias("source_path"), F.concat(header(name, F.col("path"), F.date_format("modificationTime", "yyyy-MM-dd")), "markdown").alias("markdown"))
+    return every.select(relative_target(rel, F.col("modificationTime") if versioned else None, prefix).alias("target"), F.col("path").alias("source_path"), F.concat(header(name, rel, F.date_format("modificationTime", "yyyy-MM-dd")), "markdown").alias("markdown"))
 
 
 def parsed_texts(texts: DataFrame) -> DataFrame:

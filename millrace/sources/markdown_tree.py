@@ -19,6 +19,8 @@ from ..functions import markdown as M
 from ..functions import text as X
 from ..operators.corpus import Corpus, resolve_links
 
+#: Files that a task holds parsed at once.
+FILES = 64
 _S = T.StringType()
 _SECTION = T.StructType([T.StructField("ordinal", T.IntegerType()), T.StructField("heading", _S), T.StructField("anchor", _S), T.StructField("level", T.IntegerType()), T.StructField("body", _S)])
 _REF = T.StructType([T.StructField("path", _S), T.StructField("anchor", _S)])
@@ -79,8 +81,7 @@ def parse_file(path: str, kind: str, content: bytes) -> dict:
             refs = lambda v: [{"path": p, "anchor": x} for p, x in v]
             row |= {"first_h1": a.first_h1, "has_sources": a.has_sources, "body_links": a.links, "body_sources": a.sources, "anchors": a.anchors, "link_refs": refs(a.link_refs), "source_refs": refs(a.source_refs), "citations": refs(a.citations)}
         else:
-            top = next((s for s in parts if s.level == 1), next((s for s in parts if s.heading), None))
-            row |= {"id": "source_" + hashlib.sha256(path.encode()).hexdigest()[:32], "title": top.heading if top else M.title_words(M.stem(path)), "summary": "", "tags": [], "sources": [], "links": [], "modified_date": "", "faults": [], "anchors": sorted({s.anchor for s in parts if s.anchor})}
+            row |= {"id": "source_" + hashlib.sha256(path.encode()).hexdigest()[:32], "title": M.source_title(path, text), "summary": "", "tags": [], "sources": [], "links": [], "modified_date": "", "faults": [], "anchors": sorted({s.anchor for s in parts if s.anchor})}
     except (M.MarkdownError, ValueError) as e:
         row["error"] = str(e)
     return row
@@ -96,9 +97,12 @@ def parse(markdown: DataFrame) -> DataFrame:
     schema = to_arrow_schema(PARSED)
 
     def run(batches):
-        for b in batches:
-            rows = [parse_file(p, k, c) for p, k, c in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)]
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+        for whole in batches:
+            # A few files at a time are decoded and parsed.
+            for at in range(0, whole.num_rows, FILES):
+                b = whole.slice(at, FILES)
+                rows = [parse_file(p, k, c) for p, k, c in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)]
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return markdown.select("path", "kind", "content").mapInArrow(run, PARSED)
 
@@ -112,6 +116,9 @@ class Parsed:
     def errors(self) -> DataFrame:
         return self.parsed.filter(F.col("error").isNotNull()).select("path", "error")
 
+    def release(self) -> None:
+        self.parsed.unpersist()
+
 
 def corpus_of(parsed: DataFrame) -> Corpus:
     good = parsed.filter(F.col("error").isNull() & (F.size("faults") == 0))
@@ -128,6 +135,9 @@ def corpus_of(parsed: DataFrame) -> Corpus:
 
 
 def read_tree(spark: SparkSession, root: str) -> Parsed:
+    """The tree as it is now. The parsed files are kept until ``release``, since every table reads them."""
+    # What an earlier read of the same folder has kept is out of date when files have changed.
+    spark.catalog.refreshByPath(root)
     parsed = parse(markdown_files(spark, root)).persist()
     return Parsed(corpus_of(parsed), parsed)
 

@@ -1,15 +1,23 @@
 """Published indexes, reports, rendered views."""
 
+import hashlib
 import json
+import os
+import shutil
 
 import pytest
+from pyspark.sql import functions as F
 
+from millrace.functions import markdown as M
 from millrace.operators import health as H
 from millrace.operators import report as R
 from millrace.operators import search as S
 from millrace.plans import changelog as L
 from millrace.plans import freshness as P
+from millrace.plans import generated as N
+from millrace.plans import snapshot as D
 from millrace.plans import views as G
+from millrace.sources import importer
 
 from .test_search import PAGES, make
 
@@ -49,3 +57,106 @@ def test_rendered(spark):
     entries = [("2026-01-02", "create", "me", "x")]
     again = L.parse(spark.createDataFrame([(x,) for x in L.render(entries).splitlines()], "value string")).collect()
     assert [(r["date"], r["operation"], r["actor"], r["reason"]) for r in again] == entries and L.EMPTY in L.render([])
+
+
+def small_tree(tmp_path):
+    s = D.Store.create(tmp_path / "corpus")
+    put = lambda p, c, **k: s.write(p, c, reason="r", actor=D.actor_name(" a]b\n"), today="2026-05-06", **k)
+    put("sources/design/a.md", "# A\n\n## One\n\nx\n")
+    put("sources/b.md", "no heading\n")
+    put("assets/pics/p.png", b"\x89PNG")
+    put("wiki/one.md", "# One\n\ntext\n", title="One", summary="s", tags=["t", "u"], sources=["sources/design/a.md", "sources/b.md"])
+    put("wiki/deep/two.md", "# Two\n\nSee [One](../one.md).\n", title="Two", summary="s", tags=["t"], sources=["sources/b.md"])
+    return s
+
+
+def test_generated_files(spark, tmp_path):
+    """A writer's own files equal those that Spark makes; a sound tree has no violation; what is broken is found and mended."""
+    s = small_tree(tmp_path)
+    root = str(s.current)
+    texts = {v.name: v.text() for v in N.of_tree(spark, root)}
+    assert texts == {n: (s.current / n).read_text() for n in N.HEADS}
+    assert "- deep/\n  - [Two](wiki/deep/two.md)\n    - Sources: [B](sources/b.md)\n" in texts["INDEX.md"] and "- t (2)\n- u (1)\n" in texts["tags.md"] and "- pics/\n  - [p.png](assets/pics/p.png)\n" in texts["ASSETS.md"]
+    assert N.verify(spark, root).collect() == []
+    D.put(s.current / "tags.md", texts["tags.md"].replace("(2)", "(3)") + "more\n")
+    D.put(s.current / "INDEX.md", texts["INDEX.md"].replace("- [One](wiki/one.md)\n", ""))
+    (s.current / "SOURCES.md").unlink()
+    D.put(s.current / "assets" / "x.md", "# X\n")
+    D.put(s.current / N.MARKER, "other\n")
+    log = (s.current / "CHANGELOG.md").read_text()
+    D.put(s.current / "CHANGELOG.md", log + "- 2026-05-06 [dance] [me]: x\n")
+    found = {(r["rule"], r["path"]): r["detail"] for r in N.check(spark, root).collect()}
+    assert {("generated", "tags.md"), ("generated", "INDEX.md"), ("generated", "SOURCES.md"), ("path", "assets/x.md"), ("marker", "VERSION"), ("changelog", "CHANGELOG.md")} <= set(found)
+    assert "expected '- t (2)', got '- t (3)'" in found["generated", "tags.md"] and "unexpected 'more'" in found["generated", "tags.md"] and found["generated", "SOURCES.md"] == "is missing"
+    (s.current / "wiki" / "link.md").symlink_to(s.current / "wiki" / "one.md")
+    assert ("path", "wiki/link.md", "is a symbolic link") in N.path_policy(spark, root)
+    (s.current / "wiki" / "link.md").unlink()
+    (s.current / "assets" / "x.md").unlink()
+    D.put(s.current / N.MARKER, N.VERSION)
+    D.put(s.current / "CHANGELOG.md", log)
+    assert {r["rule"] for r in N.verify(spark, root).collect()} == {"generated"}
+    assert N.verify(spark, root, fix=True).collect() == []
+
+
+def test_repair_of_ids(spark, tmp_path):
+    s = small_tree(tmp_path)
+    page = s.current / "wiki" / "one.md"
+    front, body = M.split_front(page.read_text())
+    front.id = ""
+    D.put(page, M.join_front(front, body))
+    assert any(r["rule"] == "frontmatter" for r in N.check(spark, str(s.current)).collect())
+    assert N.verify(spark, str(s.current)).collect() == []
+    again, text = M.split_front(page.read_text())
+    assert M.DOC_ID.match(again.id) and (text, again.title) == (body, "One") and N.repair_ids(spark, str(s.current)) == []
+
+
+def test_missing_directory(spark, tmp_path):
+    s = small_tree(tmp_path)
+    shutil.rmtree(s.current / "assets")
+    assert ("path", "assets") in {(r["rule"], r["path"]) for r in N.check(spark, str(s.current)).collect()}
+
+
+def test_lock_and_versions(tmp_path):
+    s = small_tree(tmp_path)
+    lock = D.Lock(s.root / "LOCK", "test")
+    with pytest.raises(D.ChangeError, match="test"):
+        s.delete("wiki/one.md", reason="r", actor="me")
+    owner = lock.owner()
+    D.put(s.root / "LOCK" / "OWNER", json.dumps({**owner, "token": "other"}))
+    with pytest.raises(D.ChangeError):
+        lock.release()
+    D.put(s.root / "LOCK" / "OWNER", json.dumps({**owner, "pid": 2**22 + 1}))  # a writer that crashed
+    before = s.current
+    old = (before / "wiki" / "one.md").read_bytes()
+    s.write("wiki/one.md", "# One\n\nnew\n", reason="r", actor="me")
+    assert not (s.root / "LOCK").exists() and (before / "wiki" / "one.md").read_bytes() == old != (s.current / "wiki" / "one.md").read_bytes()
+    assert os.stat(before / "sources" / "b.md").st_ino == os.stat(s.current / "sources" / "b.md").st_ino
+    assert len(s.vacuum(keep=2)) == 5 and s.current.exists() and len(list((s.root / "versions").iterdir())) == 2
+    (s.current / "wiki" / "out").symlink_to(tmp_path)
+    with pytest.raises(D.ChangeError):
+        s.write("wiki/out/x.md", "# X\n", title="X", summary="s", tags=["t"], sources=["sources/b.md"], reason="r", actor="me")
+
+
+def test_json_of_a_search(spark, tmp_path):
+    c = make(spark, PAGES)
+    i = P.ensure_fresh(spark, c, str(tmp_path / "i"))
+    found = S.search(i, "orca shrink")
+    body = json.loads(R.search_json(found))
+    assert list(body) == ["query", "query_mode", "recommended_sections", "agent_instructions", "coverage", "results", "recommended_read_order", "stop_rule"]
+    assert body["results"] and all(isinstance(r["tags"], list) and isinstance(r["links"], list) and r["id"] and "" not in (r.get("anchor"), r.get("summary")) for r in body["results"])
+    assert body["coverage"]["missing"] == [] and R.search_lines(found)[-1] == body["stop_rule"]
+    assert R.search_json(S.search(i, "absentterm")).count("[]") >= 3
+    lines = P.report(spark, make(spark, PAGES[1:]), str(tmp_path / "i"))
+    assert lines[0] == "status: stale" and lines[-1].startswith("reason: ") and "exists: true" in lines
+    assert P.report(spark, c, str(tmp_path / "none"))[:3] == ["status: missing", f"index: {tmp_path / 'none'}", "exists: false"]
+
+
+def test_import_targets(spark, tmp_path):
+    (tmp_path / "in" / "Some Dir").mkdir(parents=True)
+    (tmp_path / "in" / "Some Dir" / "My note.v2.txt").write_text("x")
+    r = importer.import_files(spark, str(tmp_path / "in")).first()
+    digest = hashlib.sha256(b"Some Dir/My note.v2.txt").hexdigest()[:10]
+    assert r["target"] == f"sources/some-dir/my-note-v2-{digest}.md" and "original_path: Some Dir/My note.v2.txt" in r["markdown"]
+    stamp = int(os.stat(tmp_path / "in" / "Some Dir" / "My note.v2.txt").st_mtime)
+    assert importer.import_files(spark, str(tmp_path / "in"), versioned=True).first()["target"] == f"sources/some-dir/my-note-v2-{stamp}-{digest}.md"
+    assert [x[0] for x in spark.createDataFrame([("a/my_new-file.md",), ("__.txt",)], "p string").select(importer.title_of(F.col("p"))).collect()] == ["My New File", "Untitled"]
