@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import oracles as O
 from . import schema as C
 from .functions import text as X
+from .functions.markdown import unique_anchor
 from .functions.plain import fold_tokens
 from .operators import corpus as K
 from .operators import health as H
@@ -17,9 +21,12 @@ from .operators import search as S
 from .operators import terms as W
 from .operators.corpus import Corpus
 from .plans import changelog as L
+from .plans import generated as N
 from .plans import snapshot as D
 from .plans import views as G
 from .sources import importer as M
+from .sources.ship import ship
+from .sources.tables import paths_of
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -84,16 +91,28 @@ def path_tokens(spark, d):
     return corpus(spark, d).documents.select("path", joined(X.path_terms(F.col("path"))).alias("terms"), X.first_path_term(F.col("path")).alias("first_term"))
 
 
-@query(BASE + f"SELECT DISTINCT l1 AS heading, {O._anchor('l1')} AS anchor FROM d0")
+@query(BASE + f"SELECT heading, {O._anchor('heading')} AS anchor FROM (SELECT DISTINCT unnest(string_split(text, chr(10))) AS heading FROM raw)")
 def anchors(spark, d):
-    t = spark.read.parquet(f"{d}/documents.parquet").select(F.substring_index(F.coalesce("text", F.lit("")), "\n", 1).alias("heading")).distinct()
+    t = raw(spark, d).select(F.explode(F.split("text", "\n", -1)).alias("heading")).distinct()
     return t.select("heading", X.anchor(F.col("heading")).alias("anchor"))
 
 
 @query(BASE + "SELECT section_id, anchor || CASE WHEN k > 1 THEN '-' || (k - 1) ELSE '' END AS anchor FROM (SELECT section_id, anchor, row_number() OVER (PARTITION BY document_id, anchor ORDER BY ordinal) AS k FROM secs WHERE anchor IS NOT NULL)")
 def duplicate_anchors(spark, d):
-    s = corpus(spark, d).sections.filter("anchor IS NOT NULL").withColumn("k", F.row_number().over(Window.partitionBy("document_id", "anchor").orderBy("ordinal")))
-    return s.select("section_id", F.concat("anchor", F.when(F.col("k") > 1, F.concat(F.lit("-"), (F.col("k") - 1).cast("string"))).otherwise("")).alias("anchor"))
+    """The parser's own numbering: anchors of one document count from its first heading on."""
+    s = corpus(spark, d).sections.filter("heading IS NOT NULL")
+    per = s.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "section_id", "heading"))).alias("s"))  # a document's own headings
+    ship(spark)
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for sections in b.column(0).to_pylist():
+                counts: dict[str, int] = {}
+                rows += [(x["section_id"], unique_anchor(x["heading"], counts)) for x in sections]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], names=["section_id", "anchor"])
+
+    return per.select("s").mapInArrow(run, "section_id string, anchor string")
 
 
 @query(BASE + "SELECT path, to_json(tags)::VARCHAR AS tags_json, array_to_string(tags, ' ') AS tags_text, len(from_json(to_json(tags), '[\"VARCHAR\"]'))::BIGINT AS n FROM docs")
@@ -144,7 +163,7 @@ def link_resolution(spark, d):
     return corpus(spark, d).links.select("from_path", "to_path", "kind", "to_document_id")
 
 
-@query(BASE + "SELECT 'link_document' AS rule, from_path AS path, from_document_id AS detail FROM links WHERE from_document_id NOT IN (SELECT id FROM docs WHERE doc_id % 7 <> 0) UNION ALL SELECT 'citation_document', wiki_path, document_id FROM cits WHERE document_id NOT IN (SELECT id FROM docs WHERE doc_id % 7 <> 0) UNION ALL SELECT 'tag_document', path, document_id FROM tags WHERE document_id NOT IN (SELECT id FROM docs WHERE doc_id % 7 <> 0) UNION ALL SELECT 'link_target_id', from_path, to_path FROM links WHERE to_path IN (SELECT path FROM docs WHERE doc_id % 7 = 0)")
+@query(BASE + "SELECT 'link_document' AS rule, from_path AS path, from_document_id AS detail FROM links WHERE from_document_id NOT IN (SELECT id FROM docs WHERE doc_id % 7 <> 0) UNION ALL SELECT 'citation_document', wiki_path, document_id FROM cits WHERE document_id NOT IN (SELECT id FROM docs WHERE doc_id % 7 <> 0) UNION ALL SELECT 'tag_document', path, document_id FROM tags WHERE document_id NOT IN (SELECT id FROM docs WHERE doc_id % 7 <> 0) UNION ALL SELECT 'link_target_id', from_path, to_path FROM links WHERE to_path IN (SELECT path FROM docs WHERE doc_id % 7 = 0) UNION ALL SELECT 'section_document', path, document_id FROM secs WHERE document_id NOT IN (SELECT id FROM docs WHERE doc_id % 7 <> 0)")
 def fk_violations(spark, d):
     """Every seventh document taken out, the facts that then hang in the air."""
     c = corpus(spark, d)
@@ -312,6 +331,26 @@ def filter_sources(spark, d):
     return ranked(spark, d, TWO, "or", sources=[first]).select(*SHOWN)
 
 
+_BOTH = "(SELECT sources FROM hits WHERE len(sources) > 1 ORDER BY path, section_id LIMIT 1)"
+
+
+@query(searched(TWO, "or", ALL + f" WHERE list_has_all(sources, {_BOTH})"))
+def filter_several_sources(spark, d):
+    """Pages that cite all sources of the first result with several."""
+    both = ranked(spark, d, TWO, "or").filter(F.size("sources") > 1).orderBy("path", "section_id").first()
+    return ranked(spark, d, TWO, "or", sources=list(both["sources"]) if both else ["sources/none.md"]).select(*SHOWN)
+
+
+_PAIR = "(SELECT tags FROM hits WHERE len(tags) > 1 ORDER BY path, section_id LIMIT 1)"
+
+
+@query(searched(TWO, "or", ALL + f" WHERE list_has_all(tags, {_PAIR})"))
+def filter_several_tags(spark, d):
+    """Pages with all tags of the first result with several."""
+    both = ranked(spark, d, TWO, "or").filter(F.size("tags") > 1).orderBy("path", "section_id").first()
+    return ranked(spark, d, TWO, "or", tags=list(both["tags"]) if both else ["none"]).select(*SHOWN)
+
+
 @query(searched(TWO, "or", f"SELECT {O.SHOWN}, row_number() OVER (ORDER BY {O.ORDER}) AS place FROM hits ORDER BY {O.ORDER} LIMIT 40"))
 def search_topk(spark, d):
     t = S.top(index(spark, d), S.parse(TWO), S.Options().checked(), "or", 6)
@@ -323,9 +362,10 @@ TOP = f"tp AS (SELECT *, row_number() OVER (ORDER BY {O.ORDER}) AS place FROM hi
 
 @query(searched(TWO, "or", f", {TOP} SELECT section_id, path, place FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY place) AS k FROM tp) WHERE k <= 3 ORDER BY place LIMIT 20"))
 def cap_per_doc(spark, d):
-    t = S.top(index(spark, d), S.parse(TWO), S.Options().checked(), "or", 6).withColumn("place", F.row_number().over(Window.orderBy(*S.ORDER)))
-    kept = t.withColumn("k", F.row_number().over(Window.partitionBy("document_id").orderBy("place"))).filter(F.col("k") <= C.SECTIONS_PER_DOCUMENT)
-    return kept.orderBy("place").limit(20).select("section_id", "path", "place")
+    rows = rows_of(spark, d, TWO, "or")
+    place = {r["section_id"]: i for i, r in enumerate(rows, 1)}
+    out = [(r["section_id"], r["path"], place[r["section_id"]]) for r in S.select(rows, [], 20)]
+    return spark.createDataFrame(out, "section_id string, path string, place long")
 
 
 def rows_of(spark, d, text: str, mode: str) -> list:
@@ -382,29 +422,31 @@ def or_fallback(spark, d):
     return spark.createDataFrame([(mode, n)], "mode string, rows long")
 
 
-_Q = "CASE WHEN list_contains({p}, '{t}') OR list_contains({w}, '{t}') THEN 4 WHEN list_contains(tags, '{t}') THEN 3 WHEN list_contains({h}, '{t}') THEN 2 ELSE 0 END"
+_BODY = "trim(regexp_replace(lower(trim(body)), '[^\\p{L}\\p{N}_]+', ' ', 'g'))"
 
 
-@query(searched(TWO, "or", f", {TOP}, q AS (SELECT *, (CASE WHEN list_contains({O._words('heading')}, 'thble') THEN 12 WHEN list_contains({O._words(O._base('path'))}, 'thble') OR list_contains({O._words('title')}, 'thble') THEN 4 ELSE 0 END) + (CASE WHEN list_contains({O._words('heading')}, 'thing') THEN 32 WHEN list_contains({O._words(O._base('path'))}, 'thing') OR list_contains({O._words('title')}, 'thing') THEN 4 ELSE 0 END) AS quality FROM tp) SELECT path, section_id, quality::BIGINT AS quality FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY quality DESC, score, lexical_score, section_id) AS k FROM q) WHERE k = 1"))
-def best_section_per_path(spark, d):
-    t = S.top(index(spark, d), S.parse(TWO), S.Options().checked(), "or", 6)
+def _section_quality(term: str, heading: int) -> str:
+    return f"CASE WHEN list_contains({O._words('heading')}, '{term}') THEN {heading} WHEN list_contains({O._words(O._base('path'))}, '{term}') OR list_contains({O._words('title')}, '{term}') THEN 4 WHEN contains({_BODY}, '{term}') THEN 1 ELSE 0 END"
 
-    def part(term: str, heading: int) -> Column:
-        has = lambda col: F.array_contains(X.words(col), term)
-        return F.when(has(F.col("heading")), heading).when(has(X.basename(F.col("path"))) | has(F.col("title")), 4).otherwise(0)
 
-    q = t.withColumn("quality", (part("thble", 12) + part("thing", 32)).cast("long"))
-    best = q.withColumn("k", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("quality"), "score", "lexical_score", "section_id"))).filter("k = 1")
-    return best.select("path", "section_id", "quality")
+@query(searched(TWO, "or", f", {TOP}, q AS (SELECT tp.*, ({_section_quality('thble', 12).replace('heading', 'tp.heading').replace('path', 'tp.path')}) + ({_section_quality('thing', 32).replace('heading', 'tp.heading').replace('path', 'tp.path')}) AS quality FROM tp JOIN (SELECT section_id, body FROM secs) b ON b.section_id = tp.section_id) SELECT path, section_id, quality::BIGINT AS quality FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY quality DESC, score, lexical_score, section_id) AS k FROM q) WHERE k = 1"))
+def best_section_per_path(spark, d):
+    topics = ["thble", "thing"]
+    best: dict = {}
+    for r in rows_of(spark, d, TWO, "or"):
+        key = (-S.section_quality(r, topics), S.rank(r))
+        if r["path"] not in best or key < best[r["path"]][0]:
+            best[r["path"]] = key, r["section_id"]
+    return spark.createDataFrame([(p, i, -key[0]) for p, (key, i) in best.items()], "path string, section_id string, quality long")
 
 
-@query(searched(TWO, "or", f", {TOP} SELECT t.term, min({_Q.format(p=O._words(O._base('path')), w=O._words('title'), h=O._words('heading'), t='X').replace(chr(39) + 'X' + chr(39), 't.term')}) AS least, max({_Q.format(p=O._words(O._base('path')), w=O._words('title'), h=O._words('heading'), t='X').replace(chr(39) + 'X' + chr(39), 't.term')}) AS most FROM tp, (SELECT unnest(['thble', 'thing']) AS term) t GROUP BY 1"))
+@query(_entity_sql(f"SELECT max(entity) AS term, coalesce(bool_or({_NAMED} AND place <= 3), FALSE) AS covered, NOT coalesce(bool_or({_NAMED} AND place <= 3), FALSE) AS missing FROM tp HAVING bool_or({_NAMED})"))
 def coverage(spark, d):
-    """How well the fetched rows cover each query term: the least and the most of its qualities."""
-    t = S.top(index(spark, d), S.parse(TWO), S.Options().checked(), "or", 6).withColumn("term", F.explode(F.array(F.lit("thble"), F.lit("thing"))))
-    has = lambda col: F.array_contains(X.words(col), F.col("term"))
-    q = F.when(has(X.basename(F.col("path"))) | has(F.col("title")), 4).when(F.array_contains("tags", F.col("term")), 3).when(has(F.col("heading")), 2).otherwise(0)
-    return t.groupBy("term").agg(F.min(q).alias("least"), F.max(q).alias("most"))
+    """Which entities of a query its first three results cover."""
+    text = f"{entity_of(spark, d)} thing"
+    rows = rows_of(spark, d, text, "or")
+    covered, missing = S.coverage(rows, [{"section_id": r["section_id"]} for r in rows[:3]], S.parse(text).terms)
+    return spark.createDataFrame([(t, c, t in missing) for t, c in covered.items()], "term string, covered boolean, missing boolean")
 
 
 @query()
@@ -433,6 +475,11 @@ def orphans(spark, d):
     return flat(H.orphans(corpus(spark, d)))
 
 
+@query(O.with_(O.CORPUS, O.GRAPH, O.ORPHANS) + f"SELECT o.type, o.pages, array_to_string({O._query_terms(O.with_queries('title', 'tags', 'path'), 7)}, ' ') AS queries, CASE o.type " + " ".join(f"WHEN '{k}' THEN '{C.REVIEW[k].replace(chr(39), chr(39) * 2)}'" for k in ("orphan_page", "underlinked_page")) + " END AS instruction FROM orphans o JOIN docs ON path = o.pages")
+def orphan_queries(spark, d):
+    return H.orphans(corpus(spark, d)).select("type", joined("pages").alias("pages"), joined("queries").alias("queries"), "instruction")
+
+
 @query(O.with_(O.CORPUS, O.STUBS) + "SELECT * FROM stubs")
 def stubs(spark, d):
     return flat(H.stubs(corpus(spark, d)))
@@ -538,9 +585,9 @@ def sha_manifest(spark, d):
     return t.join(G.checksum_lines(t), "path").select("doc_id", F.substring_index("line", "sha256:", -1).alias("hash"))
 
 
-@query("SELECT md5(coalesce(text, '')) AS id, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT 'unique_id' AS rule, min(doc_id) AS path, md5(coalesce(text, '')) AS detail FROM documents GROUP BY 3 HAVING count(*) > 1")
 def dup_ids(spark, d):
-    return raw(spark, d).groupBy(F.md5("text").alias("id")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1")
+    return V.duplicates(raw(spark, d).select(F.md5("text").alias("id"), "doc_id"), "id", "doc_id", "unique_id")
 
 
 @query(BASE + """, c AS (SELECT p.path, string_agg('[' || x.title || '](' || x.path || ')', ', ' ORDER BY x.path) AS cited FROM (SELECT path, unnest(sources) AS s FROM docs WHERE kind = 'wiki') p JOIN docs x ON x.path = p.s GROUP BY 1),
@@ -569,9 +616,22 @@ def changelog_format(spark, d):
     return event_lines(spark, d)
 
 
-@query(f"SELECT {_EVENT} AS line, strftime(ts, '%Y-%m-%d') AS date, event_type AS operation, 'user-' || user_id AS actor, 'event ' || event_id AS reason, 'operation is not supported' AS fault FROM events")
+_DAY = "strftime(ts, '%Y-%m-%d')"
+_KINDS = ["'- ' || day || ' [' || event_type || '] [user-' || user_id || ']: event ' || event_id", "'- ' || day || ' [create] [user-' || user_id || ']: event ' || event_id", "day || ' [update] [me]: event ' || event_id", "'- 2026-13-01 [delete] [me]: event ' || event_id", "'- ' || day || ' [append] [ ]: event ' || event_id", "'rubbish ' || event_id"]
+_LINES = f"ev AS (SELECT *, {_DAY} AS day, event_id % 6 AS k FROM events), ln AS (SELECT *, CASE k " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_KINDS)) + " END AS line FROM ev)"
+
+
+@query(f"""WITH {_LINES} SELECT line, CASE WHEN k = 5 THEN '' WHEN k = 3 THEN '2026-13-01' ELSE day END AS date, CASE k WHEN 0 THEN event_type WHEN 1 THEN 'create' WHEN 2 THEN 'update' WHEN 3 THEN 'delete' WHEN 4 THEN 'append' ELSE '' END AS operation,
+CASE WHEN k <= 1 THEN 'user-' || user_id WHEN k <= 3 THEN 'me' WHEN k = 4 THEN ' ' ELSE '' END AS actor, CASE WHEN k < 5 THEN 'event ' || event_id ELSE '' END AS reason,
+CASE k WHEN 0 THEN 'operation is not supported' WHEN 3 THEN 'date must be YYYY-MM-DD' WHEN 4 THEN 'actor is missing or holds ] or a line break' WHEN 5 THEN 'not a changelog line' END AS fault FROM ln""")
 def changelog_parse(spark, d):
-    return L.parse(event_lines(spark, d))
+    """Lines of all kinds: valid entries with and without a dash, and one of each fault that a line can have."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    text = lambda c: F.col(c).cast("string")
+    day, event = F.date_format("ts", "yyyy-MM-dd"), F.concat(F.lit("event "), text("event_id"))
+    user, me = F.concat(F.lit("user-"), text("user_id")), F.lit("me")
+    kinds = [L.format_line(day, F.col("event_type"), user, event), L.format_line(day, F.lit("create"), user, event), F.substring(L.format_line(day, F.lit("update"), me, event), 3, 10_000), L.format_line(F.lit("2026-13-01"), F.lit("delete"), me, event), L.format_line(day, F.lit("append"), F.lit(" "), event), F.concat(F.lit("rubbish "), text("event_id"))]
+    return L.parse(e.select(F.element_at(F.array(*kinds), (F.col("event_id") % 6 + 1).cast("int")).alias("value")))
 
 
 @query(BASE + "SELECT path, list_sort(list_distinct(list_concat(tags, ['x']))) = list_sort(list_distinct(list_concat(['x'], list_reverse(tags)))) AS same, list_sort(tags) = list_sort(links) AS other FROM docs")
@@ -581,7 +641,7 @@ def set_equality(spark, d):
     return t.select("path", (X.sorted_unique(F.concat("tags", x)) == X.sorted_unique(F.concat(x, F.reverse("tags")))).alias("same"), (X.sorted_unique(F.col("tags")) == X.sorted_unique(F.col("links"))).alias("other"))
 
 
-@query(RAW + """, l AS (SELECT string_agg(text, chr(10) ORDER BY doc_id) AS t FROM raw WHERE doc_id < 40), r AS (SELECT string_agg(replace(text, 'the', 'teh'), chr(10) ORDER BY doc_id) AS t FROM raw WHERE doc_id < 40),
+@query(RAW + """, l AS (SELECT string_agg(text, chr(10) ORDER BY doc_id) AS t FROM raw), r AS (SELECT string_agg(replace(text, 'the', 'teh'), chr(10) ORDER BY doc_id) AS t FROM raw),
 a AS (SELECT unnest(string_split(t, chr(10))) AS s, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS n FROM l), b AS (SELECT unnest(string_split(t, chr(10))) AS s, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS n FROM r)
 SELECT a.n::BIGINT AS n, md5(a.s) AS "left", md5(b.s) AS "right" FROM a FULL JOIN b USING (n) WHERE a.s IS DISTINCT FROM b.s ORDER BY 1 LIMIT 5""")
 def line_diff(spark, d):
@@ -626,10 +686,50 @@ def freshness_changes(spark, d):
     return G.changed(docs, now)
 
 
-@query("SELECT 0 AS n WHERE FALSE")
+_N = "doc_id % 40"
+_SAME = "(SELECT id FROM docs WHERE doc_id % 40 = 15)"
+_BROKEN = " UNION ALL ".join(
+    [f"SELECT '{rule}' AS rule, path, '' AS detail FROM docs WHERE {_N} = {k}" for k, rule in ((0, "kind"), (1, "tier"), (2, "title"), (3, "summary"), (5, "modified_date"), (6, "size"), (7, "tags"), (8, "source_metadata"), (9, "tags"), (10, "sorted_lists"))]
+    + [f"SELECT '{rule}', path, '' FROM secs JOIN docs USING (path) WHERE secs.ordinal = 1 AND {_N} = {k}" for k, rule in ((13, "ordinal"), (14, "level"))]
+    + [f"SELECT 'unique_id', min(path), 'doc_same' FROM docs WHERE {_N} = 15 HAVING count(*) > 1"]
+    + [f"SELECT '{rule}', {path}, {of} FROM {table} WHERE {of} IN {_SAME}" for rule, path, of, table in (("section_document", "path", "document_id", "secs"), ("link_document", "from_path", "from_document_id", "links"), ("citation_document", "wiki_path", "document_id", "cits"), ("tag_document", "path", "document_id", "tags"))]
+    + [f"SELECT 'link_target_id', from_path, to_path FROM links WHERE to_document_id IN {_SAME}"]
+)
+
+
+@query(BASE + _BROKEN)
 def integrity_violations(spark, d):
-    """The derived corpus is sound: no rule has a row."""
-    return V.foreign_keys(corpus(spark, d)).select(F.lit(0).alias("n"))
+    """The derived corpus, sound as it is, with one kind of damage to every fortieth page or source for each rule."""
+    c = corpus(spark, d)
+    n = F.regexp_extract("path", r"-(\d+)\.md$", 1).cast("long") % 40
+    array = lambda *v: F.array(*map(F.lit, v))
+    bad = {"kind": {0: F.lit("asset")}, "tier": {1: F.lit("none")}, "title": {2: F.lit(" ")}, "summary": {3: F.lit("")}, "modified_date": {5: F.lit("2026-13-01")}, "size_bytes": {6: F.lit(-1)}, "tags": {7: F.array().cast("array<string>"), 8: array("x"), 9: array("Bad tag"), 10: array("b", "a")}, "id": {15: F.lit("doc_same")}}
+
+    def damaged(df: DataFrame, damage: dict) -> DataFrame:
+        for col, by in damage.items():
+            value = F.col(col)
+            for k, v in by.items():
+                value = F.when(n == k, v).otherwise(value)
+            df = df.withColumn(col, value)
+        return df
+
+    first = F.col("ordinal") == 1
+    sections = c.sections.withColumn("level", F.when(first & (n == 14), 0).otherwise(F.col("level"))).withColumn("ordinal", F.when(first & (n == 13), 0).otherwise(F.col("ordinal")))
+    return V.check(Corpus(damaged(c.documents, bad), sections, c.links, c.citations, c.tags))
+
+
+@query(BASE + """, tg AS (SELECT 'tags.md' AS view, '- ' || tag || ' (' || count(*) || ')' AS line FROM tags GROUP BY tag), sm AS (SELECT 'SUMS', path || ' sha256:' || sha256(replace(text, chr(13) || chr(10), chr(10))) FROM docs WHERE kind = 'wiki'),
+sr AS (SELECT path, title, string_split(regexp_replace(path, '^sources/', ''), '/') AS p FROM docs WHERE kind = 'source')
+SELECT * FROM tg UNION ALL SELECT * FROM sm UNION ALL SELECT 'SOURCES.md', repeat('  ', len(p) - 1) || '- [' || title || '](' || path || ')' FROM sr UNION ALL SELECT DISTINCT 'SOURCES.md', '- ' || p[1] || '/' FROM sr WHERE len(p) > 1
+UNION ALL SELECT 'ASSETS.md', '- [' || source || '.png](assets/' || source || '.png)' FROM (SELECT DISTINCT source FROM raw)""")
+def generated_views(spark, d):
+    """The lines of the generated files that have one text each; assets: a picture for each origin of texts. ``index_tree`` has the index's."""
+    c = corpus(spark, d)
+    texts = paths_of(spark.read.parquet(f"{d}/documents.parquet")).filter("kind = 'wiki'")
+    sums = texts.select("path", F.sha2(F.replace("text", F.lit("\r\n"), F.lit("\n")), 256).alias("sum_hash"))
+    assets = spark.read.parquet(f"{d}/documents.parquet").select(F.concat("source", F.lit(".png")).alias("title")).distinct().select(F.concat(F.lit("assets/"), "title").alias("path"), "title")
+    made = [v.rows.select(F.lit(v.name).alias("view"), "line") for v in N.views(c, sums, assets) if v.name != "INDEX.md"]
+    return reduce(DataFrame.unionByName, made)
 
 
 # Imports.
