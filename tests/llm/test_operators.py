@@ -721,3 +721,37 @@ def test_packed_columns():
     columns = [rng.integers(0, 1 << 60, 1000), rng.integers(0, 9, 10).astype(np.uint16), np.zeros(0, np.uint32), rng.random(7)]
     back = lm_scoring.unpack(lm_scoring.pack(*columns))
     assert all(x.dtype == y.dtype and (x == y).all() for x, y in zip(columns, back, strict=True))
+
+
+def brute_scores(rows):
+    """score of each row by counting everything in plain dictionaries: every bigram that occurs twice is kept, no shares."""
+    words = [[*re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")), ""] for _, t in rows]
+    train = [w for (i, _), w in zip(rows, words, strict=True) if i is not None and zlib.crc32(str(i).encode()) % 10]
+    c = Counter(x for w in train for x in w)
+    pairs = Counter(p for w in train for p in zip([""] + w[:-1], w, strict=True))
+    n, v, n1, n2 = sum(c.values()), len(c), sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values())
+    d = min(0.9, max(0.1, n1 / (n1 + 2 * n2)))
+    after = defaultdict(dict)
+    for (a, b), x in pairs.items():
+        if x >= 2:
+            after[a][b] = (x - d) / c[a]
+    share = {x: (k - d) / n for x, k in c.items()}
+    fail = {a: math.log10((1 - sum(row.values())) / (1 - sum(share[b] for b in row))) for a, row in after.items()}
+    root = {x: math.log10(p) for x, p in share.items()}
+    out = []
+    for w in words:
+        score, state = 0.0, ""
+        for x in w:
+            row = after.get(state, {})
+            score += math.log10(row[x]) if x in row else fail.get(state, 0.0) + root.get(x, math.log10(d * v / n))
+            state = x
+        out.append(score)
+    return out
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_lm_equals_plain_counting(spark, size):
+    rows = sorted(texts(f"/root/testdata/{size}"))
+    got = {r.doc_id: r.score for r in lm_scoring.op8_lm_scoring(spark, f"/root/testdata/{size}").select("doc_id", "score").collect()}
+    want = brute_scores(rows)
+    assert len(got) == len(rows) and max(abs(got[i] - s) / (1 + abs(s)) for (i, _), s in zip(rows, want, strict=True)) < 1e-9
