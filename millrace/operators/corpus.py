@@ -26,7 +26,7 @@ class Corpus:
     def from_tables(spark: SparkSession, sf_dir: str) -> Corpus:
         from ..sources.tables import corpus_of
 
-        return corpus_of(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+        return corpus_of(spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id"))
 
     @staticmethod
     def from_markdown(spark: SparkSession, root: str) -> Corpus:
@@ -35,6 +35,17 @@ class Corpus:
         return read_corpus(spark, root)
 
 
+#: Bytes for each core up to which a table in few files is dealt out.
+SMALL = 64 << 20
+
+
+def spread(table: DataFrame, key: str) -> DataFrame:
+    """A table in fewer files than there are cores, and so small, with its rows dealt to all cores; any other as it is."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return table.repartition(cores, key) if len(table.inputFiles()) < cores and size < SMALL * cores else table
+
+
 def facts_from_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Links, citations and tags of wiki documents whose arrays hold them: three explodes of one pruned scan."""
     wiki = documents.filter(F.col("kind") == "wiki")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as C
 from ..functions import text as X
+from ..sources.cut import checkpoint
 from . import terms as W
 from .corpus import Corpus
 from .pair_blocks import lexical_pairs
@@ -208,7 +209,7 @@ def scored_pairs(corpus: Corpus, weights: DataFrame) -> DataFrame:
     """Pairs that pass the gate, with type, score and evidence; score is calibrated, before any enrichment."""
     # Written, as the signals are looked up for the pairs that pass alone. Pairs without any lexical overlap are among
     # them, with j = 0, where another signal lets them pass.
-    lexical = lexical_pairs(pair_keys(corpus, weights), weights, corpus.tags.select("path", F.col("tag").alias("value")), corpus.citations.select(F.col("wiki_path").alias("path"), F.col("source_path").alias("value"))).persist()
+    lexical = checkpoint(lexical_pairs(pair_keys(corpus, weights), weights, corpus.tags.select("path", F.col("tag").alias("value")), corpus.citations.select(F.col("wiki_path").alias("path"), F.col("source_path").alias("value"))))
     signals = shared_signals(corpus, lexical)
     edge = wiki_edges(corpus).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(True).alias("linked")).distinct()
     p = lexical.join(signals, ["a", "b"], "left").join(edge, ["a", "b"], "left")
@@ -259,7 +260,7 @@ def fielded(corpus: Corpus) -> DataFrame:
 def pairs(corpus: Corpus, weights: DataFrame | None = None) -> DataFrame:
     """Pair candidates with their enrichment."""
     weights = W.weighted_terms(W.term_counts(corpus), W.wiki_count(corpus)) if weights is None else weights
-    p = scored_pairs(corpus, weights).persist()  # read twice: for the best hundred, and in full
+    p = checkpoint(scored_pairs(corpus, weights))  # read twice: for the best hundred, and in full
     p = p.join(older_relevant(corpus, p), ["a", "b"], "left")
     score = F.when(F.col("older").isNotNull(), X.clamp_score(F.col("score") + 0.10)).otherwise(F.col("score"))
     as_reasons = lambda col, code: F.transform(col, lambda x: F.struct(F.lit(code).alias("code"), x.alias("value")))
@@ -328,7 +329,7 @@ def health(corpus: Corpus, kind: str = "all", path: str = "", limit: int = C.CAN
     if path.startswith("/") or ".." in path.split("/"):
         raise ValueError(f"path prefix {path!r} leaves the corpus")
     limit = C.CANDIDATE_LIMIT if limit <= 0 else min(limit, C.CANDIDATE_MOST)
-    weights = W.weighted_terms(W.term_counts(corpus), W.wiki_count(corpus)).persist()
+    weights = checkpoint(W.weighted_terms(W.term_counts(corpus), W.wiki_count(corpus)))
     makers = {"pairs": lambda: pairs(corpus, weights), "orphans": lambda: orphans(corpus, weights), "stubs": lambda: stubs(corpus, weights), "tags": lambda: tag_anomalies(corpus), "uncited": lambda: uncited_sources(corpus), "gaps": lambda: coverage_gaps(corpus)}
     needed = {"all": list(makers), "duplicates": ["pairs"], "links": ["pairs"], "sources": ["uncited", "gaps"], "orphans": ["orphans"], "stubs": ["stubs"], "tags": ["tags"]}[kind]
     rows = of_kind(reduce(DataFrame.unionByName, [makers[m]() for m in needed]), kind)

@@ -27,6 +27,16 @@ class Index:
     postings: DataFrame
     sections: DataFrame
     stats: DataFrame
+    #: section_id and the tokens of each field, where the index isn't written anywhere.
+    tokens: DataFrame | None = None
+
+    def of_terms(self, terms: list[str]) -> DataFrame:
+        """The postings of some terms. An index on disk is pruned by term; of one that isn't, only these terms' tokens are placed."""
+        if self.tokens is None:
+            return self.postings.filter(F.col("term").isin(terms))
+        fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"k{i}").alias("tokens")) for i, f in enumerate(FIELD_WEIGHTS)])
+        placed = self.tokens.select("section_id", F.explode(fields).alias("x")).select("section_id", "x.field", F.posexplode("x.tokens").alias("pos", "term")).filter(F.col("term").isin(terms))
+        return placed.groupBy("term", "section_id", "field").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
     def write(self, path: str) -> None:
         """Postings are laid out by term, so a query's terms prune row groups."""
@@ -76,4 +86,4 @@ def build(corpus: Corpus) -> Index:
     length = sum((F.size(X.tokens(F.col(f))) for f in FIELD_WEIGHTS), F.lit(0))
     shown = s.select("section_id", "document_id", "path", "kind", "tier", "title", F.coalesce("heading", F.lit("")).alias("heading"), F.coalesce("anchor", F.lit("")).alias("anchor"), "ordinal", "body", "summary", F.col("tag_list").alias("tags"), F.col("source_list").alias("sources"), F.col("link_list").alias("links"), length.alias("length"))
     stats = shown.agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"))
-    return Index(postings, shown, stats)
+    return Index(postings, shown, stats, split)

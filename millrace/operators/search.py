@@ -85,7 +85,7 @@ def bm25(index: Index, query: Query, mode: str = "and") -> DataFrame:
     """
     phrases = [fold_tokens(a) for a in query.atoms]
     wanted = sorted({t for p in phrases for t in p})
-    hits = index.postings.filter(F.col("term").isin(wanted)).groupBy("section_id", "field").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
+    hits = index.of_terms(wanted).groupBy("section_id", "field").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
 
     def occurrences(p: list[str]) -> Column:
         # A phrase is consecutive tokens of one field: shift each token's positions to the phrase's start.

@@ -25,6 +25,7 @@ from .plans import generated as N
 from .plans import snapshot as D
 from .plans import views as G
 from .sources import importer as M
+from .sources.cut import checkpoint
 from .sources.ship import ship
 from .sources.tables import paths_of
 
@@ -231,7 +232,7 @@ def counts(spark, d) -> tuple[Corpus, DataFrame]:
 
 def weights(spark, d) -> tuple[Corpus, DataFrame]:
     c, t = counts(spark, d)
-    return c, W.weighted_terms(t, W.wiki_count(c)).persist()
+    return c, checkpoint(W.weighted_terms(t, W.wiki_count(c)))
 
 
 @query(TERMED + "SELECT path, term, tf FROM tf")
