@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import fnmatch
 import html
+import io
 import re
+import zipfile
+from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +16,9 @@ from pyspark.sql import types as T
 
 from .ship import ship
 
-EXTENSIONS = (".md", ".markdown", ".mdx", ".txt", ".html", ".htm")
+EXTENSIONS = (".md", ".markdown", ".mdx", ".txt", ".html", ".htm", ".docx")
+#: Files that a task holds at once, and bytes of a document's text that are read at most.
+FILES, MOST_TEXT = 64, 64 << 20
 
 
 def slug(text: Column) -> Column:
@@ -76,6 +81,54 @@ def markdown_of(page: str | None) -> tuple[str, str]:
     return title, re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip() + "\n"
 
 
+WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+
+def markdown_of_docx(content: bytes | None) -> str | None:
+    """Headings, list items and paragraphs of a word-processor file; null if it can't be read."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
+            with z.open("word/document.xml") as f:
+                raw = f.read(MOST_TEXT + 1)
+    except (zipfile.BadZipFile, KeyError, OSError, RuntimeError):
+        return None
+    if len(raw) > MOST_TEXT or b"<!DOCTYPE" in raw or b"<!ENTITY" in raw:
+        return None
+    try:
+        body = ElementTree.fromstring(raw)
+    except ElementTree.ParseError:
+        return None
+    out: list[str] = []
+    for p in body.iter(f"{WORD}p"):
+        parts = {f"{WORD}t": lambda e: e.text or "", f"{WORD}tab": lambda e: " ", f"{WORD}br": lambda e: " "}
+        text = " ".join("".join(parts[e.tag](e) for e in p.iter() if e.tag in parts).split())
+        if not text:
+            continue
+        style = p.find(f"{WORD}pPr/{WORD}pStyle")
+        name = "" if style is None else style.get(f"{WORD}val", "")
+        level = re.fullmatch(r"(?i)heading ?([1-6])", name)
+        mark = "# " if name.lower() == "title" else "#" * int(level[1]) + " " if level else "- " if p.find(f"{WORD}pPr/{WORD}numPr") is not None else ""
+        out.append(mark + text)
+    joined = "\n\n".join(out)
+    return re.sub(r"(?m)^(- .*)\n\n(?=- )", r"\1\n", joined) + "\n"
+
+
+def docx_to_markdown(files: DataFrame, content_col: str = "content") -> DataFrame:
+    """Adds markdown, null where a file can't be read; the content is dropped."""
+    ship(files.sparkSession)
+    keep = [c for c in files.columns if c != content_col]
+    schema = T.StructType([files.schema[c] for c in keep] + [T.StructField("markdown", T.StringType())])
+    names = [f.name for f in schema.fields]
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, FILES):
+                b = whole.slice(at, FILES)
+                yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(keep))], pa.array(map(markdown_of_docx, b.column(len(keep)).to_pylist()), pa.string())], names=names)
+
+    return files.select(*keep, content_col).mapInArrow(run, schema)
+
+
 def html_to_markdown(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Adds title and markdown; the html is dropped."""
     ship(pages.sparkSession)
@@ -84,7 +137,8 @@ def html_to_markdown(pages: DataFrame, html_col: str = "html") -> DataFrame:
     names = [f.name for f in schema.fields]
 
     def run(batches):
-        for b in batches:
+        for whole, at in ((w, at) for w in batches for at in range(0, w.num_rows, FILES)):
+            b = whole.slice(at, FILES)
             made = [markdown_of(x) for x in b.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(keep))], pa.array([x[0] for x in made], pa.string()), pa.array([x[1] for x in made], pa.string())], names=names)
 
@@ -96,16 +150,17 @@ def header(name: Column, path: Column, mtime: Column) -> Column:
 
 
 def import_files(spark: SparkSession, folder: str, include: list[str] | None = None, exclude: list[str] | None = None, versioned: bool = False, prefix: str = "sources") -> DataFrame:
-    """target, source_path, markdown of all importable files of a folder; formats that need a converter are left out."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    f = selected(f.select("path", "modificationTime", F.col("content").cast("string").alias("text")), include, exclude)
+    """target, source_path, markdown of all importable files of a folder; what can't be read has null markdown."""
+    every = selected(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "modificationTime", "content"), include, exclude)
+    word = F.lower("path").endswith(".docx")
+    f = every.filter(~word).select("path", "modificationTime", F.col("content").cast("string").alias("text"))
     base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath().rstrip("/")
     rel = F.regexp_replace(F.expr("url_decode(replace(path, '+', '%2B'))"), f"^[a-z0-9+.-]+:(//[^/]*)?{re.escape(base)}/", "")
     name = F.element_at(F.split(rel, "/"), -1)
     as_html = html_to_markdown(f.filter(F.lower("path").rlike(r"\.html?$")), "text").select("path", "modificationTime", "markdown")
     plain = f.filter(~F.lower("path").rlike(r"\.html?$")).select("path", "modificationTime", F.when(F.lower("path").endswith(".txt"), F.concat(F.lit("# "), F.regexp_replace(name, r"\.[^.]*$", ""), F.lit("\n\n"), "text")).otherwise(F.col("text")).alias("markdown"))
-    every = as_html.unionByName(plain)
-    return every.select(relative_target(rel, F.col("modificationTime") if versioned else None, prefix).alias("target"), F.col("path").alias("source_path"), F.concat(header(name, rel, F.date_format("modificationTime", "yyyy-MM-dd")), "markdown").alias("markdown"))
+    made = as_html.unionByName(plain).unionByName(docx_to_markdown(every.filter(word)))
+    return made.select(relative_target(rel, F.col("modificationTime") if versioned else None, prefix).alias("target"), F.col("path").alias("source_path"), F.concat(header(name, rel, F.date_format("modificationTime", "yyyy-MM-dd")), "markdown").alias("markdown"))
 
 
 def parsed_texts(texts: DataFrame) -> DataFrame:

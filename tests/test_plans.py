@@ -4,6 +4,7 @@ import hashlib
 import json
 import os
 import shutil
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -160,3 +161,15 @@ def test_import_targets(spark, tmp_path):
     stamp = int(os.stat(tmp_path / "in" / "Some Dir" / "My note.v2.txt").st_mtime)
     assert importer.import_files(spark, str(tmp_path / "in"), versioned=True).first()["target"] == f"sources/some-dir/my-note-v2-{stamp}-{digest}.md"
     assert [x[0] for x in spark.createDataFrame([("a/my_new-file.md",), ("__.txt",)], "p string").select(importer.title_of(F.col("p"))).collect()] == ["My New File", "Untitled"]
+
+
+def test_import_of_word_files(spark, tmp_path):
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    para = lambda text, pr="": f"<w:p><w:pPr>{pr}</w:pPr><w:r><w:t>{text}</w:t></w:r></w:p>"
+    body = para("Big", '<w:pStyle w:val="Title"/>') + para("Part", '<w:pStyle w:val="Heading2"/>') + para("a &amp; b") + para("") + para("x", "<w:numPr/>") + para("y", "<w:numPr/>")
+    (tmp_path / "in").mkdir()
+    with zipfile.ZipFile(tmp_path / "in" / "A file.docx", "w") as z:
+        z.writestr("word/document.xml", f"<w:document {w}><w:body>{body}</w:body></w:document>")
+    (tmp_path / "in" / "bad.docx").write_bytes(b"junk")
+    got = {r["target"].split("/")[-1].rsplit("-", 1)[0]: r["markdown"] for r in importer.import_files(spark, str(tmp_path / "in")).collect()}
+    assert got["a-file"].endswith("---\n\n# Big\n\n## Part\n\na & b\n\n- x\n- y\n") and got["bad"] is None
