@@ -716,7 +716,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     told = checkpoint(parts.run(pairs.filter("kind IN ('count', 'ask')"), answer(known)))
     fail = failures(pairs.unionByName(told), model)
     back = parts.run(pairs.filter("kind IN ('kept', 'hot', 'visit', 'text')").unionByName(told.filter("kind = 'told'")), give_back(known, context.broadcast(fail)))
-    sums = text_sums(parts, back).groupBy("h1", "h2").agg(*[F.max(c).alias(c) for c in ("part", "seen", "base")])
+    # Written, so that the join reads both its sides from exchanges of their own and can split the rows of a text that many have.
+    sums = checkpoint(text_sums(parts, back).groupBy("h1", "h2").agg(*[F.max(c).alias(c) for c in ("part", "seen", "base")]))
     automaton = Automaton(dict(zip(names, model.counts.tolist(), strict=True)), [], model.n, model.discount, {h: x for h, x in zip(names, fail.tolist(), strict=True) if x}, end=END_HASH)
     own = traverse(src, context.broadcast((automaton, dict(zip(names, model.counts.tolist(), strict=True)), model.total, model.unknown)))
     return own.join(sums, ["h1", "h2"]).select(
