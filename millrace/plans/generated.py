@@ -130,7 +130,7 @@ def differences(want: Iterator[str], got: Iterator[str], most: int = 5) -> list[
     out: list[str] = []
     for n, (w, g) in enumerate(zip_longest(want, got), 1):
         if w != g:
-            out.append(f"line {n}: missing {w!r}" if g is None else f"line {n}: unexpected {g!r}" if w is None else f"line {n}: expected {w!r}, got {g!r}")
+            out.append(f"line {n}: {w!r} is not there" if g is None else f"line {n}: {g!r} is too much" if w is None else f"line {n}: {g!r} instead of {w!r}")
             if len(out) == most:
                 break
     return out

@@ -88,7 +88,7 @@ def test_generated_files(spark, tmp_path):
     D.put(s.current / "CHANGELOG.md", log + "- 2026-05-06 [dance] [me]: x\n")
     found = {(r["rule"], r["path"]): r["detail"] for r in N.check(spark, root).collect()}
     assert {("generated", "tags.md"), ("generated", "INDEX.md"), ("generated", "SOURCES.md"), ("path", "assets/x.md"), ("marker", "VERSION"), ("changelog", "CHANGELOG.md")} <= set(found)
-    assert "expected '- t (2)', got '- t (3)'" in found["generated", "tags.md"] and "unexpected 'more'" in found["generated", "tags.md"] and found["generated", "SOURCES.md"] == "is missing"
+    assert "'- t (3)' instead of '- t (2)'" in found["generated", "tags.md"] and "'more' is too much" in found["generated", "tags.md"] and found["generated", "SOURCES.md"] == "is missing"
     (s.current / "wiki" / "link.md").symlink_to(s.current / "wiki" / "one.md")
     assert ("path", "wiki/link.md", "is a symbolic link") in N.path_policy(spark, root)
     (s.current / "wiki" / "link.md").unlink()
