@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame
 
 #: Rows of keys and numbers that are worth a file of their own, and files for each core at most.
-FILE_ROWS, CORE_FILES = 2_000, 4
+FILE_ROWS, CORE_FILES = 2_000, 16
 
 
 def checkpoint(df: DataFrame, rows: int | None = None) -> DataFrame:
