@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import markdown as M
+from millrace.operators import corpus as K
 from millrace.operators import health as H
 from millrace.operators import report as R
 from millrace.operators import search as S
@@ -173,3 +174,20 @@ def test_import_of_word_files(spark, tmp_path):
     (tmp_path / "in" / "bad.docx").write_bytes(b"junk")
     got = {r["target"].split("/")[-1].rsplit("-", 1)[0]: r["markdown"] for r in importer.import_files(spark, str(tmp_path / "in")).collect()}
     assert got["a-file"].endswith("---\n\n# Big\n\n## Part\n\na & b\n\n- x\n- y\n") and got["bad"] is None
+
+
+def test_small_tables_are_spread(spark, tmp_path, monkeypatch):
+    spark.range(100).withColumnRenamed("id", "doc_id").coalesce(1).write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    cores = spark.sparkContext.defaultParallelism
+    dealt = K.spread(t, "doc_id")
+    assert dealt.rdd.getNumPartitions() == cores and sorted(r[0] for r in dealt.collect()) == list(range(100))
+    monkeypatch.setattr(K, "SMALL", 0)
+    assert K.spread(t, "doc_id").rdd.getNumPartitions() < cores
+
+
+def test_texts_in_order(spark):
+    rows = spark.createDataFrame([(f"p{i:04}", f"line {i}\n", "x") for i in range(999, -1, -1)], "path string, line string, other string").repartition(5)
+    chunks = [(r["line"], r["other"]) for r in G.in_order(rows, "line", "other", least=100)]
+    assert "".join(c for c, _ in chunks) == "".join(f"line {i}\n" for i in range(1000)) and sum(len(o) for _, o in chunks) == 1000 and len(chunks) > 1
+    assert list(G.in_order(rows.limit(0), "line")) == []
