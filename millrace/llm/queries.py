@@ -11,12 +11,13 @@ from .lm_scoring import op8_lm_scoring
 from .media import op2_media_columns
 from .quality import op9_quality
 from .ranked_search import OP13_SQL, op13_ranked_search
+from .spelling import op12_spelling_variants
 from .token_counts import op10_token_counts
 from .toxicity import op4_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op2_media_columns, op3_jaccard_join, op4_toxicity, op5_decontamination, op6_html_extraction, op7_bpe, op8_lm_scoring, op9_quality, op10_token_counts, op13_ranked_search)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_media_columns, op3_jaccard_join, op4_toxicity, op5_decontamination, op6_html_extraction, op7_bpe, op8_lm_scoring, op9_quality, op10_token_counts, op12_spelling_variants, op13_ranked_search)}
 
 
 def oracle_sql() -> dict:
