@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op7_bpe
+from .chat_format import OP11_SQL, op11_chat_format
 from .decontamination import OP5_SQL, op5_decontamination
 from .html_extraction import op6_html_extraction
 from .jaccard_join import op3_jaccard_join
@@ -17,8 +18,8 @@ from .toxicity import op4_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op2_media_columns, op3_jaccard_join, op4_toxicity, op5_decontamination, op6_html_extraction, op7_bpe, op8_lm_scoring, op9_quality, op10_token_counts, op12_spelling_variants, op13_ranked_search)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_media_columns, op3_jaccard_join, op4_toxicity, op5_decontamination, op6_html_extraction, op7_bpe, op8_lm_scoring, op9_quality, op10_token_counts, op11_chat_format, op12_spelling_variants, op13_ranked_search)}
 
 
 def oracle_sql() -> dict:
-    return {"op1_line_dedup": OP1_SQL, "op5_decontamination": OP5_SQL, "op13_ranked_search": OP13_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op5_decontamination": OP5_SQL, "op11_chat_format": OP11_SQL, "op13_ranked_search": OP13_SQL}
