@@ -45,7 +45,7 @@ def rows_of(df):
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "labels"):
+    for t in ("documents", "benchmark", "pages", "labels", "conversations"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     want = c.execute(oracle_sql()[name]).fetchdf()
     got = queries()[name](spark, SMALL).toPandas()[list(want.columns)]
