@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.cut import checkpoint
 
 
 @dataclass(frozen=True)
@@ -40,10 +41,10 @@ SMALL = 64 << 20
 
 
 def spread(table: DataFrame, key: str) -> DataFrame:
-    """A table in fewer files than there are cores, and so small, with its rows dealt to all cores; any other as it is."""
+    """A table in fewer files than there are cores, and so small, dealt out to all cores once and written; any other as it is."""
     cores = table.sparkSession.sparkContext.defaultParallelism
     size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return table.repartition(cores, key) if len(table.inputFiles()) < cores and size < SMALL * cores else table
+    return checkpoint(table.repartition(cores, key)) if len(table.inputFiles()) < cores and size < SMALL * cores else table
 
 
 def facts_from_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

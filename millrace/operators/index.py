@@ -7,13 +7,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as X
 from ..schema import FIELD_WEIGHTS
+from ..sources.cut import checkpoint
 from ..sources.ship import ship
 from .corpus import Corpus
 
@@ -30,13 +31,23 @@ class Index:
     #: section_id and the tokens of each field, where the index isn't written anywhere.
     tokens: DataFrame | None = None
 
-    def of_terms(self, terms: list[str]) -> DataFrame:
-        """The postings of some terms. An index on disk is pruned by term; of one that isn't, only these terms' tokens are placed."""
+    def matches(self, terms: list[str]) -> tuple[DataFrame, DataFrame]:
+        """section_id, length and, for each field i, ``at{i}``: a map of those of the terms that it has to their positions; and the statistics.
+
+        An index on disk is pruned by term. Of one that isn't, every section's tokens are made once, for its length and
+        for the positions of these terms alone, and what is narrow of them is written: both results come from that.
+        """
         if self.tokens is None:
-            return self.postings.filter(F.col("term").isin(terms))
-        fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"k{i}").alias("tokens")) for i, f in enumerate(FIELD_WEIGHTS)])
-        placed = self.tokens.select("section_id", F.explode(fields).alias("x")).select("section_id", "x.field", F.posexplode("x.tokens").alias("pos", "term")).filter(F.col("term").isin(terms))
-        return placed.groupBy("term", "section_id", "field").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+            at = [F.map_from_entries(F.collect_list(F.when(F.col("field") == f, F.struct("term", "positions")))).alias(f"at{i}") for i, f in enumerate(FIELD_WEIGHTS)]
+            return self.postings.filter(F.col("term").isin(terms)).groupBy("section_id").agg(*at).join(self.sections.select("section_id", "length"), "section_id"), self.stats
+        names = range(len(FIELD_WEIGHTS))
+        length = sum((F.size(f"k{i}") for i in names), F.lit(0))
+        # Arrays are searched before anything is placed: a field without any of the terms has an empty map.
+        some = F.array(*[F.lit(t) for t in terms])
+        placed = lambda i: F.when(F.arrays_overlap(f"k{i}", some), F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(t).alias("term"), positions(F.col(f"k{i}"), t).alias("positions")) for t in terms]), lambda x: F.size(x["positions"]) > 0)))
+        made = checkpoint(self.tokens.select("section_id", length.alias("length"), *[placed(i).alias(f"at{i}") for i in names]))
+        has = F.coalesce(*[F.col(f"at{i}") for i in names]).isNotNull()
+        return made.filter(has), made.agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"))
 
     def write(self, path: str) -> None:
         """Postings are laid out by term, so a query's terms prune row groups."""
@@ -49,12 +60,23 @@ class Index:
         return Index(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "sections", "stats")])
 
 
+def positions(tokens: Column, term: str) -> Column:
+    """Where a list of tokens has a term."""
+    return F.filter(F.transform(tokens, lambda t, i: F.when(t == term, i)), lambda i: i.isNotNull())
+
+
 def section_fields(corpus: Corpus) -> DataFrame:
     """Each section with its own and its document's fields as texts."""
     d = corpus.documents.select(F.col("id").alias("document_id"), "kind", "tier", "title", "summary", F.col("tags").alias("tag_list"), F.array_join("tags", " ").alias("tags"), F.array_join("sources", " ").alias("sources"), F.array_join("links", " ").alias("links"), F.col("sources").alias("source_list"), F.col("links").alias("link_list"))
     return corpus.sections.join(d, "document_id")
 
 
+def shown_columns() -> list[Column]:
+    """Of ``section_fields`` what a hit shows."""
+    empty = F.lit("")
+    return [*map(F.col, ("section_id", "document_id", "path", "kind", "tier", "title")), F.coalesce("heading", empty).alias("heading"), F.coalesce("anchor", empty).alias("anchor"), *map(F.col, ("ordinal", "body", "summary")), F.col("tag_list").alias("tags"), F.col("source_list").alias("sources"), F.col("link_list").alias("links")]
+
+
 def positions_of(batches, schema: pa.Schema):
     """Of rows (section_id, a list of tokens for each field) the rows term, section_id, field, positions: a batch is sorted once, no row meets another."""
     for b in batches:
@@ -84,6 +106,6 @@ def build(corpus: Corpus) -> Index:
     arrow = to_arrow_schema(POSTINGS)
     postings = split.mapInArrow(lambda batches: positions_of(batches, arrow), POSTINGS)
     length = sum((F.size(X.tokens(F.col(f))) for f in FIELD_WEIGHTS), F.lit(0))
-    shown = s.select("section_id", "document_id", "path", "kind", "tier", "title", F.coalesce("heading", F.lit("")).alias("heading"), F.coalesce("anchor", F.lit("")).alias("anchor"), "ordinal", "body", "summary", F.col("tag_list").alias("tags"), F.col("source_list").alias("sources"), F.col("link_list").alias("links"), length.alias("length"))
+    shown = s.select(*shown_columns(), length.alias("length"))
     stats = shown.agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"))
     return Index(postings, shown, stats, split)

@@ -78,33 +78,40 @@ def shifted(by: int):
     return lambda x: x - by
 
 
+def frequency(phrase: list[str]) -> Column:
+    """How often a phrase occurs in the fields ``at0``, ``at1``, ... (maps of token to positions), by their weights."""
+    none = F.array().cast("array<int>")
+
+    def occurrences(i: int) -> Column:
+        # A phrase is consecutive tokens of one field: shift each token's positions to the phrase's start.
+        starts = [F.transform(F.coalesce(F.col(f"at{i}")[t], none), shifted(k)) for k, t in enumerate(phrase)]
+        return F.when(F.col(f"at{i}").isNull(), 0).otherwise(F.size(reduce(F.array_intersect, starts)))
+
+    return reduce(Column.__add__, [w * occurrences(i) for i, w in enumerate(C.FIELD_WEIGHTS.values())])
+
+
+def inverse_frequency(n: Column, has: Column) -> Column:
+    raw = F.log((n - has + 0.5) / (has + 0.5))
+    return F.when(raw <= 0, C.BM25_LEAST_IDF).otherwise(raw)
+
+
+def saturated(f: Column, length: Column, mean: Column) -> Column:
+    return f * (C.BM25_K1 + 1) / (f + C.BM25_K1 * ((1 - C.BM25_B) + C.BM25_B * length / mean))
+
+
 def bm25(index: Index, query: Query, mode: str = "and") -> DataFrame:
     """section_id and lexical_score (lower is better) of the sections that match all atoms, or any of them.
 
     Statistics are the whole corpus's: filters come later and don't change them.
     """
     phrases = [fold_tokens(a) for a in query.atoms]
-    wanted = sorted({t for p in phrases for t in p})
-    hits = index.of_terms(wanted).groupBy("section_id", "field").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
-
-    def occurrences(p: list[str]) -> Column:
-        # A phrase is consecutive tokens of one field: shift each token's positions to the phrase's start.
-        none = F.array().cast("array<int>")
-        starts = [F.transform(F.coalesce(F.col("at")[t], none), shifted(i)) for i, t in enumerate(p)]
-        return F.size(reduce(F.array_intersect, starts))
-
-    weight = reduce(lambda w, f: w.when(F.col("field") == f, C.FIELD_WEIGHTS[f]), C.FIELD_WEIGHTS, F)
-    per = hits.groupBy("section_id").agg(*[F.sum(weight * occurrences(p)).alias(f"f{i}") for i, p in enumerate(phrases)])
+    hits, stats = index.matches(sorted({t for p in phrases for t in p}))
+    per = hits.select("section_id", "length", *[frequency(p).alias(f"f{i}") for i, p in enumerate(phrases)])
     seen = per.agg(*[F.sum((F.col(f"f{i}") > 0).cast("long")).alias(f"n{i}") for i in range(len(phrases))])
     both = per.filter(reduce(Column.__and__ if mode == "and" else Column.__or__, [F.col(f"f{i}") > 0 for i in range(len(phrases))]))
-    full = both.join(index.sections.select("section_id", "length"), "section_id").crossJoin(F.broadcast(seen)).crossJoin(F.broadcast(index.stats))  # one row each
-
-    def part(i: int) -> Column:
-        raw = F.log((F.col("n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
-        idf = F.when(raw <= 0, C.BM25_LEAST_IDF).otherwise(raw)
-        norm = C.BM25_K1 * ((1 - C.BM25_B) + C.BM25_B * F.col("length") / F.col("avgdl"))
-        return idf * F.col(f"f{i}") * (C.BM25_K1 + 1) / (F.col(f"f{i}") + norm)
+    full = both.crossJoin(F.broadcast(seen)).crossJoin(F.broadcast(stats))  # one row each
 
+    part = lambda i: inverse_frequency(F.col("n"), F.col(f"n{i}")) * saturated(F.col(f"f{i}"), F.col("length"), F.col("avgdl"))
     return full.select("section_id", (-reduce(Column.__add__, [part(i) for i in range(len(phrases))])).alias("lexical_score"))
 
 
