@@ -245,7 +245,7 @@ def room_of(a: str, b: str) -> Column:
     return F.least(F.col(f"n{a}") - F.col(f"first{a}"), F.col(f"n{b}") - F.col(f"first{b}"))
 
 
-def pivots(postings: DataFrame, labels: DataFrame, turn: int, total: int) -> DataFrame:
+def pivots(postings: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     """One pair (a, b) at most for each node b: its token's pivots a of other components, the one with most shared tokens.
 
     A document with few shingles of its own is a token's pivot: what is near to others in a group is nearer to it.
@@ -253,18 +253,18 @@ def pivots(postings: DataFrame, labels: DataFrame, turn: int, total: int) -> Dat
     p = postings.join(labels, "node")
     own = F.col("first") * 256 / F.col("n")
     key = F.struct((own if turn == 0 else F.floor(own / 8)).alias("k"), F.xxhash64(F.lit(turn), "node").alias("h"), "node", "n", "first", "label")
-    pivot = checkpoint(p.groupBy("token").agg(F.min(key).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("token", F.col("p.node").alias("a"), F.col("p.n").alias("n_a"), F.col("p.first").alias("first_a"), F.col("p.label").alias("label_a")), total)
+    pivot = checkpoint(p.groupBy("token").agg(F.min(key).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("token", F.col("p.node").alias("a"), F.col("p.n").alias("n_a"), F.col("p.first").alias("first_a"), F.col("p.label").alias("label_a")))
     met = p.withColumnsRenamed({"n": "n_b", "first": "first_b"}).join(pivot, "token").filter((F.col("label") != F.col("label_a")) & alike(F.col("n_b"), F.col("n_a")) & enough(F.col("n_b"), F.col("n_a"), room_of("_a", "_b")))
     shared = met.groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("c"))
     return shared.groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
 
 
-def live_postings(postings: DataFrame, labels: DataFrame, total: int) -> DataFrame:
-    """The postings (``total`` at most) of shingles that documents of several components have, with the shingle's largest component."""
+def live_postings(postings: DataFrame, labels: DataFrame) -> DataFrame:
+    """The postings of shingles that documents of several components have, with the shingle's largest component."""
     p = postings.join(labels, "node")
     per = p.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("k")).filter("k > 1").select("token", F.col("m.label").alias("main"))
     # Written, so that the join reads both its sides from exchanges of their own and can split a shingle that many have.
-    return checkpoint(p.join(checkpoint(per, total), "token"), total)
+    return checkpoint(p.join(checkpoint(per), "token"))
 
 
 def open_rows(live: DataFrame, slice_: int = 0, slices: int = 1, sample: int = 1) -> DataFrame:
@@ -302,14 +302,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = checkpoint(some.drop("id", "c1", "c2").join(classes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node"))
     postings = nodes.select("node", "n", "l", "first", F.posexplode("tokens").alias("i", "token")).select("token", "node", "n", "l", "first", (F.col("first") + F.col("i")).alias("pos"))
     labels = nodes.select("node", F.col("node").alias("label"))
-    size, total = nodes.agg(F.count("*"), F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()
+    size = nodes.count()
     turn = 0
     while True:
-        found = checkpoint(verified(pivots(postings, labels, turn, total), nodes), size)
+        found = checkpoint(verified(pivots(postings, labels, turn), nodes))
         linked, turn = found.count(), turn + 1
         if linked:
-            labels = components(labels, found, size, linked)
-        live = live_postings(postings, labels, total)
+            labels = components(labels, found)
+        live = live_postings(postings, labels)
         left = SAMPLE * open_rows(live, sample=SAMPLE).count()
         if report is not None:
             report.setdefault("rounds", []).append((size, linked, left))
@@ -317,11 +317,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             break
     slices = -(-left // (SLICE * size)) if left else 1
     for k in range(slices):
-        live = live_postings(postings, labels, total) if k else live
-        labels = components(labels, verified(rest_pairs(live, k, slices), nodes), size)
+        live = live_postings(postings, labels) if k else live
+        labels = components(labels, verified(rest_pairs(live, k, slices), nodes))
     least = labels.join(classes, "node").groupBy("label").agg(F.min("least").alias("component_id"))
     # Written, so that the join below reads both its sides from exchanges.
-    of_class = checkpoint(classes.select("c1", "c2", "node").join(labels, "node").join(least, "label").select("c1", "c2", "component_id"), size)
+    of_class = checkpoint(classes.select("c1", "c2", "node").join(labels, "node").join(least, "label").select("c1", "c2", "component_id"))
     # A class of copies may hold a third of the rows: its key is read from the rows' own exchange, which a skew join can split.
     return rows.select("id", "n", "c1", "c2").join(of_class, ["c1", "c2"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
