@@ -141,7 +141,11 @@ ORDER = ("score", "lexical_score", "not_wiki", "path", "ordinal", "section_id")
 
 def ranked(index: Index, query: Query, options: Options, mode: str = "and", digits: int | None = None) -> DataFrame:
     """All matching sections with their scores. ``digits`` rounds the scores before anything is ordered by them."""
-    rows = bm25(index, query, mode).join(filtered(index.sections, options), "section_id")
+    return adjusted(bm25(index, query, mode).join(filtered(index.sections, options), "section_id"), digits)
+
+
+def adjusted(rows: DataFrame, digits: int | None = None) -> DataFrame:
+    """Rows with lexical_score and what a section shows get the final score, and what they are ordered by."""
     rows = rows.withColumn("score", final_score(F.col("lexical_score"), F.col("kind"), F.col("heading"), F.col("tier")))
     if digits is not None:
         rows = rows.withColumns({c: X.round_to(F.col(c), digits) for c in ("score", "lexical_score")})

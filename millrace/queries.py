@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 import pyarrow as pa
@@ -13,6 +14,7 @@ from . import schema as C
 from .functions import text as X
 from .functions.markdown import unique_anchor
 from .functions.plain import fold_tokens
+from .operators import blocks as P
 from .operators import corpus as K
 from .operators import health as H
 from .operators import index as I
@@ -22,10 +24,11 @@ from .operators import terms as W
 from .operators.corpus import Corpus
 from .plans import changelog as L
 from .plans import generated as N
+from .plans import segments as E
 from .plans import snapshot as D
 from .plans import views as G
 from .sources import importer as M
-from .sources.cut import checkpoint
+from .sources.cut import checkpoint, new_folder
 from .sources.ship import ship
 from .sources.tables import paths_of
 
@@ -358,6 +361,72 @@ def search_topk(spark, d):
     return t.withColumn("place", F.row_number().over(Window.orderBy(*S.ORDER))).select(*SHOWN, "place")  # 40 rows
 
 
+# Search on a written index, by blocks.
+
+PLACED = f"SELECT {O.SHOWN}, row_number() OVER (ORDER BY {O.ORDER}) AS place FROM hits ORDER BY {O.ORDER} LIMIT 40"
+
+
+def placed(spark, path: str, text: str, mode: str) -> DataFrame:
+    rows = P.top(E.opened(spark, path), S.parse(text), S.Options().checked(), mode, 6)[0]
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(*S.ORDER))).select(*SHOWN, "place")  # 40 rows
+
+
+def _blocks_query(name: str, text: str, mode: str):
+    def run(spark, d):
+        path = new_folder(spark, "index")
+        E.refresh(spark, corpus(spark, d), path)
+        return placed(spark, path, text, mode)
+
+    run.__name__ = name
+    return query(searched(text, mode, PLACED))(run)
+
+
+_blocks_query("blocks_or", TWO, "or")
+_blocks_query("blocks_and", TWO, "and")
+_blocks_query("blocks_three", THREE, "or")
+_blocks_query("blocks_phrase", PHRASE, "and")
+
+
+def older(c: Corpus) -> Corpus:
+    """An earlier state of a corpus: without each seventh document, each fifth with other texts, each ninth tagged anew, and with documents that have gone since."""
+    number = F.regexp_extract("path", r"-(\d+)\.md$", 1).cast("long")
+    changed = number % 5 == 0
+    documents = c.documents.filter(number % 7 != 0).withColumn("hash", F.when(changed, F.lit("old")).otherwise(F.col("hash"))).withColumn("tags", F.when(number % 9 == 0, F.array(F.lit("thing"))).otherwise(F.col("tags")))
+    sections = c.sections.filter(number % 7 != 0).withColumn("body", F.when(changed, F.concat(F.lit("thble "), "body")).otherwise(F.col("body")))
+    away = c.documents.filter(number % 11 == 0).withColumns({"id": F.concat(F.lit("x"), "id"), "path": F.concat("path", F.lit(".old"))})
+    lost = c.sections.filter(number % 11 == 0).withColumns({"section_id": F.concat(F.lit("x"), "section_id"), "document_id": F.concat(F.lit("x"), "document_id"), "path": F.concat("path", F.lit(".old"))})
+    return replace(c, documents=documents.unionByName(away), sections=sections.unionByName(lost))
+
+
+def refreshed(spark, d) -> str:
+    """An index of an earlier state, brought up to the corpus."""
+    path, c = new_folder(spark, "index"), corpus(spark, d)
+    E.refresh(spark, older(c), path)
+    E.refresh(spark, c, path)
+    return path
+
+
+@query(searched(THREE, "or", PLACED))
+def refreshed_search(spark, d):
+    return placed(spark, refreshed(spark, d), THREE, "or")
+
+
+@query(searched(PHRASE, "or", PLACED))
+def compacted_search(spark, d):
+    path = refreshed(spark, d)
+    E.compact(spark, path)
+    return placed(spark, path, PHRASE, "or")
+
+
+@query(INDEXED + ", ts AS (SELECT section_id, unnest(list_concat(k0, k1, k2, k3, k4, k5, k6, k7)) AS term FROM idx) SELECT term, sum(has)::BIGINT AS sections, sum(n)::BIGINT AS n FROM (SELECT term, section_id, 1 AS has, count(*) AS n FROM ts GROUP BY ALL) GROUP BY 1")
+def compacted_postings(spark, d):
+    """What is in all blocks after a refresh and a compaction: sections and occurrences of each term."""
+    path = refreshed(spark, d)
+    E.compact(spark, path)
+    b = E.opened(spark, path).blocks.filter(F.col("term") != P.ALL)
+    return b.groupBy("term").agg(F.sum("n").alias("sections"), F.sum(F.expr("aggregate(at, 0L, (s, x) -> s + size(x.positions))")).alias("n"))
+
+
 TOP = f"tp AS (SELECT *, row_number() OVER (ORDER BY {O.ORDER}) AS place FROM hits ORDER BY {O.ORDER} LIMIT 40)"
 
 

@@ -3,25 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of keys and numbers that are worth a file of their own, and files for each core at most.
-FILE_ROWS, CORE_FILES = 2_000, 16
 
-
-def checkpoint(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Cut the lineage in the cluster's shared checkpoint folder; a folder of our own only where none is set and executors share the driver's disk.
-
-    ``rows``: a bound of the number of rows, where it is known and they are short: tiny partitions then share a file.
-    Partitions beyond a few for each core share one too: they run one after the other in any case, and each file costs
-    its store some calls (a local file system forks a process for it, which counts as much memory as the JVM has).
-    """
-    sc = df.sparkSession.sparkContext
+def shared(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder; a folder of our own only where none is set and executors share the driver's disk."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
-    files = CORE_FILES * sc.defaultParallelism
-    return df.coalesce(files if rows is None else min(files, 1 + rows // FILE_ROWS)).checkpoint(eager=True)
+    return sc.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage: the rows are computed once, in the plan's own partitions, and written to the shared folder."""
+    shared(df.sparkSession)
+    return df.checkpoint(eager=True)
