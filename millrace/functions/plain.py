@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import regex
 
-from .text import ACCENTED, BARE
+from .text import FOLDED, FOLDS_TO
 
-_FOLD = str.maketrans(ACCENTED, BARE)
+_FOLD = str.maketrans(FOLDED[: len(FOLDS_TO)], FOLDS_TO, FOLDED[len(FOLDS_TO) :])
 
 
 def normalize(text: str | None) -> str:
@@ -14,7 +14,7 @@ def normalize(text: str | None) -> str:
 
 
 def fold_tokens(text: str) -> list[str]:
-    return regex.findall(r"[\p{L}\p{N}]+", text.lower().translate(_FOLD))
+    return regex.findall(r"[\p{L}\p{N}\p{Co}]+", text.lower().translate(_FOLD))
 
 
 def path_words(path: str) -> list[str]:

@@ -13,7 +13,7 @@ def snippet(fields: list[str | None], phrases: list[list[str]], size: int = SIZE
     """``size`` tokens of the field with the most matched tokens in a window, << >> around matches, ... where cut."""
     best = (0, 0, "", [], [], 0)
     for f in fields:
-        spans = [(m.start(), m.end()) for m in regex.finditer(r"[\p{L}\p{N}]+", f or "")]
+        spans = [(m.start(), m.end()) for m in regex.finditer(r"[\p{L}\p{N}\p{Co}]+", f or "")]
         folded = [fold_tokens(f[a:b])[0] if fold_tokens(f[a:b]) else "" for a, b in spans]
         runs = [(i, i + len(p)) for p in phrases if p for i in range(len(folded) - len(p) + 1) if folded[i : i + len(p)] == p]
         if not runs:

@@ -9,26 +9,47 @@ from pyspark.sql import functions as F
 
 from ..schema import ALL_STOPWORDS, RECOMMENDATION_STOPWORDS, SEARCH_STOPWORDS
 
-NOT_TOKEN = r"[^\p{L}\p{N}]+"
+NOT_TOKEN = r"[^\p{L}\p{N}\p{Co}]+"
 NOT_WORD = r"[^\p{L}\p{N}_]+"
 
 
-def _accents() -> tuple[str, str]:
-    """Latin letters with marks that decompose into one letter, and those letters."""
-    pairs = []
-    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
-        d = unicodedata.normalize("NFD", chr(code))
-        if len(d) > 1 and all(unicodedata.combining(c) for c in d[1:]):
-            pairs.append((chr(code), d[0]))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
-
-
-ACCENTED, BARE = _accents()
+def _folds() -> tuple[str, str]:
+    """Letters and what the index has for them, then the marks that it drops: those that compose with ASCII letters.
+
+    A letter that decomposes into an ASCII letter and one mark is that letter; any other is its case folding, where that
+    is one letter. Letters with several marks, and other scripts' letters with marks, stay as they are.
+    """
+    pairs, marks = {}, set()
+    for code in range(0x80, 0x20000):
+        ch = chr(code)
+        if unicodedata.category(ch) not in ("Lu", "Ll", "Lt"):
+            continue
+        parts = unicodedata.decomposition(ch).split()
+        if len(parts) == 2 and parts[0][0] != "<" and int(parts[0], 16) < 0x80:
+            pairs[ch] = chr(int(parts[0], 16)).lower()
+            if unicodedata.category(chr(int(parts[1], 16))) == "Mn":
+                marks.add(chr(int(parts[1], 16)))
+        else:
+            lower = ch.lower() if len(ch.lower()) == 1 else ch
+            marked = len(unicodedata.decomposition(lower).split()) == 2 and not unicodedata.decomposition(lower).startswith("<")
+            same = lower.casefold() if not marked or ch == "\u1e9b" else lower
+            if len(same) == 1 and same != ch:
+                pairs[ch] = same
+            elif lower != ch:
+                pairs[ch] = lower
+    for ch, to in list(pairs.items()):  # what a letter becomes may be a letter to fold itself
+        pairs[ch] = pairs.get(to, to)
+    gone = "".join(sorted(marks))
+    return "".join(pairs) + gone, "".join(pairs.values())
+
+
+#: ``FOLDED`` is longer than ``FOLDS_TO``: translation drops what has no counterpart, the marks.
+FOLDED, FOLDS_TO = _folds()
 
 
 def fold(text: Column) -> Column:
     """Lower case without accents."""
-    return F.translate(F.lower(text), ACCENTED, BARE)
+    return F.translate(F.lower(text), FOLDED, FOLDS_TO)
 
 
 def present(values: Column) -> Column:
@@ -36,7 +57,7 @@ def present(values: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Index tokens: folded runs of letters and numbers; an underscore separates."""
+    """Index tokens: folded runs of letters, numbers and private characters; an underscore separates."""
     return present(F.split(fold(F.coalesce(text, F.lit(""))), NOT_TOKEN))
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import schema as C
-from .functions.text import ACCENTED, BARE
+from .functions.text import FOLDED, FOLDS_TO
 
 
 def _words(x: str) -> str:
@@ -11,7 +11,7 @@ def _words(x: str) -> str:
 
 
 def _tokens(x: str) -> str:
-    return rf"list_filter(string_split(regexp_replace(translate(lower({x}), '{ACCENTED}', '{BARE}'), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '')"
+    return rf"list_filter(string_split(regexp_replace(translate(lower({x}), '{FOLDED}', '{FOLDS_TO}'), '[^\p{{L}}\p{{N}}\p{{Co}}]+', ' ', 'g'), ' '), lambda w: w <> '')"
 
 
 def _quoted(names) -> str:

@@ -30,6 +30,7 @@ from .plans import views as G
 from .sources import importer as M
 from .sources.cut import checkpoint, new_folder
 from .sources.ship import ship
+from .sources import markdown_tree as T
 from .sources.tables import paths_of
 
 QUERIES: dict = {}
@@ -225,6 +226,19 @@ def tokenize_fts(spark, d):
     return t.select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 
+#: Letters of the texts, and letters of other scripts, with marks and of several cases, that stand for them.
+SCRIPT_FROM = "aeiounrstlTIE"
+SCRIPT_TO = "άЁїǖҝñßἁŢŁΣİΈ"
+
+
+@query(RAW + f", r2 AS (SELECT doc_id, regexp_replace(translate(text, '{SCRIPT_FROM}', '{SCRIPT_TO}'), 'd', 'e' || chr(769), 'g') AS text FROM raw) SELECT doc_id, len({O._tokens('text')})::BIGINT AS n, md5(array_to_string({O._tokens('text')}, ' ')) AS digest FROM r2")
+def tokenize_scripts(spark, d):
+    """Tokens of the texts in other scripts: accented Greek and Cyrillic stay, Latin letters lose single marks, combining marks go."""
+    other = F.regexp_replace(F.translate("text", SCRIPT_FROM, SCRIPT_TO), "d", "e\u0301")
+    t = raw(spark, d).withColumn("t", X.tokens(other))
+    return t.select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", " ")).alias("digest"))
+
+
 TERMED = O.with_(O.CORPUS, O.TERMS)
 
 
@@ -817,7 +831,21 @@ def import_paths(spark, d):
     return p.select("page_id", M.target_path(F.regexp_extract("url", r"^[a-z]+://([^?#]*)", 1), F.col("url")).alias("path"))
 
 
-@query()
+_PLAIN = "trim(regexp_replace(line, '[^\\p{L}\\p{N} .,]+', ' ', 'g'))"
+_PARTS = f"""l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS line FROM raw),
+c AS (SELECT doc_id, i, CASE WHEN {_PLAIN} = '' THEN 'x' || i ELSE {_PLAIN} END AS line FROM l),
+e AS (SELECT doc_id, i, i // 5 AS part, CASE i % 5 WHEN 2 THEN '```' || chr(10) || '# ' || line || chr(10) || '```' ELSE line END AS element FROM c),
+s AS (SELECT doc_id, part + 1 AS ordinal, max(line) FILTER (i % 5 = 0) AS heading, 2 AS level, coalesce(string_agg(element, chr(10) || chr(10) ORDER BY i) FILTER (i % 5 > 0), '') AS body FROM e JOIN c USING (doc_id, i) GROUP BY doc_id, part
+  UNION ALL SELECT doc_id, max(i) // 5 + 2, 'Tail', 1, '' FROM l WHERE doc_id % 10 = 3 GROUP BY doc_id),
+a AS (SELECT *, {O._anchor("heading")} AS mark FROM s)"""
+
+
+@query(RAW + f", {_PARTS} SELECT doc_id, ordinal::INT AS ordinal, heading, mark || CASE WHEN k > 1 THEN '-' || (k - 1) ELSE '' END AS anchor, level, md5(body) AS body FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, mark ORDER BY ordinal) AS k FROM a)")
 def markdown_parse(spark, d):
-    """Texts as Markdown: each line of a text is a paragraph under a heading; the parser finds the headings again."""
-    return M.parsed_texts(raw(spark, d))
+    """The sections of texts written as Markdown: each fifth line a heading, one in fenced code, all others paragraphs; each tenth text ends with an underlined heading."""
+    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(F.trim(F.regexp_replace(x, "[^\\p{L}\\p{N} .,]+", " ")).alias("line"), i.alias("i")))
+    named = F.transform(lines, lambda x: F.struct(F.when(x["line"] == "", F.concat(F.lit("x"), x["i"].cast("string"))).otherwise(x["line"]).alias("line"), x["i"].alias("i")))
+    element = F.transform(named, lambda x: F.when(x["i"] % 5 == 0, F.concat(F.lit("## "), x["line"])).when(x["i"] % 5 == 2, F.concat(F.lit("```\n# "), x["line"], F.lit("\n```"))).otherwise(x["line"]))
+    tail = F.when(F.col("doc_id") % 10 == 3, "\n\nTail\n====").otherwise("")
+    found = T.sections_of(raw(spark, d).select("doc_id", F.concat(F.array_join(element, "\n\n"), tail).alias("body")), "body")
+    return found.select("doc_id", F.explode("sections").alias("s")).select("doc_id", "s.ordinal", "s.heading", "s.anchor", "s.level", F.md5("s.body").alias("body"))

@@ -161,21 +161,3 @@ def import_files(spark: SparkSession, folder: str, include: list[str] | None = N
     plain = f.filter(~F.lower("path").rlike(r"\.html?$")).select("path", "modificationTime", F.when(F.lower("path").endswith(".txt"), F.concat(F.lit("# "), F.regexp_replace(name, r"\.[^.]*$", ""), F.lit("\n\n"), "text")).otherwise(F.col("text")).alias("markdown"))
     made = as_html.unionByName(plain).unionByName(docx_to_markdown(every.filter(word)))
     return made.select(relative_target(rel, F.col("modificationTime") if versioned else None, prefix).alias("target"), F.col("path").alias("source_path"), F.concat(header(name, rel, F.date_format("modificationTime", "yyyy-MM-dd")), "markdown").alias("markdown"))
-
-
-def parsed_texts(texts: DataFrame) -> DataFrame:
-    """doc_id, headings, anchors, sections of texts read as Markdown, each line a paragraph, every fifth one a heading."""
-    from ..functions import markdown as M
-
-    ship(texts.sparkSession)
-
-    def run(batches):
-        for b in batches:
-            rows = []
-            for t in b.column(1).to_pylist():
-                body = "\n\n".join(f"## {x}" if i % 5 == 0 else x for i, x in enumerate((t or "").split("\n")))
-                a = M.analyze("wiki/x.md", body)
-                rows.append((len(a.headings), len(a.anchors), len(M.sections(body))))
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]], names=["doc_id", "headings", "anchors", "sections"])
-
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, headings long, anchors long, sections long")

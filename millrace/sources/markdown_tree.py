@@ -11,12 +11,14 @@ import re
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import markdown as M
 from ..functions import text as X
+from ..functions.sections import with_sections
 from ..operators.corpus import Corpus, resolve_links
 
 #: Files that a task holds parsed at once.
@@ -87,8 +89,51 @@ def parse_file(path: str, kind: str, content: bytes) -> dict:
     return row
 
 
+def sections_of(texts: DataFrame, body: str) -> DataFrame:
+    """``texts`` with the sections of a text column: made in the JVM where lines settle them, by the parser for the rest."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    from .ship import ship
+
+    ship(texts.sparkSession)
+    out = T.StructType([*texts.schema.fields, T.StructField("sections", T.ArrayType(_SECTION))])
+    schema, place = to_arrow_schema(out), texts.columns.index(body)
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(b.filter(b.column("settled")).columns, schema, strict=False)], schema=schema)
+            rest = b.filter(pc.invert(b.column("settled")))
+            made = pa.array([[vars(s) for s in M.sections(t or "")] for t in rest.column(place).to_pylist()], schema.field("sections").type)
+            yield pa.RecordBatch.from_arrays([*[c.cast(f.type) for c, f in zip(rest.columns[:-2], schema, strict=False)], made], schema=schema)
+
+    return with_sections(texts, body).select(*texts.columns, "sections", "settled").mapInArrow(run, out)
+
+
+def settled_sources(markdown: DataFrame) -> DataFrame:
+    """Files with ``settled``, the columns of ``PARSED`` where that holds, and their contents where it doesn't: pages, and sources that need the parser."""
+    source = F.col("kind") == "source"
+    told = with_sections(markdown.select("path", "kind", "content", F.when(source, F.make_valid_utf8(F.col("content").cast("string"))).alias("body")), "body")
+    # Bytes that aren't UTF-8, and files without a name before the dot, are the parser's.
+    settled = source & F.col("settled") & ~F.col("body").contains("\ufffd") & ~F.element_at(F.split("path", "/"), -1).startswith(".")
+    headed = F.filter("sections", lambda s: s["heading"].isNotNull())
+    top = F.filter(headed, lambda s: s["level"] == 1)
+    title = F.coalesce(F.get(top, F.lit(0))["heading"], F.get(headed, F.lit(0))["heading"], X.title_words(X.basename(F.col("path"))))
+    given = {
+        "path": F.col("path"), "kind": F.col("kind"), "id": X.source_id(F.col("path")), "title": title, "summary": F.lit(""), "modified_date": F.lit(""), "hash": F.sha2("content", 256),
+        "sum_hash": F.sha2(F.encode(F.replace("body", F.lit("\r\n"), F.lit("\n")), "UTF-8"), 256), "size_bytes": F.octet_length("content").cast("long"), "body": F.col("body"), "sections": F.col("sections"),
+        "anchors": F.array_sort(F.array_distinct(F.transform(headed, lambda s: s["anchor"]))), **{c: F.array() for c in ("faults", "tags", "sources", "links")},
+    }
+    whole = told.withColumn("settled", F.coalesce(settled, F.lit(False)))
+    kept = [F.when(F.col("settled"), given[f.name]).cast(f.dataType).alias(f.name) if f.name in given and f.name not in ("path", "kind") else given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in PARSED.fields]
+    return whole.select(*kept, "settled", F.when(~F.col("settled"), F.col("content")).alias("content"))
+
+
 def parse(markdown: DataFrame) -> DataFrame:
-    """One row for each file; everything that is derived from a file's text is derived here, once."""
+    """One row for each file; everything that is derived from a file's text is derived here, once.
+
+    Sources whose sections lines alone settle are made in the JVM and pass through; pages, with their frontmatter and
+    links, and other sources are parsed.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     from .ship import ship
@@ -98,13 +143,15 @@ def parse(markdown: DataFrame) -> DataFrame:
 
     def run(batches):
         for whole in batches:
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(whole.filter(whole.column("settled")).columns, schema, strict=False)], schema=schema)
+            left = whole.filter(pc.invert(whole.column("settled"))).select(["path", "kind", "content"])
             # A few files at a time are decoded and parsed.
-            for at in range(0, whole.num_rows, FILES):
-                b = whole.slice(at, FILES)
+            for at in range(0, left.num_rows, FILES):
+                b = left.slice(at, FILES)
                 rows = [parse_file(p, k, c) for p, k, c in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)]
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return markdown.select("path", "kind", "content").mapInArrow(run, PARSED)
+    return settled_sources(markdown.select("path", "kind", "content")).mapInArrow(run, PARSED)
 
 
 @dataclass(frozen=True)
