@@ -65,9 +65,9 @@ def pages(parsed: DataFrame) -> DataFrame:
     prefixed = lambda col, p: F.filter(col, lambda x: x.startswith(p))
     cited = F.transform("citations", lambda r: r["path"])
     refs = wiki.select("path", F.explode(F.concat("link_refs", "source_refs", "citations")).alias("r")).select("path", F.col("r.path").alias("to"), F.col("r.anchor").alias("anchor")).distinct()
-    known = parsed.select(F.col("path").alias("to")).distinct()
-    anchors = parsed.select(F.col("path").alias("to"), F.explode("anchors").alias("anchor")).distinct()
-    markdown = refs.filter(F.lower("to").endswith(".md"))
+    # References meet their target once: a file's row has all its anchors.
+    targets = parsed.select(F.col("path").alias("to"), F.coalesce("anchors", F.array().cast("array<string>")).alias("anchors"))
+    met = refs.filter(F.lower("to").endswith(".md")).join(targets, "to", "left")
     target = F.concat("to", F.when(F.col("anchor") != "", F.concat(F.lit("#"), "anchor")).otherwise(""))
     rules = [
         fault(parsed.filter(F.col("error").isNotNull()), "parse", detail=F.col("error")),
@@ -77,8 +77,8 @@ def pages(parsed: DataFrame) -> DataFrame:
         fault(wiki, "links", X.sorted_unique(prefixed("body_links", "wiki/")) != X.sorted_unique(F.col("links"))),
         fault(wiki, "sources_section", ~F.col("has_sources") | F.exists("body_sources", lambda x: ~x.startswith("sources/"))),
         fault(wiki, "sources", X.sorted_unique(F.concat("body_sources", cited)) != X.sorted_unique(F.col("sources"))),
-        fault(markdown.join(known, "to", "left_anti"), "missing_target", detail=target),
-        fault(markdown.filter("anchor != ''").join(known, "to", "left_semi").join(anchors, ["to", "anchor"], "left_anti"), "missing_anchor", detail=target),
+        fault(met, "missing_target", F.col("anchors").isNull(), detail=target),
+        fault(met, "missing_anchor", (F.col("anchor") != "") & ~F.array_contains("anchors", F.col("anchor")), detail=target),
         duplicates(wiki, "id", "path", "unique_id"),
     ]
     return reduce(DataFrame.unionByName, rules)

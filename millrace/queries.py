@@ -831,6 +831,49 @@ def import_paths(spark, d):
     return p.select("page_id", M.target_path(F.regexp_extract("url", r"^[a-z]+://([^?#]*)", 1), F.col("url")).alias("path"))
 
 
+# Pages with planted faults: by their numbers, each rule that reads parsed Markdown finds its own.
+_FAULTY = """f AS (SELECT doc_id AS k, CASE WHEN doc_id % 4 = 0 THEN 'sources/n' ELSE 'wiki/n' END || doc_id || '.md' AS path, len(string_split(text, chr(10))) AS n FROM raw),
+w AS (SELECT *, EXISTS (SELECT 1 FROM f t WHERE t.k = f.k + 1) AND (k + 1) % 4 <> 0 AS next FROM f WHERE k % 4 <> 0)"""
+
+
+@query(RAW + f""", {_FAULTY}
+SELECT 'title_heading' AS rule, path, 'Other' || k AS detail FROM w WHERE k % 13 = 5
+UNION ALL SELECT 'links', path, '' FROM w WHERE k % 11 = 2 AND (next OR k % 17 = 3)
+UNION ALL SELECT 'missing_target', path, 'wiki/gone' || k || '.md' FROM w WHERE k % 17 = 3
+UNION ALL SELECT 'missing_anchor', path, 'wiki/n' || (k + 1) || '.md#nowhere' FROM w WHERE k % 19 = 4 AND next
+UNION ALL SELECT 'missing_anchor', path, 'sources/n' || (k - k % 4) || '.md#one-1' FROM w WHERE k % 31 = 8
+UNION ALL SELECT 'body_lines', path, (14 + n + CASE WHEN k % 29 = 7 THEN -4 ELSE 0 END + CASE WHEN next THEN 2 ELSE 0 END + CASE WHEN k % 17 = 3 THEN 2 ELSE 0 END + CASE WHEN k % 19 = 4 AND next THEN 2 ELSE 0 END + CASE WHEN k % 31 = 8 THEN 2 ELSE 0 END + CASE WHEN k % 23 = 6 THEN 400 ELSE 0 END)::VARCHAR
+  FROM w WHERE 14 + n + CASE WHEN k % 29 = 7 THEN -4 ELSE 0 END + CASE WHEN next THEN 2 ELSE 0 END + CASE WHEN k % 17 = 3 THEN 2 ELSE 0 END + CASE WHEN k % 19 = 4 AND next THEN 2 ELSE 0 END + CASE WHEN k % 31 = 8 THEN 2 ELSE 0 END + CASE WHEN k % 23 = 6 THEN 400 ELSE 0 END > 400
+UNION ALL SELECT 'sources_section', path, '' FROM w WHERE k % 29 = 7
+UNION ALL SELECT 'sources', path, '' FROM w WHERE k % 29 = 7 AND k % 31 <> 8
+UNION ALL SELECT 'frontmatter', path, 'summary is required' FROM w WHERE k % 37 = 9
+UNION ALL SELECT 'frontmatter', path, 'more than 5 tags' FROM w WHERE k % 41 = 10""")
+def page_faults(spark, d):
+    """Every rule on parsed pages, over pages made of the texts: what is found is what was planted."""
+    t = raw(spark, d).withColumnRenamed("doc_id", "k")
+    after = t.select((F.col("k") - 1).alias("k"), F.lit(True).alias("there"))
+    t = t.join(after, "k", "left").withColumn("next", F.coalesce("there", F.lit(False)) & ((F.col("k") + 1) % 4 != 0))
+    n, up = F.col("k").cast("string"), (F.col("k") + 1).cast("string")
+    source = F.concat(F.lit("n"), (F.col("k") - F.col("k") % 4).cast("string"), F.lit(".md"))
+    every = lambda m, r: F.col("k") % m == r
+    part = lambda test, *of: F.when(test, F.concat(*[F.lit(x) if isinstance(x, str) else x for x in of])).otherwise("")
+    prose = F.array_join(F.transform(F.split("text", "\n", -1), lambda x: F.concat(F.lit("x"), F.regexp_replace(x, "[^A-Za-z ]", ""))), "\n")
+    links = F.array_compact(F.array(F.when(F.col("next"), F.concat(F.lit("wiki/n"), up, F.lit(".md"))), F.when(every(17, 3), F.concat(F.lit("wiki/gone"), n, F.lit(".md")))))
+    quoted = F.to_json(F.when(every(11, 2), F.array().cast("array<string>")).otherwise(links))
+    front = F.concat(
+        F.lit("---\ntitle: N"), n, F.when(every(37, 9), "\nsummary: ''").otherwise("\nsummary: s"), F.when(every(41, 10), "\ntags: [a, b, c, d, e, f]").otherwise("\ntags: [a]"), F.lit("\ncorpus:\n  id: doc_"), F.md5(n),
+        F.lit("\n  schema: document-v1\n  kind: wiki\n  modified_date: '2026-01-01'\n  sources: ['sources/"), source, F.lit("']\n  links: "), quoted, F.lit("\n---\n\n"),
+    )
+    body = F.concat(
+        F.lit("# "), F.when(every(13, 5), "Other").otherwise("N"), n, F.lit("\n\n## One\n\n## Two\n\n"), prose, F.lit("\n\n"), part(F.col("next"), "[next](n", up, ".md)\n\n"), part(every(17, 3), "see [gone](./gone", n, ".md)\n\n"),
+        part(every(19, 4) & F.col("next"), "and [part](../wiki/n", up, ".md#nowhere)\n\n"), part(every(31, 8), "cited [source: ../sources/", source, "#one-1]\n\n"), part(~every(29, 7), "## Sources\n\n- [s](../sources/", source, ")\n\n"),
+        F.lit("## End\n\n"), F.when(every(23, 6), F.repeat(F.lit("y\n"), 400)).otherwise(""), F.lit("last\n"),
+    )
+    wiki = F.col("k") % 4 != 0
+    files = t.select(F.concat(F.when(wiki, "wiki/n").otherwise("sources/n"), n, F.lit(".md")).alias("path"), F.when(wiki, "wiki").otherwise("source").alias("kind"), F.encode(F.when(wiki, F.concat(front, body)).otherwise(F.concat(F.lit("# S\n\n## One\n\n"), prose)), "UTF-8").alias("content"))
+    return V.pages(checkpoint(T.parse(files)))
+
+
 _PLAIN = "trim(regexp_replace(line, '[^\\p{L}\\p{N} .,]+', ' ', 'g'))"
 _PARTS = f"""l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS line FROM raw),
 c AS (SELECT doc_id, i, CASE WHEN {_PLAIN} = '' THEN 'x' || i ELSE {_PLAIN} END AS line FROM l),
