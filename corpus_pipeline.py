@@ -62,9 +62,11 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     keyed = rows.withColumn("key", F.struct(F.col(own.id).isNull().alias("late"), least.alias("id"), content.alias("hash")))
     groups = jaccard_join.jaccard_components(keyed, id_col="key", text_col=own.text)
     stays = groups.filter(F.col("key") == F.col("component_id")).groupBy("key").agg(F.max("n_shingles").alias("n"))
-    # Equal rows have one key: of those with shingles the first stays.
-    turn = F.row_number().over(Window.partitionBy("key").orderBy("n"))
-    return own.back(keyed.join(stays, "key").withColumn("turn", turn).filter((F.col("turn") == 1) | (F.col("n") == 0)))
+    # Equal rows have one key: of those with shingles the first stays, a limit that runs before the rows meet. Rows
+    # without shingles are told apart, so that however many equal ones there are, they don't meet at all.
+    told = keyed.join(stays, "key").withColumn("lone", F.when(F.col("n") == 0, F.monotonically_increasing_id()))
+    turn = F.row_number().over(Window.partitionBy("key", "lone").orderBy("n"))
+    return own.back(told.withColumn("turn", turn).filter(F.col("turn") == 1))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
