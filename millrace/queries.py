@@ -26,6 +26,7 @@ from .plans import changelog as L
 from .plans import generated as N
 from .plans import segments as E
 from .plans import snapshot as D
+from .plans import tables as B
 from .plans import views as G
 from .sources import importer as M
 from .sources.cut import checkpoint, new_folder
@@ -762,6 +763,28 @@ def upsert_snapshot(spark, d):
     return D.upsert(docs.select("path", "title"), updates.unionByName(inserts), docs.filter(number % 10 == 7).select("path"))
 
 
+@query(ORACLES["upsert_snapshot"])
+def table_upsert(spark, d):
+    """The same on a table of files, of which only those with touched keys are rewritten."""
+    docs, path = corpus(spark, d).documents, new_folder(spark, "table")
+    number = F.regexp_extract("path", r"-(\d+)\.md$", 1).cast("long")
+    B.create(spark, docs.select("path", "title"), path)
+    gone = docs.filter(number % 10 == 7)
+    B.upsert(spark, path, docs.filter(number % 10 == 3).select("path", F.concat(F.lit("updated: "), "title").alias("title")), gone)
+    B.upsert(spark, path, gone.select(F.concat(F.lit("wiki/new-"), number.cast("string"), F.lit(".md")).alias("path"), F.lit("new").alias("title")))
+    return B.read(spark, path)
+
+
+@query(BASE + ", one AS (SELECT min(source_path) AS f FROM cits) SELECT path, array_to_string(list_filter(sources, lambda x: x <> f), '|') AS sources, CASE WHEN list_contains(sources, f) THEN '2026-06-01' ELSE modified_date END AS modified_date FROM docs, one WHERE path <> f AND NOT (len(sources) = 1 AND sources[1] = f)")
+def table_cascade(spark, d):
+    """A table of files after the deletion of the first cited source and of what hangs on it."""
+    c, path = corpus(spark, d), new_folder(spark, "table")
+    first = c.citations.agg(F.min("source_path")).first()[0]  # the argument of the operation
+    B.create(spark, c.documents, path)
+    B.cascade(spark, path, first, "2026-06-01")
+    return B.read(spark, path).select("path", joined("sources").alias("sources"), "modified_date")
+
+
 @query(BASE + "SELECT path, CASE WHEN doc_id % 11 = 0 THEN 'removed' WHEN doc_id % 13 = 0 THEN 'changed' END AS change FROM docs WHERE doc_id % 11 = 0 OR doc_id % 13 = 0")
 def freshness_changes(spark, d):
     docs = corpus(spark, d).documents.select("path", "hash")
