@@ -8,10 +8,12 @@ each host, without alternatives.
 
 What is main text. The wrapper decides for all pages of its host, by what its slots have held: a text that is the
 same on all pages that have it, on half of the host's pages and on ``ENOUGH`` of different content at least, is
-template, wherever it stands, unless another text of its block isn't. Of the other texts, those of the densest region are main: the smallest box
+template, wherever it stands, unless another text of its block isn't, or it is a heading or caption in the region and
+its box has varying text too. Of the other texts, those of the densest region are main: the smallest box
 that holds ``DENSE`` of the host's varying text, links not counted; an article or main element is
 taken for it if it holds ``SOME`` of that text. Inside it go navigation, headers, footers, asides, forms and the like,
-and boxes whose class, id or role names nothing but such things, unless they hold most of the varying text.
+boxes whose class, id or role names nothing but such things, unless they hold most of the varying text, and what is
+marked as readers' comments, however long it is.
 A page is read by aligning its stream with its host's wrapper. Hosts with fewer pages of different content have no
 evidence: there each page is decided by its own texts in the same way, and nothing is template.
 
@@ -55,8 +57,12 @@ INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del",
 OUT = {"nav", "header", "footer", "aside", "form", "button", "select", "head", "menu", "dialog", *RAW}
 #: Words of classes, ids and roles for things without main text, and words that say nothing either way.
 OUT_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "legal", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "popup", "promo", "related", "reply", "respond", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
+#: Those of them that name what readers say: such a box stays out however long it is.
+TALK_WORDS = {"comment", "comments", "disqus", "reply", "respond"}
 PLAIN_WORDS = {"area", "bar", "block", "bottom", "box", "button", "buttons", "container", "group", "inner", "item", "items", "left", "link", "links", "list", "main", "outer", "page", "posts", "primary", "right", "section", "secondary", "site", "text", "top", "wrap", "wrapper"}
 MAIN, MAIN_MARKS = {"article", "main"}, {"article", "main", "article-body", "articlebody", "article-content", "post-content", "post-body", "entry-content", "main-content", "maincontent"}
+#: Elements whose fixed text belongs to the varying text that stands beside it in the same box.
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "caption", "figcaption", "dt", "th"}
 #: Elements that can be the region of the main text.
 BOXES = {"html", "body", "div", "section", "main", "article", "center", "table", "tbody", "tr", "td"}
 #: Shares of the varying text that make a box the region, and an article or main element.
@@ -71,13 +77,16 @@ BROADCAST = 32 << 20
 CELLS = 1 << 28
 
 
-def out_mark(marks: str) -> bool:
-    """Whether a class, id or role names nothing but things without main text."""
+def out_mark(marks: str) -> str:
+    """``.out`` where a class, id or role names nothing but things without main text, ``.talk`` where that is what readers say."""
+    found = ""
     for name in marks.split():
         words = [w for w in re.split(r"[^a-z]+", name) if w]
         if not OUT_WORDS.isdisjoint(words) and all(w in OUT_WORDS or w in PLAIN_WORDS for w in words):
-            return True
-    return False
+            if not TALK_WORDS.isdisjoint(words):
+                return ".talk"
+            found = ".out"
+    return found
 
 
 def tokens_of(page: str | None) -> list[tuple[str, str]]:
@@ -108,7 +117,7 @@ def tokens_of(page: str | None) -> list[tuple[str, str]]:
             skip = name
             continue
         marks = " ".join("".join(g) for g in MARKS.findall(m.group(3) or m.group(6) or "")).lower()
-        mark = "" if not marks else ".main" if not MAIN_MARKS.isdisjoint(marks.split()) else ".out" if out_mark(marks) else ""
+        mark = "" if not marks else ".main" if not MAIN_MARKS.isdisjoint(marks.split()) else out_mark(marks)
         out.append((f"<{name}{mark}", ""))
     return out
 
@@ -388,7 +397,9 @@ def boxes(symbols: list[tuple[str, bool]]) -> tuple[list[tuple[str, str, bool, i
 
 
 def barred(opened: list, path: tuple[int, ...]) -> bool:
-    """Whether an element without main text stands around; the header of an article is its own."""
+    """Whether an element without main text stands around, or what readers say; the header of an article is its own."""
+    if any(opened[k][1] == "talk" and opened[k][0] not in {"html", "body", *MAIN} for k in path):
+        return True
     return any(opened[k][0] in OUT and not (opened[k][0] == "header" and any(opened[j][0] in MAIN or opened[j][1] == "main" for j in path[:i])) for i, k in enumerate(path))
 
 
@@ -580,7 +591,20 @@ def decided(wrapper: str, n: int, contents: list[int]) -> tuple[list[str], list[
                 for j in block:
                     template[j] = False
             block = []
-    return [kind(s) for s, _ in symbols], *decide(symbols, letters, template, True)
+    main, region = decide(symbols, letters, template, True)
+    # A heading that many articles share is theirs where it stands beside their own text: only a box that is fixed as a
+    # whole, or a list of links, is template with its heading.
+    opened, paths = boxes(symbols)
+    own = {k for (s, _), t, p in zip(symbols, template, paths, strict=True) if s[0] == "#" and not t and not any(opened[j][0] == "a" for j in p) for k in p}
+    inside = {k for k, (_, _, _, leaf) in enumerate(opened) if leaf in region}
+    again = list(template)
+    for i, p in enumerate(paths):
+        box = [k for k in p if opened[k][0] not in INLINE | HEADINGS]
+        if template[i] and box and box[-1] in own and not (inside and inside.isdisjoint(p)) and any(opened[k][0] in HEADINGS for k in p) and not any(opened[k][0] == "a" for k in p):
+            again[i] = False
+    if again != template:
+        main, region = decide(symbols, letters, again, True)
+    return [kind(s) for s, _ in symbols], main, region
 
 
 FIELDS = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])

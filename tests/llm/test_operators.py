@@ -461,6 +461,23 @@ def test_html_copies_keep_their_text(spark):
     assert all("same listing" in got[k] for k in range(9)) and got[20].startswith("U0 other0")
 
 
+def test_html_keeps_headings_that_articles_share(spark):
+    """Subheadings and captions beside an article's own text are its text on every page; a fixed box with its heading isn't."""
+    page = lambda k: f"<body><div><h3>Menu</h3><a href=/>home</a></div><article><h1>Title {k}</h1><p>{f'text{k} of this page ' * 12}</p><h2>Background</h2><p>{f'more{k} words here ' * 9}</p><div class=x1><h4>Join us</h4><p>Every week</p></div><h2>References</h2><p>ref {k}</p></article></body>"
+    for tag in ("article", "div"):
+        rows = [(k, "http://h.example/", page(k).replace("article>", f"{tag}>")) for k in range(5)]
+        got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, PAGES)).collect()}
+        for k in range(5):
+            assert got[k] == f"Title {k} " + f"text{k} of this page " * 12 + "Background " + f"more{k} words here " * 9 + f"References ref {k}"
+
+
+def test_html_comments_stay_out_however_long():
+    read = html_extraction.Reader().text
+    assert read("<article><p>a</p><div class='comments'><p>reader says hi there</p></div><p>b</p></article>") == "a b"
+    assert read(f"<main><p>short</p><section id='comment-list'>{'<p>a long discussion of it</p>' * 30}</section></main>") == "short"
+    assert read(f"<body class='comments'><p>{'the text itself ' * 9}</p></body>") == " ".join(["the text itself"] * 9)
+
+
 def test_html_odd(spark):
     rows = [(None, None, None), (1, "http://a.example", ""), (1, "http://a.example", ""), (2, "http://a.example", "<p>" * 3000), (3, "http://b.example", "<article>" + "<p>long text</p><hr>" * 20_000 + "</article>")]
     got = html_extraction.extract(spark.createDataFrame([(*r, "x", 1) for r in rows], PAGES + ", host string, text int")).collect()
