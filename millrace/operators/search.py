@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .. import schema as C
 from ..functions import text as X
 from ..functions.plain import first_path_word, first_word, fold_tokens, normalize, path_words
+from ..sources.cut import checkpoint
+from .excerpts import excerpts, fields_of
 from .index import Index
 
 TAG = re.compile(r"^[a-z0-9][a-z0-9-]{0,62}$")
@@ -298,12 +300,13 @@ STOP_WIKI = "Read recommended_sections from the top wiki pages first. Do not sca
 def search(index: Index, text: str, options: Options | None = None, digits: int | None = None) -> dict:
     """The whole pipeline; results are in ``results``."""
     query, o = parse(text), (options or Options()).checked()
-    mode, rows = "and", top(index, query, o, "and", digits).collect()
+    mode, found = "and", checkpoint(top(index, query, o, "and", digits))
+    rows = found.orderBy(*ORDER).collect()
     if falls_back(query, o, rows):
-        mode, rows = "or_fallback", top(index, query, o, "or", digits).collect()
-    from ..functions.snippet import snippet
-
-    rows = [Row(**r.asDict(), snippet=snippet([r["title"], r["path"], r["summary"], r["heading"], r["body"]], [fold_tokens(a) for a in query.atoms])) for r in rows]
+        mode, found = "or_fallback", checkpoint(top(index, query, o, "or", digits))
+        rows = found.orderBy(*ORDER).collect()
+    shown = {r["section_id"]: r["snippet"] for r in excerpts(fields_of(found), [fold_tokens(a) for a in query.atoms]).collect()}
+    rows = [Row(**r.asDict(), snippet=shown.get(r["section_id"], "")) for r in rows]
     rows = rerank(rows, query.terms)
     kind = "source" if o.kind == "source" or not any(r["kind"] == "wiki" for r in rows) else "wiki"
     paths = read_order(rows, kind, query.terms)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import schema as C
 from .functions.text import FOLDED, FOLDS_TO
+from .operators.excerpts import WORD
 
 
 def _words(x: str) -> str:
@@ -124,6 +125,33 @@ lexed AS (SELECT f.*, -({part}) AS lex FROM f, seen, stat WHERE {match}),
 hits AS (SELECT *, {_round("lex", digits)} AS lexical_score, {_round("(" + score + ")", digits)} AS score, (kind <> 'wiki')::INT AS not_wiki FROM lexed)"""
 
 
+def excerpts(phrases: list[list[str]]) -> str:
+    """CTE excerpt(section_id, snippet) of the sections in ``hits``: windows of 16 tokens, by scores over positions."""
+    number = range(len(phrases))
+    at = ", ".join("(" + " AND ".join(f"coalesce(lead(token, {j}) OVER w, '') = '{t}'" for j, t in enumerate(p)) + f")::INT AS a{i}" for i, p in enumerate(phrases))
+    ends = [f"CASE WHEN a{i} = 1 THEN pos + {len(p)} END" for i, p in enumerate(phrases)]
+    score = " + ".join(f"sum(a{i}) OVER f + 999 * max(a{i}) OVER f" for i in number)
+    return rf"""
+xf AS (SELECT section_id, unnest(range(8)) AS field, unnest([d.title, s.path, d.summary, array_to_string(d.tags, ' '), array_to_string(d.sources, ' '), array_to_string(d.links, ' '), coalesce(s.heading, ''), s.body]) AS text
+  FROM (SELECT section_id FROM hits) JOIN secs s USING (section_id) JOIN docs d ON d.id = s.document_id),
+xw AS (SELECT section_id, field, regexp_extract_all(text, '{WORD}') AS words, string_split_regex(text, '{WORD}') AS gaps FROM xf),
+xt AS (SELECT section_id, field, len(words) AS n, gaps[-1] AS tail, unnest(range(len(words))) AS pos, unnest(words) AS word, unnest(gaps[1:len(words)]) AS gap FROM xw),
+xa AS (SELECT *, {at} FROM (SELECT *, translate(lower(word), '{FOLDED}', '{FOLDS_TO}') AS token FROM xt) WINDOW w AS (PARTITION BY section_id, field ORDER BY pos)),
+xe AS (SELECT *, greatest({", ".join(ends)}) AS far, coalesce({", ".join(ends[::-1])}) AS final FROM xa),
+xs AS (SELECT *, {score} AS score, last_value(final IGNORE NULLS) OVER f AS until, coalesce(max(far) OVER b, 0) AS past, max(far) OVER u AS reach, pos = 0 OR regexp_matches(gap, '[.:][ 	
+
+]+$') AS opens
+  FROM xe WINDOW f AS (PARTITION BY section_id, field ORDER BY pos ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING), b AS (PARTITION BY section_id, field ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), u AS (PARTITION BY section_id, field ORDER BY pos)),
+xr AS (SELECT *, CASE WHEN reach > pos THEN max(CASE WHEN far IS NOT NULL AND past <= pos THEN pos END) OVER u END AS run, max(CASE WHEN opens THEN pos END) OVER u AS sentence FROM xs WINDOW u AS (PARTITION BY section_id, field ORDER BY pos)),
+xc AS (SELECT section_id, field, pos, 1 AS first, score, greatest(0, least(pos - trunc((16 - until + pos) / 2)::INT, n - 16)) AS start FROM xr WHERE far IS NOT NULL
+  UNION ALL SELECT a.section_id, a.field, a.pos, 0, s.score + CASE WHEN s.pos = 0 THEN 120 ELSE 100 END, s.pos FROM xr a JOIN xr s ON s.section_id = a.section_id AND s.field = a.field AND s.pos = a.sentence WHERE a.far IS NOT NULL AND a.n > 16 AND s.pos < a.pos),
+xb AS (SELECT section_id, field, start FROM xc QUALIFY row_number() OVER (PARTITION BY section_id ORDER BY score DESC, field, pos, first DESC) = 1),
+xn AS (SELECT *, lead(run) OVER (PARTITION BY section_id, field ORDER BY pos) AS next FROM xr),
+excerpt AS (SELECT section_id, CASE WHEN any_value(start) > 0 THEN '...' ELSE '' END || string_agg(CASE WHEN start > 0 AND pos = start THEN '' ELSE gap END || CASE WHEN run >= start AND run = pos THEN '<<' ELSE '' END || word
+  || CASE WHEN run >= start AND (pos = start + 15 OR next IS DISTINCT FROM run) THEN '>>' ELSE '' END, '' ORDER BY pos) || CASE WHEN any_value(start) + 16 >= any_value(n) THEN any_value(tail) ELSE '...' END AS snippet
+  FROM xn JOIN xb USING (section_id, field) WHERE pos BETWEEN start AND start + 15 GROUP BY section_id)"""
+
+
 ORDER = "score, lexical_score, not_wiki, path, ordinal, section_id"
 SHOWN = "section_id, path, kind, tier, heading, ordinal, lexical_score, score"
 

@@ -16,6 +16,7 @@ from .functions.markdown import unique_anchor
 from .functions.plain import fold_tokens
 from .operators import blocks as P
 from .operators import corpus as K
+from .operators import excerpts as R
 from .operators import health as H
 from .operators import index as I
 from .operators import integrity as V
@@ -23,6 +24,7 @@ from .operators import search as S
 from .operators import terms as W
 from .operators.corpus import Corpus
 from .plans import changelog as L
+from .plans import digests as J
 from .plans import generated as N
 from .plans import segments as E
 from .plans import snapshot as D
@@ -33,6 +35,7 @@ from .sources.cut import checkpoint, new_folder
 from .sources.ship import ship
 from .sources import markdown_tree as T
 from .sources.tables import paths_of
+from .streaming import scans as Q
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -540,6 +543,13 @@ def snippet(spark, d):
     return spark.createDataFrame([(r["section_id"], r["snippet"], r["target"]) for r in out], "section_id string, snippet string, target string")
 
 
+@query(searched(PHRASE, "or", "," + O.excerpts([fold_tokens(a) for a in S.parse(PHRASE).atoms]) + " SELECT section_id, snippet FROM excerpt"))
+def excerpts(spark, d):
+    """The excerpts of all sections that match, not only of those that a search would show."""
+    query = S.parse(PHRASE)
+    return R.excerpts(R.fields_of(S.ranked(index(spark, d), query, S.Options().checked(), "or", 6)), [fold_tokens(a) for a in query.atoms])
+
+
 @query()
 def search_pipeline(spark, d):
     out = S.search(index(spark, d), THREE, S.Options(limit=20), 6)
@@ -793,6 +803,42 @@ def freshness_changes(spark, d):
     return G.changed(docs, now)
 
 
+_NODES = "SELECT path, md5(path) AS key, md5(path || chr(10) || hash) AS own FROM docs"
+
+
+@query(BASE + f"SELECT level::INT AS level, substr(key, 1, level) AS node, count(*) AS n, bit_xor(('0x' || substr(own, 1, 15))::BIGINT) AS x, bit_xor(('0x' || substr(own, 16, 15))::BIGINT) AS y FROM ({_NODES}), range(5) AS r(level) GROUP BY 1, 2")
+def digest_tree(spark, d):
+    return J.tree(corpus(spark, d).documents)
+
+
+@query(ORACLES["freshness_changes"])
+def digest_changes(spark, d):
+    """The changes of ``freshness_changes`` from two written snapshots, of which only differing ranges are read."""
+    docs = corpus(spark, d).documents.select("path", "hash")
+    number = F.regexp_extract("path", r"-(\d+)\.md$", 1).cast("long")
+    now = docs.filter(number % 11 != 0).withColumn("hash", F.when(number % 13 == 0, F.lit("other")).otherwise(F.col("hash")))
+    paths = [new_folder(spark, "digests") for _ in range(2)]
+    for rows, path in zip((docs, now), paths):
+        J.write(rows, path)
+    return J.changes(*[J.Snapshot.read(spark, path) for path in paths])
+
+
+_SCANS = """sc AS (SELECT 1 AS scan, path, hash FROM docs UNION ALL SELECT 2, path, CASE WHEN doc_id % 13 = 0 THEN 'other' ELSE hash END FROM docs WHERE doc_id % 11 <> 0 UNION ALL SELECT 3, path, hash FROM docs WHERE doc_id % 7 <> 0),
+ev AS (SELECT coalesce(b.path, a.path) AS path, coalesce(b.scan, a.scan + 1) AS scan, a.hash AS old, b.hash AS new FROM sc a FULL JOIN sc b ON a.path = b.path AND b.scan = a.scan + 1)"""
+
+
+@query(O.with_(O.CORPUS, _SCANS) + " SELECT path, CASE WHEN old IS NULL THEN 'added' WHEN new IS NULL THEN 'removed' ELSE 'changed' END AS change, scan::BIGINT AS scan FROM ev WHERE scan <= 3 AND old IS DISTINCT FROM new")
+def stream_changes(spark, d):
+    """What a stream of three scans says: documents that go and come back, and hashes that change and change back."""
+    docs = corpus(spark, d).documents.select("path", "hash")
+    number = F.regexp_extract("path", r"-(\d+)\.md$", 1).cast("long")
+    two = docs.filter(number % 11 != 0).withColumn("hash", F.when(number % 13 == 0, F.lit("other")).otherwise(F.col("hash")))
+    folder, target, state = (new_folder(spark, n) for n in ("scans", "events", "state"))
+    for k, rows in enumerate((docs, two, docs.filter(number % 7 != 0)), 1):
+        Q.publish(rows, folder, k)
+    return Q.follow(spark, folder, target, state)
+
+
 _N = "doc_id % 40"
 _SAME = "(SELECT id FROM docs WHERE doc_id % 40 = 15)"
 _BROKEN = " UNION ALL ".join(

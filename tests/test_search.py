@@ -7,7 +7,7 @@ import pytest
 
 from millrace import schema as C
 from millrace.functions.plain import fold_tokens
-from millrace.functions.snippet import snippet
+from millrace.operators import excerpts as E
 from millrace.operators import index as I
 from millrace.operators import search as S
 from millrace.operators.corpus import Corpus, facts_from_documents
@@ -118,9 +118,9 @@ def test_index_on_disk(index, spark, tmp_path):
     assert "PushedFilters: [" in plan and "EqualTo(term" in plan or "In(term" in plan
 
 
-def test_snippet():
+def test_snippet(spark):
     t = " ".join(f"w{i}" for i in range(60))
-    s = snippet([t], [fold_tokens("w30")])
+    s = E.excerpts(spark.createDataFrame([("s", 0, t)], "section_id string, field int, text string"), [fold_tokens("w30")]).first()["snippet"]
     assert s.startswith("...") and s.endswith("...") and "<<w30>>" in s and len(s.split()) == 16
 
 
