@@ -362,6 +362,10 @@ def front_faults(f: Front | None, missing_id: bool = False) -> list[str]:
     return [what for bad, what in faults if bad]
 
 
+#: The fault of a page from before pages had dates.
+DATELESS = "modified_date is required"
+
+
 def valid_date(text: str) -> bool:
     from datetime import date
 

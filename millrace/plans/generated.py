@@ -8,20 +8,24 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from datetime import date
 from itertools import zip_longest
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import markdown as M
 from ..operators import integrity as V
 from ..operators.corpus import Corpus
+from ..operators.index import Index
 from ..schema import MAX_TAGS
 from ..sources import markdown_tree as S
+from ..sources.cut import checkpoint
 from . import changelog as L
 from . import views as G
+from .freshness import ensure_fresh
 
 # The marker of a corpus tree and the heads of its generated files.
 MARKER, VERSION = "VERSION", "millrace-corpus-1"
@@ -82,10 +86,11 @@ def put(spark: SparkSession, path: str, chunks) -> None:
     folder, _, name = path.rpartition("/")
     fs, part = _fs(spark, f"{folder}/.{uuid.uuid4().hex}")
     _, to = _fs(spark, path)
-    if fs.getClass().getSimpleName() == "LocalFileSystem":
-        # Without checksum files beside it, so that other programs can write it too.
+    if fs.getUri().getScheme() == "file":
+        # Without checksum files beside it, so that other programs can write it too. Hadoop may have wrapped its file system.
+        fs = spark.sparkContext._jvm.org.apache.hadoop.fs.RawLocalFileSystem()
+        fs.initialize(part.toUri().resolve("file:///"), spark.sparkContext._jsc.hadoopConfiguration())
         fs.delete(_fs(spark, f"{folder}/.{name}.crc")[1], False)
-        fs = fs.getRawFileSystem()
     out = fs.create(part, True)
     for c in chunks:
         out.write(bytearray(c.encode()))
@@ -208,19 +213,54 @@ def check(spark: SparkSession, root: str) -> DataFrame:
     return out.distinct()
 
 
-def repair_ids(spark: SparkSession, root: str) -> list[str]:
-    """Gives pages without an id a new one; their paths. Pages are found on the executors; the few that lack one are written again."""
-    lacking = S.parse(S.markdown_files(spark, root).filter(F.col("kind") == "wiki")).filter(F.col("error").isNull() & F.col("title").isNotNull() & (F.col("id") == "")).select("path")
+def rewritten(spark: SparkSession, root: str, lacking: Column, give: Callable[[M.Front], None]) -> list[str]:
+    """Changes the frontmatter of the pages that lack something; their paths.
+
+    Pages are found on the executors and come one by one; each is written beside its place and moved there. Pages whose
+    frontmatter can't be read, or that have none, stay as they are.
+    """
+    pages = S.parse(S.markdown_files(spark, root).filter(F.col("kind") == "wiki")).filter(F.col("error").isNull() & F.col("title").isNotNull())
     done = []
-    for r in lacking.toLocalIterator():
+    for r in checkpoint(pages.filter(lacking).select("path")).toLocalIterator():
         path = f"{root}/{r['path']}"
         front, body = M.split_front("\n".join(file_lines(spark, path)) + "\n")
-        front.id = f"doc_{uuid.uuid4().hex}"
+        give(front)
         put(spark, path, [M.join_front(front, body)])
         done.append(r["path"])
     return sorted(done)
 
 
+def repair_ids(spark: SparkSession, root: str) -> list[str]:
+    """Gives pages without an id a new one; their paths."""
+    return rewritten(spark, root, F.col("id") == "", lambda front: setattr(front, "id", f"doc_{uuid.uuid4().hex}"))
+
+
+def repair_dates(spark: SparkSession, root: str, today: str) -> list[str]:
+    """Gives pages without a modified date ``today``; their paths. Dates that are there stay, wrong ones too."""
+    if not M.valid_date(today):
+        raise ValueError(f"{today!r} must be YYYY-MM-DD")
+    return rewritten(spark, root, F.col("modified_date") == "", lambda front: setattr(front, "modified_date", today))
+
+
+def indexed(spark: SparkSession, root: str, path: str, today: str | None = None) -> Index:
+    """The index at ``path`` of a tree that is sound: as it is if it is fresh, else built anew.
+
+    Pages from before pages had dates get ``today`` (by default, the current day) first, and generated files follow; a
+    tree with any other fault of paths or frontmatter isn't touched. Whatever is wrong after that is an error.
+    """
+    dateless = (F.col("rule") == "frontmatter") & (F.col("detail") == M.DATELESS)
+    found = checkpoint(check(spark, root))
+    if not found.filter(dateless).isEmpty():
+        if (first := found.filter(F.col("rule").isin("marker", "path", "frontmatter", "markdown") & ~dateless).first()) is not None:
+            raise ValueError(f"{first['path']}: {first['detail']}")
+        repair_dates(spark, root, today or date.today().isoformat())
+        write(spark, root)
+        found = check(spark, root)
+    if (first := found.first()) is not None:
+        raise ValueError(f"{first['path']}: {first['detail']}")
+    return ensure_fresh(spark, S.read_corpus(spark, root), path)
+
+
 def verify(spark: SparkSession, root: str, fix: bool = False) -> DataFrame:
     """The violations that are left after missing ids are repaired; generated files are written again then, or with ``fix``."""
     if not marker(spark, root) and not path_policy(spark, root) and (repair_ids(spark, root) or fix):

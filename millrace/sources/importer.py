@@ -7,6 +7,7 @@ import html
 import io
 import re
 import zipfile
+import zlib
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -17,8 +18,8 @@ from pyspark.sql import types as T
 from .ship import ship
 
 EXTENSIONS = (".md", ".markdown", ".mdx", ".txt", ".html", ".htm", ".docx")
-#: Files that a task holds at once, and bytes of a document's text that are read at most.
-FILES, MOST_TEXT = 64, 64 << 20
+#: Files that a task holds at once, and bytes of a document that are parsed at once.
+FILES, CHUNK = 64, 1 << 20
 
 
 def slug(text: Column) -> Column:
@@ -47,7 +48,7 @@ def title_of(rel: Column) -> Column:
     """A title from a file's name: its words, each with a capital."""
     name = F.regexp_replace(F.element_at(F.split(rel, "/"), -1), r"(.)\.[^.]*$", "$1")
     words = F.filter(F.split(name, "[^A-Za-z0-9]+"), lambda w: w != "")
-    title = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 10_000)))), " ")
+    title = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(w.substr(F.lit(2), F.length(w))))), " ")
     return F.when(title == "", "Untitled").otherwise(title)
 
 
@@ -84,33 +85,70 @@ def markdown_of(page: str | None) -> tuple[str, str]:
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
+class Paragraphs:
+    """Takes a document's XML element by element and keeps each paragraph's line of Markdown, in the order of their beginnings."""
+
+    def __init__(self):
+        self.lines: list[str] = []
+        self.path: list[str] = []
+        #: For each open paragraph: its place, texts, style, and whether it is a list's.
+        self.open: list[dict] = []
+        self.text: list[str] | None = None
+
+    def doctype(self, *_):
+        raise ElementTree.ParseError("documents have no type declarations")
+
+    def start(self, tag: str, attrs: dict) -> None:
+        if tag == f"{WORD}p":
+            self.open.append({"place": len(self.lines), "texts": [], "style": "", "listed": False, "depth": len(self.path)})
+            self.lines.append("")
+        elif self.open:
+            p = self.open[-1]
+            if tag == f"{WORD}t":
+                self.text = []
+            elif tag in (f"{WORD}tab", f"{WORD}br"):
+                self.put(" ")
+            elif self.path[-1] == f"{WORD}pPr" and len(self.path) == p["depth"] + 2:
+                if tag == f"{WORD}pStyle":
+                    p["style"] = attrs.get(f"{WORD}val", "")
+                p["listed"] |= tag == f"{WORD}numPr"
+        self.path.append(tag)
+
+    def put(self, text: str) -> None:
+        for p in self.open:  # a text box's text is also its paragraph's
+            p["texts"].append(text)
+
+    def data(self, text: str) -> None:
+        if self.text is not None:
+            self.text.append(text)
+
+    def end(self, tag: str) -> None:
+        self.path.pop()
+        if tag == f"{WORD}t" and self.text is not None:
+            self.put("".join(self.text))
+            self.text = None
+        elif tag == f"{WORD}p":
+            p = self.open.pop()
+            text, name = " ".join("".join(p["texts"]).split()), p["style"]
+            level = re.fullmatch(r"(?i)heading ?([1-6])", name)
+            mark = "# " if name.lower() == "title" else "#" * int(level[1]) + " " if level else "- " if p["listed"] else ""
+            self.lines[p["place"]] = mark + text if text else ""
+
+    def close(self) -> list[str]:
+        return [x for x in self.lines if x]
+
+
 def markdown_of_docx(content: bytes | None) -> str | None:
-    """Headings, list items and paragraphs of a word-processor file; null if it can't be read."""
-    try:
-        with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
-            with z.open("word/document.xml") as f:
-                raw = f.read(MOST_TEXT + 1)
-    except (zipfile.BadZipFile, KeyError, OSError, RuntimeError):
-        return None
-    if len(raw) > MOST_TEXT or b"<!DOCTYPE" in raw or b"<!ENTITY" in raw:
-        return None
+    """Headings, list items and paragraphs of a word-processor file of any size; null if it can't be read."""
     try:
-        body = ElementTree.fromstring(raw)
-    except ElementTree.ParseError:
+        with zipfile.ZipFile(io.BytesIO(content or b"")) as z, z.open("word/document.xml") as f:
+            parser = ElementTree.XMLParser(target=Paragraphs())
+            while part := f.read(CHUNK):
+                parser.feed(part)
+            out = parser.close()
+    except (zipfile.BadZipFile, zlib.error, KeyError, OSError, EOFError, RuntimeError, ElementTree.ParseError):
         return None
-    out: list[str] = []
-    for p in body.iter(f"{WORD}p"):
-        parts = {f"{WORD}t": lambda e: e.text or "", f"{WORD}tab": lambda e: " ", f"{WORD}br": lambda e: " "}
-        text = " ".join("".join(parts[e.tag](e) for e in p.iter() if e.tag in parts).split())
-        if not text:
-            continue
-        style = p.find(f"{WORD}pPr/{WORD}pStyle")
-        name = "" if style is None else style.get(f"{WORD}val", "")
-        level = re.fullmatch(r"(?i)heading ?([1-6])", name)
-        mark = "# " if name.lower() == "title" else "#" * int(level[1]) + " " if level else "- " if p.find(f"{WORD}pPr/{WORD}numPr") is not None else ""
-        out.append(mark + text)
-    joined = "\n\n".join(out)
-    return re.sub(r"(?m)^(- .*)\n\n(?=- )", r"\1\n", joined) + "\n"
+    return re.sub(r"(?m)^(- .*)\n\n(?=- )", r"\1\n", "\n\n".join(out)) + "\n"
 
 
 def docx_to_markdown(files: DataFrame, content_col: str = "content") -> DataFrame:

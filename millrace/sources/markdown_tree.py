@@ -7,6 +7,7 @@ tables. Files that can't be parsed don't stop the read: they are rows of ``error
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from dataclasses import dataclass
 
@@ -57,7 +58,33 @@ def existing(spark: SparkSession, root: str) -> list[str]:
     return found
 
 
+def linked(spark: SparkSession, root: str) -> DataFrame:
+    """path of the Markdown files that are symbolic links or lie behind one; other stores than plain folders have no links."""
+    f = files(spark, root, content=False).filter(F.lower("path").endswith(".md")).select("path")
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    if top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme() != "file":
+        return f.limit(0)
+    base = top.toUri().getPath()
+
+    def run(batches):
+        real: dict[str, bool] = {}  # folders that are no links
+
+        def link(path: str) -> bool:
+            folder = path.rpartition("/")[0]
+            if folder and folder not in real:
+                real[folder] = not link(folder)
+            return bool(folder) and not real[folder] or os.path.islink(f"{base}/{path}")
+
+        for b in batches:
+            yield b.filter(pa.array([link(p) for p in b.column(0).to_pylist()], pa.bool_()))
+
+    return f.mapInArrow(run, "path string")
+
+
 def markdown_files(spark: SparkSession, root: str) -> DataFrame:
+    """path, kind, length, content of the Markdown files; one that isn't a regular file is an error."""
+    if (bad := linked(spark, root).first()) is not None:
+        raise M.MarkdownError(f"{bad['path']} is not a regular file")
     f = files(spark, root).filter(F.lower("path").endswith(".md") & ~F.col("path").startswith("assets/"))
     return f.withColumn("kind", X.kind_of(F.col("path")))
 
@@ -76,7 +103,7 @@ def parse_file(path: str, kind: str, content: bytes) -> dict:
         a, parts = M.analyze(path, body) if kind == "wiki" else M.Analysis(), M.sections(body)
         row |= {"body": body, "sections": [vars(s) for s in parts]}
         if kind == "wiki":
-            row["faults"] = M.front_faults(front) + ([] if front is None or front.modified_date.strip() else ["modified_date is required"])
+            row["faults"] = M.front_faults(front) + ([] if front is None or front.modified_date.strip() else [M.DATELESS])
             if front is not None:
                 unique = lambda v: sorted({x.strip() for x in v} - {""})
                 row |= {"id": front.id.strip(), "title": front.title.strip(), "summary": front.summary.strip(), "tags": unique(front.tags), "sources": unique(front.sources), "links": unique(front.links), "modified_date": front.modified_date.strip()}

@@ -1,7 +1,7 @@
 """Incremental corpora: a stream of Markdown files keeps a table of parsed documents up to date.
 
 The file source finds new files; each micro-batch parses what arrived and appends it with its batch number; readers
-take the newest row of a path. Deletions are not events of a file stream: ``plans.views.changed`` finds them.
+take the newest row of a path. Deletions are not events of a file stream: scans (``streaming.scans``) find them.
 """
 
 from __future__ import annotations

@@ -20,6 +20,7 @@ from millrace.plans import generated as N
 from millrace.plans import snapshot as D
 from millrace.plans import views as G
 from millrace.sources import importer
+from millrace.sources.markdown_tree import read_corpus as S_read
 
 from .test_search import PAGES, make
 
@@ -112,6 +113,47 @@ def test_repair_of_ids(spark, tmp_path):
     assert M.DOC_ID.match(again.id) and (text, again.title) == (body, "One") and N.repair_ids(spark, str(s.current)) == []
 
 
+def test_an_index_of_a_tree_without_dates(spark, tmp_path):
+    s = small_tree(tmp_path)
+    root, index = str(s.current), str(tmp_path / "index")
+    N.write(spark, root)
+    page, other = s.current / "wiki" / "one.md", s.current / "wiki" / "deep" / "two.md"
+    dated = other.read_text()
+    front, body = M.split_front(page.read_text())
+    front.modified_date = ""
+    D.put(page, M.join_front(front, body))
+    assert any(r["detail"] == M.DATELESS for r in N.check(spark, root).collect())
+    with pytest.raises(ValueError, match="YYYY"):
+        N.repair_dates(spark, root, "2026-13-01")
+    i = N.indexed(spark, root, index, "2026-07-01")
+    again, text = M.split_front(page.read_text())
+    assert (again.modified_date, text, again.id, other.read_text()) == ("2026-07-01", body, front.id, dated)
+    assert N.check(spark, root).collect() == [] and N.repair_dates(spark, root, "2026-07-02") == []
+    assert S.search(i, "text")["results"] and P.check(spark, S_read(spark, root), index) == ("fresh", "")
+    front.modified_date, front.title = "", ""
+    D.put(page, M.join_front(front, body))
+    with pytest.raises(ValueError, match="one.md"):
+        N.indexed(spark, root, index, "2026-07-03")
+    assert M.split_front(page.read_text())[0].modified_date == ""
+
+
+def test_links_are_refused_when_read(spark, tmp_path):
+    s = small_tree(tmp_path)
+    (tmp_path / "out").mkdir()
+    D.put(tmp_path / "out" / "x.md", "# X\n")
+    (s.current / "sources" / "behind").symlink_to(tmp_path / "out")
+    with pytest.raises(M.MarkdownError, match="sources/behind/x.md is not a regular file"):
+        S_read(spark, str(s.current))
+    (s.current / "sources" / "behind").unlink()
+    (s.current / "wiki" / "link.md").symlink_to(s.current / "wiki" / "one.md")
+    with pytest.raises(M.MarkdownError, match="wiki/link.md"):
+        S_read(spark, str(s.current))
+    (s.current / "wiki" / "link.md").unlink()
+    (s.current / "assets" / "link.png").symlink_to(s.current / "assets" / "pics" / "p.png")
+    (tmp_path / "whole").symlink_to(s.current)  # the root itself may be one
+    assert S_read(spark, str(tmp_path / "whole")).documents.count() == 4
+
+
 def test_missing_directory(spark, tmp_path):
     s = small_tree(tmp_path)
     shutil.rmtree(s.current / "assets")
@@ -173,6 +215,15 @@ def test_import_of_word_files(spark, tmp_path):
         z.writestr("word/document.xml", f"<w:document {w}><w:body>{body}</w:body></w:document>")
     (tmp_path / "in" / "bad.docx").write_bytes(b"junk")
     got = {r["target"].split("/")[-1].rsplit("-", 1)[0]: r["markdown"] for r in importer.import_files(spark, str(tmp_path / "in")).collect()}
+    big = "".join(para(f"line {i} " + "word " * 200) for i in range(70_000))  # more than 64 MiB of XML
+    box = f"<w:p><w:r><w:t>out</w:t><w:txbxContent>{para('in', '<w:pStyle w:val=\"Title\"/>')}</w:txbxContent><w:t>er</w:t></w:r></w:p>"
+    made = {}
+    for name, x in (("big", big), ("box", box), ("typed", para("a"))):
+        with zipfile.ZipFile(tmp_path / name, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("word/document.xml", ("<!DOCTYPE x [<!ENTITY e 'e'>]>" if name == "typed" else "") + f"<w:document {w}><w:body>{x}</w:body></w:document>")
+        made[name] = importer.markdown_of_docx((tmp_path / name).read_bytes())
+    assert len(big) > 64 << 20 and made["big"].count("\n\n") == 69_999 and made["box"] == "outiner\n\n# in\n" and made["typed"] is None
+    assert importer.markdown_of_docx((tmp_path / "big").read_bytes()[:-5000]) is None and importer.markdown_of_docx(None) is None
     assert got["a-file"].endswith("---\n\n# Big\n\n## Part\n\na & b\n\n- x\n- y\n") and got["bad"] is None
 
 
