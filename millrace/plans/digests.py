@@ -6,7 +6,7 @@ their number: it needs no order, is added up before any shuffle, and a parent's
 digests mean equal rows but for a chance of 2^-120; whoever can choose hashes freely could build a collision, so the
 manifest's hash remains the test against that.
 
-A written snapshot has its rows in folders by the first two digits of the key, sorted by key within them. A comparison
+A written snapshot has its rows in folders by the first digit of the key, in files that are ranges of keys, sorted. A comparison
 reads the nodes whose parents differ, level by level, and then the rows of the differing leaves alone: folders prune
 files, the key's range prunes row groups. The tree has at most 16^DEPTH leaves at any size of the corpus, so what a
 comparison holds on the driver, the differing nodes, is bounded.
@@ -24,7 +24,7 @@ from .views import changed
 #: Levels below the root; each has 16 children a node.
 DEPTH = 4
 #: Digits that name a folder of a written snapshot.
-FOLDER = 2
+FOLDER = 1
 #: Differing leaves up to which they are named in the scan's filter; more of them are joined.
 NAMED = 1024
 
@@ -58,7 +58,7 @@ def tree(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
 def write(rows: DataFrame, path: str, depth: int = DEPTH) -> None:
     """Writes a snapshot of ``rows`` (path, hash): its rows by folders of keys, and its tree by levels."""
     k = keyed(rows)
-    k.repartition("folder").sortWithinPartitions("folder", "key").write.partitionBy("folder").parquet(f"{path}/rows")
+    k.repartitionByRange("key").sortWithinPartitions("key").write.partitionBy("folder").parquet(f"{path}/rows")
     tree(rows, depth).repartition("level").sortWithinPartitions("level", "node").write.partitionBy("level").parquet(f"{path}/tree")
 
 
