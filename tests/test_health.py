@@ -91,3 +91,15 @@ def test_integrity(spark):
     bad = c.documents.withColumn("tier", F.lit("odd")).withColumn("title", F.lit(" ")).unionByName(c.documents.filter("kind = 'wiki'"))
     got = {r["rule"] for r in V.check(type(c)(bad, c.sections, c.links.withColumn("to_document_id", F.lit("x")), c.citations, c.tags)).collect()}
     assert {"tier", "title", "unique_id", "unique_path", "link_target_id"} <= got
+
+
+def test_sources_and_tags_make_no_terms(spark, monkeypatch):
+    """Kinds that don't use the terms of pages don't count them."""
+    c = make(spark, [("wiki/a.md", "A", "s", ["t"], ["sources/s.md"], [], [("A", "x")]), ("sources/s.md", "S", "", [], [], [], [("S", "x")]), ("sources/u.md", "U", "", [], [], [], [("U", "x")])])
+
+    def never(*_):
+        raise AssertionError("terms are counted")
+
+    monkeypatch.setattr(H.W, "term_counts", never)
+    assert [r[3] for r in rows(H.health(c, kind="sources"))] == [["sources/u.md"]]
+    assert rows(H.health(c, kind="tags")) == []
