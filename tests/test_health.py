@@ -103,3 +103,12 @@ def test_sources_and_tags_make_no_terms(spark, monkeypatch):
     monkeypatch.setattr(H.W, "term_counts", never)
     assert [r[3] for r in rows(H.health(c, kind="sources"))] == [["sources/u.md"]]
     assert rows(H.health(c, kind="tags")) == []
+
+
+def test_terms_are_counted_by_page(spark):
+    """Terms of a page are counted where its texts have met: its path isn't shuffled with each term."""
+    c = make(spark, [("wiki/a.md", "Alpha", "beta", ["t"], [], [], [("One", "gamma gamma"), ("Two", "gamma")])])
+    t = H.W.term_counts(c)
+    assert {(r["term"], r["tf"]) for r in t.collect()} >= {("gamma", 3), ("alpha", 1)}
+    plan = t._jdf.queryExecution().executedPlan().toString().split("Final Plan")[-1].split("Initial Plan")[0]
+    assert "hashpartitioning(path" in plan and not any("hashpartitioning(path" in x and "term" in x for x in plan.split("\n"))
