@@ -144,3 +144,17 @@ def test_tokens_equal_sqlites_on_every_code_point(spark):
     assert [hex(i) for i in points if fold_tokens(f"a{chr(i)}b") != want[i]] == []
     df = spark.createDataFrame([(i, f"a{chr(i)}b") for i in points], "i int, x string").select("i", X.tokens(F.col("x")).alias("t"))
     assert [hex(r["i"]) for r in df.collect() if r["t"] != want[r["i"]]] == []
+
+
+def test_one_search_makes_tokens_once(spark):
+    """Searches for the same terms share what an unwritten index has made for them; terms are added up before any shuffle."""
+    c = make(spark, [(f"wiki/p{k}.md", "Alpha", "alpha", ["t"], [], [], [("H", "alpha beta"), ("I", "beta")]) for k in range(3)])
+    i, q = I.build(c), S.parse("alpha beta")
+    both = [sorted(map(str, S.ranked(i, q, S.Options().checked(), mode, 6).drop("body").collect())) for mode in ("and", "or")]
+    assert len(i.made) == 1 and len(both[0]) == 6 and len(both[1]) == 6
+    written = I.Index(i.postings, i.sections, i.stats)
+    assert both == [sorted(map(str, S.ranked(written, q, S.Options().checked(), mode, 6).drop("body").collect())) for mode in ("and", "or")]
+    got = sorted(map(tuple, i.totals().select("term", "n", "sections").collect()))
+    assert got == sorted(map(tuple, written.totals().select("term", "n", "sections").collect())) and ("alpha", 15, 6) in got
+    plan = i.totals()._jdf.queryExecution().executedPlan().toString()
+    assert "section_id" not in plan.split("MapInArrow")[0]
