@@ -112,3 +112,26 @@ def test_terms_are_counted_by_page(spark):
     assert {(r["term"], r["tf"]) for r in t.collect()} >= {("gamma", 3), ("alpha", 1)}
     plan = t._jdf.queryExecution().executedPlan().toString().split("Final Plan")[-1].split("Initial Plan")[0]
     assert "hashpartitioning(path" in plan and not any("hashpartitioning(path" in x and "term" in x for x in plan.split("\n"))
+
+
+def test_pairs_leave_at_their_first_key(spark, monkeypatch):
+    """Small blocks, tiles and parts give each pair once, as the plain joins do; pairs aren't shuffled."""
+    from millrace.operators import pair_blocks as B
+
+    for name, n in (("BLOCK", 3), ("TILE", 2), ("PART", 2), ("PARTS", 3)):
+        monkeypatch.setattr(B, name, n)
+    pages = [(f"p{k}", f"k{j}") for k in range(9) for j in (0, 1 + k % 2, 3 + k % 3, 9 + k)] + [("q0", "k4"), ("q1", "k4")]
+    keys = spark.createDataFrame(pages, "path string, key string")
+    own = {}
+    for p, k in pages:
+        own.setdefault(p, set()).add(k)
+    want = sorted((a, b) for a in own for b in own if a < b and own[a] & own[b])
+    met = B.meetings(keys)
+    assert sorted(map(tuple, met.collect())) == want
+    assert not any(x in met._jdf.queryExecution().executedPlan().toString() for x in ("hashpartitioning(a", "HashAggregate"))
+    weights = spark.createDataFrame([(p, f"t{(int(p[1]) * m) % 7}", 1.0 + m / 4) for p in own for m in (1, 2, 3) if p != "q1"], "path string, term string, w double").dropDuplicates(["path", "term"])
+    none = spark.createDataFrame([], "path string, value string")
+    seen = lambda df: sorted((r["a"], r["b"], round(r["j"], 6), tuple(r["shared_terms"])) for r in df.collect())
+    got = seen(B.lexical_pairs(keys, weights, none, none, every=True))
+    assert got and got == seen(H.lexical_overlap(spark.createDataFrame(want, "a string, b string"), weights))
+    assert seen(B.lexical_pairs(keys, weights, none, none)) == [x for x in got if x[2] >= 0.10]
